@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_decontamination
+from .language import op7_language
 from .media import op6_media
+from .near_dedup import op2_near_dedup
 from .packing import op3_packing
+from .quality import op5_quality
 from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
     "op6_media": op6_media,
+    "op7_language": op7_language,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
