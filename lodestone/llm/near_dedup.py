@@ -64,7 +64,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         while len(doc):
             step = (step + 0x9E3779B97F4A7C15) % 2**64
             state = mix(state + np.uint64(step))
-            time = time - np.log1p(-(state >> np.uint64(11)) * 2.0**-53) / REGISTERS
+            time = time - np.log1p(-((state >> np.uint64(11)) * 2.0**-53)) / REGISTERS
             on = time <= limit
             state, doc, time, limit = state[on], doc[on], time[on], limit[on]
             np.minimum.at(first, doc * REGISTERS + (state & np.uint64(REGISTERS - 1)).astype(np.int64), time)
