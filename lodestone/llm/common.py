@@ -113,7 +113,7 @@ def slices(batches, max_bytes: int = 6 << 20, column: str = "text"):
 class Words:
     """Words of a batch of texts: byte spans, 64-bit hashes, and where each document's words start."""
 
-    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = ASCII_SPACE):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = ASCII_SPACE, hashed: bool = True):
         self.data, self.off, self.null = text_bytes(column)
         n = len(self.data)
         solid = ~space[self.data]
@@ -126,7 +126,8 @@ class Words:
         self.start = np.flatnonzero(begin)
         self.end = np.flatnonzero(last) + 1
         self.doc_off = np.searchsorted(self.start, self.off)
-        self.hash = self._hashes(lower)
+        if hashed:
+            self.hash = self._hashes(lower)
 
     def _hashes(self, lower: bool) -> np.ndarray:
         n = len(self.data)

@@ -85,10 +85,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         e = encoder(path)
-        for batch in slices(batches):
-            ids, sizes, words, _ = e.encode(batch.column("text"))
+        for batch in slices(batches, 4 << 20):
+            ids, sizes, words = e.encode(batch.column("text"))
             keys = curve_keys(words.hash, words.doc_off)
-            small, at = ids.astype("<u2"), np.concatenate([[0], np.cumsum(sizes)])
+            small, at = ids.astype("<u2", copy=False), np.concatenate([[0], np.cumsum(sizes)])
             end = np.array([END_ID], "<u2").tobytes()
             blobs = [small[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(sizes + 1, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)

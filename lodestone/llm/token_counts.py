@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices, table
+from .common import doc_columns, materialize, slices, table
 from .tokens import encoder
 
 BLOCK = 1024
@@ -25,8 +25,8 @@ def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def count(batches):
         e = encoder(path)
-        for batch in slices(batches):
-            _, sizes, _, _ = e.encode(batch.column("text"))
+        for batch in slices(batches, 4 << 20):
+            _, sizes, _ = e.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], schema=schema)
 
     return doc_columns(docs).mapInArrow(count, "doc_id long, n_tokens long")
@@ -77,4 +77,6 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_limits(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    # the histogram is read twice, by length and by block: written once, texts are encoded once
+    histogram = materialize(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))), "lengths")
+    return context_limits(histogram)
