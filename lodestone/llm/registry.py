@@ -12,9 +12,11 @@ from .media import op6_media
 from .near_dedup import op2_near_dedup
 from .packing import op3_packing
 from .quality import op5_quality
+from .substring_dedup import op1_substring_dedup
 from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
