@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_decontamination
 from .language import op7_language
+from .language_model import op4_language_model
 from .media import op6_media
 from .near_dedup import op2_near_dedup
 from .packing import op3_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op4_language_model": op4_language_model,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_language": op7_language,
