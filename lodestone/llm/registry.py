@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat
 from .decontamination import op9_decontamination
 from .language import op7_language
 from .language_model import op4_language_model
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_language": op7_language,
+    "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
