@@ -5,10 +5,14 @@ Each document's set of word shingles fills REGISTERS registers with exponentiall
 Bands of equal registers propose links; the joint likelihood of two sketches estimates their similarity;
 links are confirmed on the whole shingle sets and joined into components.
 
-A band's bucket never emits all its pairs. It is first compared with one leader. Buckets that then hold
-several components are compared exactly, but for documents that can have no partner there: a document of n
-shingles, s of which occur in another document, reaches similarity 3/4 only with partners of at most
-7/3 s - n shingles. At similarity 3/4 two sketches share no band with probability under 1e-6.
+A band's bucket never emits all its pairs. It is first compared with one leader, then once more with the
+member of most links. Buckets that then hold several components are compared exactly, but for documents
+that can have no partner there: with the leader most similar to it as pivot, what a document can share with
+a partner is what the pivot has too and those other shingles that occur in another component; with s of
+these it reaches similarity 3/4 only with partners of at most 7/3 s - n shingles; and where the pivot's part
+is too little, partners are found by the other shingles. So near-copies of one text are told apart without
+comparing them in pairs.
+At similarity 3/4 two sketches share no band with probability under 1e-6.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of
 fewer than SHINGLE words is one shingle; repeated rows with one doc_id are equal sets and share a component.
@@ -27,6 +31,8 @@ SHINGLE = 5
 REGISTERS, BANDS, ROWS, BASE = 256, 51, 5, 1.05
 #: Similarity as a fraction, and the estimate below which a candidate is given up (over five standard errors).
 NUM, DEN, ESTIMATE = 3, 4, 0.60
+#: How often documents without a possible partner are left out; each time may free others.
+PRUNINGS = 3
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -175,21 +181,94 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _shared_counts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, shared: how many of a document's shingles another of these documents has."""
+def _shingle_rows(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, shingle of the documents named."""
 
     def run(batches):
         for batch in slices(batches, 4 << 20):
             sets = shingle_sets(Words(batch.column("text"), lower=True))
-            n = np.array([len(s) for s in sets])
-            doc = np.repeat(batch.column("doc_id").to_numpy(), n)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
             flat = as_long(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(flat)], ["rep", "shingle"])
 
-    rows = doc_columns(docs).join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
-    # a shingle of one document alone is what bounds it
-    alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
-    return alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    return doc_columns(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+
+
+def _outside(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """For pairs (a pivot, b a document): rep = b, how many shingles both have, and each shingle that b alone has (null: none)."""
+    texts = doc_columns(docs)
+    both = pairs.select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+
+    def run(batches):
+        last, own = None, None
+        for batch in slices(batches, 4 << 20, "text_b"):
+            sets = shingle_sets(Words(batch.column("text_b"), lower=True))
+            shared, extra = [], []
+            for i, a in enumerate(batch.column("a").to_pylist()):
+                if a != last:
+                    last, own = a, shingle_sets(Words(batch.column("text_a").slice(i, 1), lower=True))[0]
+                rest = np.setdiff1d(sets[i], own, assume_unique=True)
+                shared.append(len(sets[i]) - len(rest))
+                extra.append(as_long(rest))
+            yield pa.RecordBatch.from_arrays([batch.column("b"), pa.array(shared, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], ["rep", "shared", "extra"])
+
+    rows = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "rep long, shared long, extra array<long>")
+    return rows.select("rep", "shared", F.explode_outer("extra").alias("shingle"))
+
+
+def _able(left: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
+    """Of unsettled rows (key, rep, comp, n), those whose document may have a partner in another component there.
+
+    What a document can share with a partner is what its pivot has too, and of its other shingles (`beyond`)
+    those that occur in another component. A link needs 3/7 of both sizes in common.
+    """
+    own = shingles.join(left.select("rep", "comp").distinct(), "rep")
+    both = materialize(own.groupBy("shingle").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("shingle"), "common")
+    common = beyond.join(both, "shingle").groupBy("rep").agg(F.count("*").alias("common"))
+    pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
+    able = left.select("key", "rep", "comp", "n").join(pivot, "rep").join(common, "rep", "left")
+    able = able.withColumn("most", F.floor(7 * (F.col("shared") + F.coalesce("common", F.lit(0))) / 3 - F.col("n")))
+    smallest = able.groupBy("key").agg(F.min("n").alias("least"))
+    able = able.join(smallest, "key").where("most >= least").select("key", "rep", "comp", "n", "most")
+    several = able.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    return materialize(able.join(several, "key", "left_semi"), "unsettled")
+
+
+def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b, estimate): b in an unsettled bucket, a the leader of one of b's buckets, of another component.
+
+    A bucket is led by the document with the most links.
+    """
+    degree = links.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
+    ranked = left.join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    lead = ranked.groupBy("key").agg(F.max(F.struct("links", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))).alias("m")).select("key", "m.lead", "m.lead_comp")
+    pairs = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    return estimated(pairs, reps)
+
+
+def _candidates(able: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked.
+
+    A document that its pivot alone doesn't bring to 3/7 of the sizes is narrow: a partner has some of its
+    other shingles. Pairs are found by these from the side of the smaller component; where no side is narrow,
+    by their bucket.
+    """
+    smallest = able.groupBy("key").agg(F.min("n").alias("least"))
+    info = able.join(smallest, "key").groupBy("rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.min("least").alias("least"))
+    size = info.groupBy("comp").agg(F.count("*").alias("size"))
+    pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
+    need = F.ceil(3 * (F.col("n") + F.greatest("least", F.ceil(3 * F.col("n") / 4))) / 7)
+    info = info.join(size, "comp").join(pivot, "rep").withColumn("narrow", (F.col("shared") > 0) & (F.col("shared") < need))
+    info = materialize(info.select("rep", "comp", "n", "shared", "size", "narrow"), "able")
+    mine = beyond.select("rep", "shingle").join(info.where("narrow"), "rep").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a", "narrow_a")
+    other = shingles.join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b", "narrow_b")
+    from_a = F.expr("c_a <> c_b and (struct(size_a, c_a) < struct(size_b, c_b) or not narrow_b)")
+    met = mine.join(other, "shingle").where(from_a).groupBy("a", "b", "n_a", "n_b", "shared_a").agg(F.count("*").alias("extra"))
+    by_shingle = met.where("7 * (shared_a + extra) >= 3 * (n_a + n_b)").select("a", "b")
+    broad = able.join(info.where("not narrow").select("rep"), "rep", "left_semi").select("key", "rep", "comp", "n", "most")
+    x, y = broad.toDF("key", "a", "c_a", "n_a", "most_a"), broad.toDF("key", "b", "c_b", "n_b", "most_b")
+    fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    return by_shingle.unionByName(x.join(y, "key").where(fits).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,29 +298,21 @@ def _links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     best = estimated(pairs, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialize(confirmed(best, docs), "links")
 
-    # buckets that are still of several components, led by the document with the most links
+    # buckets that are still of several components
     for _ in range(2):
-        left = _unsettled(shared, links)
-        degree = links.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-        ranked = left.join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-        lead = ranked.groupBy("key").agg(F.max(F.struct("links", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))).alias("m")).select("key", "m.lead", "m.lead_comp")
-        pairs = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        best = estimated(pairs, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-        more = materialize(confirmed(best, docs), "links")
-        links = links.unionByName(more)
+        pairs = _lead_pairs(_unsettled(shared, links), links, reps)
+        links = links.unionByName(materialize(confirmed(pairs, docs), "links"))
     # and the rest of each such bucket exactly, without those that can have no partner in it
-    left = _unsettled(shared, links).join(sizes, "rep")
-    left = materialize(left, "unsettled")
-    alone = _shared_counts(left.select("rep").distinct(), docs)
-    left = left.join(alone, "rep", "left").withColumn("most", F.floor((7 * (F.col("n") - F.coalesce("alone", F.lit(0)))) / 3 - F.col("n")))
-    smallest = left.groupBy("key").agg(F.min("n").alias("least"))
-    able = left.join(smallest, "key").where("most >= least").select("key", "rep", "comp", "n", "most")
-    several = able.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    able = materialize(able.join(several, "key", "left_semi"), "unsettled")
-    x, y = able.toDF("key", "a", "c_a", "n_a", "most_a"), able.toDF("key", "b", "c_b", "n_b", "most_b")
-    fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-    rest = x.join(y, "key").where(fits).select("a", "b").distinct()
-    return links.unionByName(confirmed(estimated(rest, reps), docs))
+    left = materialize(_unsettled(shared, links).join(sizes, "rep"), "unsettled")
+    shingles = materialize(_shingle_rows(left.select("rep").distinct(), docs), "shingles")
+    nearest = _lead_pairs(left, links, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+    pivots = materialize(_outside(nearest, docs), "pivots")
+    alone = shingles.join(pivots.select("rep").distinct(), "rep", "left_anti").select("rep", F.lit(0).cast("long").alias("shared"), "shingle")
+    beyond = pivots.unionByName(alone)
+    able = left
+    for _ in range(PRUNINGS):
+        able = _able(able, shingles, beyond)
+    return links.unionByName(confirmed(estimated(_candidates(able, shingles, beyond), reps), docs))
 
 
 def _unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
