@@ -96,7 +96,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0], nulls
 
 
-def slices(batches, max_bytes: int = 6 << 20, column: str = "text"):
+def slices(batches, max_bytes: int = 3 << 20, column: str = "text"):
     """Arrow batches cut so that each holds about max_bytes of text, or one longer row."""
     for batch in batches:
         if batch.num_rows == 0:
