@@ -208,15 +208,18 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     places = marked.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
 
     def split(batches):
-        for batch in slices(batches):
+        none = np.zeros(0, np.int64)
+        rows, held = [], 0
+        for batch in slices(batches, 2 << 20):
             lists = batch.column("anchors")
             plain = np.asarray(lists.is_null())
             ids, texts_ = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            rows = []
-            none = np.zeros(0, np.int64)
             words = Words(batch.column("text"))
             count = words.count()
             for i, doc in enumerate(ids):
+                if held > 8 << 20 or len(rows) > 4000:  # one document may have many passages
+                    yield pa.RecordBatch.from_pylist(rows, _PARTS)
+                    rows, held = [], 0
                 if plain[i]:
                     rows.append({"kind": _DONE, **_row(doc, texts_[i], none, none, texts)})
                     continue
@@ -227,6 +230,7 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
                 gone = merge_spans(low[is_copy], high[is_copy])
                 if (lead[~is_copy] < doc).any():
                     rows.append({"kind": _OPEN, "doc_id": doc, "text": texts_[i], "low": gone[0].tolist(), "high": gone[1].tolist()})
+                    held += len(texts_[i])
                 else:
                     rows.append({"kind": _DONE, **_row(doc, texts_[i], *gone, texts)})
                 own = as_long(words.hash[words.doc_off[i] : words.doc_off[i + 1]])
@@ -234,8 +238,12 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
                     on = ~is_copy & (lead == m)
                     for s, e in zip(*(x.tolist() for x in merge_spans(low[on], high[on])), strict=True):
                         rows.append({"kind": _UNIT, "lead": m, "doc_id": doc, "start": s, "words": own[s:e].tobytes()})
-            for k in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 5000], _PARTS)
+                        held += 8 * (e - s)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, _PARTS)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _PARTS)
 
     parts = materialize(base.join(places, "doc_id", "left").mapInArrow(split, _PARTS_DDL), "parts")
     spans = _searched(parts.where(F.col("kind") == _UNIT).select("lead", "doc_id", "start", "words"))
@@ -274,13 +282,20 @@ def _searched(units: DataFrame) -> DataFrame:
     by_automata = few.groupBy("shard").applyInArrow(search, "doc_id long, low long, high long")
 
     def windows(batches):
+        names = ["doc_id", "low", "window"]
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], []]
+            held = 0
             for doc, start, raw in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("words"), strict=True):
                 h = gram_hashes(np.frombuffer(raw.as_py(), np.uint64), WINDOW)
                 for part, x in zip(parts, (np.full(len(h), doc), start + np.arange(len(h)), as_long(h)), strict=True):
                     part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64()) for p in parts], ["doc_id", "low", "window"])
+                held += len(h)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names)
+                    parts, held = [[], [], []], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names)
 
     many = both.where(F.col("weight") > SHARD_WORDS).select("doc_id", "start", "words").mapInArrow(windows, "doc_id long, low long, window long")
     many = materialize(many, "windows")
