@@ -5,8 +5,8 @@ Each document's set of word shingles fills REGISTERS registers with exponentiall
 Bands of equal registers propose links; the joint likelihood of two sketches estimates their similarity;
 links are confirmed on the whole shingle sets and joined into components.
 
-A band's bucket never emits all its pairs. It is first compared with one leader, then once more with the
-member of most links. Buckets that then hold several components are compared exactly, but for documents
+A band's bucket never emits all its pairs. It is first compared with one leader, then with the members
+of most links. Buckets that then hold several components are compared exactly, but for documents
 that can have no partner there: with the leader most similar to it as pivot, what a document can share with
 a partner is what the pivot has too and those other shingles that occur in another component; with s of
 these it reaches similarity 3/4 only with partners of at most 7/3 s - n shingles; and where the pivot's part
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, as_long, doc_columns, gram_hashes, materialize, mix, powers, slices, table
@@ -32,7 +32,9 @@ REGISTERS, BANDS, ROWS, BASE = 256, 51, 5, 1.05
 #: Similarity as a fraction, and the estimate below which a candidate is given up (over five standard errors).
 NUM, DEN, ESTIMATE = 3, 4, 0.60
 #: How often documents without a possible partner are left out; each time may free others.
-PRUNINGS = 3
+PRUNINGS = 2
+#: Leaders of a bucket, each of another component.
+LEADERS = 3
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -162,22 +164,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node and comp (smallest node reachable) by alternating large-star and small-star rounds."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    seen = None
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node and comp (smallest node reachable) by rounds of large-star and small-star.
+
+    known: components (node, comp) of earlier edges, which then need not be walked again.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if known is not None:
+        e = e.unionByName(known.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    e = materialize(e.where("u <> v").distinct(), "components")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e2 = large.where("u <> v").distinct()
-        low2 = e2.groupBy("u").agg(F.min("v").alias("m"))
-        small = e2.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = materialize(small.where("u <> v").distinct(), "components")
+        # stars: every node has one edge, to a node that has none of its own
+        tangled = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        if not tangled and not e.groupBy("u").count().where("count > 1").limit(1).count():
             break
-        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -228,20 +234,18 @@ def _able(left: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
     pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
     able = left.select("key", "rep", "comp", "n").join(pivot, "rep").join(common, "rep", "left")
     able = able.withColumn("most", F.floor(7 * (F.col("shared") + F.coalesce("common", F.lit(0))) / 3 - F.col("n")))
-    smallest = able.groupBy("key").agg(F.min("n").alias("least"))
-    able = able.join(smallest, "key").where("most >= least").select("key", "rep", "comp", "n", "most")
-    several = able.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    return materialize(able.join(several, "key", "left_semi"), "unsettled")
+    return _of_several(able.select("key", "rep", "comp", "n", "most"))
 
 
 def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b, estimate): b in an unsettled bucket, a the leader of one of b's buckets, of another component.
+    """Pairs (a, b, estimate): b in an unsettled bucket, a a leader of one of b's buckets, of another component.
 
-    A bucket is led by the document with the most links.
+    A bucket is led by the documents with the most links of LEADERS components at most.
     """
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    ranked = left.join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    lead = ranked.groupBy("key").agg(F.max(F.struct("links", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))).alias("m")).select("key", "m.lead", "m.lead_comp")
+    best = left.join(degree, "rep").groupBy("key", F.col("comp").alias("lead_comp")).agg(F.max(F.struct("links", F.col("rep").alias("lead"))).alias("m"))
+    w = Window.partitionBy("key").orderBy(F.desc("m"))
+    lead = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS).select("key", "m.lead", "lead_comp")
     pairs = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     return estimated(pairs, reps)
 
@@ -249,28 +253,37 @@ def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame
 def _candidates(able: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may be linked.
 
-    A document that its pivot alone doesn't bring to 3/7 of the sizes is narrow: a partner has some of its
-    other shingles. Pairs are found by these from the side of the smaller component; where no side is narrow,
-    by their bucket.
+    Where what a document has in common with its pivot is less than 3/7 of both sizes, a partner must have some
+    of its other shingles: such pairs are found by these, from the side of the smaller component if both sides
+    are so. Other pairs are found by their bucket.
     """
-    smallest = able.groupBy("key").agg(F.min("n").alias("least"))
-    info = able.join(smallest, "key").groupBy("rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.min("least").alias("least"))
+    info = able.groupBy("rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
     size = info.groupBy("comp").agg(F.count("*").alias("size"))
     pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
-    need = F.ceil(3 * (F.col("n") + F.greatest("least", F.ceil(3 * F.col("n") / 4))) / 7)
-    info = info.join(size, "comp").join(pivot, "rep").withColumn("narrow", (F.col("shared") > 0) & (F.col("shared") < need))
-    info = materialize(info.select("rep", "comp", "n", "shared", "size", "narrow"), "able")
-    mine = beyond.select("rep", "shingle").join(info.where("narrow"), "rep").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a", "narrow_a")
-    other = shingles.join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b", "narrow_b")
-    from_a = F.expr("c_a <> c_b and (struct(size_a, c_a) < struct(size_b, c_b) or not narrow_b)")
+    # a document without a pivot is never short of anything
+    own = F.when(F.col("shared") > 0, F.col("shared")).otherwise(F.lit(1 << 40))
+    info = materialize(info.join(size, "comp").join(pivot, "rep").select("rep", "comp", "n", own.alias("shared"), "size"), "able")
+    mine = beyond.select("rep", "shingle").join(info, "rep").where("shared < 2 * n").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a")
+    other = shingles.join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b")
+    short_a, short_b = "7 * shared_a < 3 * (n_a + n_b)", "7 * shared_b < 3 * (n_a + n_b)"
+    from_a = F.expr(f"c_a <> c_b and {short_a} and (not ({short_b}) or size_a < size_b or (size_a = size_b and c_a < c_b))")
     met = mine.join(other, "shingle").where(from_a).groupBy("a", "b", "n_a", "n_b", "shared_a").agg(F.count("*").alias("extra"))
     by_shingle = met.where("7 * (shared_a + extra) >= 3 * (n_a + n_b)").select("a", "b")
-    broad = able.join(info.where("not narrow").select("rep"), "rep", "left_semi").select("key", "rep", "comp", "n", "most")
+    broad = able.join(info.select("rep", "shared"), "rep").withColumn("most", F.least("most", F.floor(7 * F.col("shared") / 3 - F.col("n"))))
+    broad = _of_several(broad.select("key", "rep", "comp", "n", "most"))
     x, y = broad.toDF("key", "a", "c_a", "n_a", "most_a"), broad.toDF("key", "b", "c_b", "n_b", "most_b")
     fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     return by_shingle.unionByName(x.join(y, "key").where(fits).select("a", "b")).distinct()
 
 
+def _of_several(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp, n, most) whose bucket holds a document small enough for them, and then several components."""
+    smallest = rows.groupBy("key").agg(F.min("n").alias("least"))
+    rows = rows.join(smallest, "key").where("most >= least").select("key", "rep", "comp", "n", "most")
+    several = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    return materialize(rows.join(several, "key", "left_semi"), "unsettled")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     base = materialize(sketches(docs), "sketches")
@@ -278,8 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # leaders are the most copied texts; a hash breaks ties
     prio = F.least("copies", F.lit(1 << 18)) * F.lit(1 << 44) + F.xxhash64("m.doc_id").bitwiseAND(F.lit((1 << 44) - 1))
     reps = materialize(groups.select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs"), prio.alias("prio")), "reps")
-    links = materialize(_links(reps, docs), "links")
-    comps = components(links)
+    comps = _components(reps, docs)
     of_set = reps.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     own = base.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     out = own.where("n_shingles > 0").join(of_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
@@ -287,23 +299,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _components(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, comp of the representatives that are linked with another."""
     rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.max_by("rep", "prio").alias("lead"), F.count("*").alias("many")).where("many > 1").select("key", "lead")
     shared = materialize(rows.join(buckets, "key").select("key", "rep", "lead"), "buckets")
-    sizes = reps.select("rep", "n")
 
     # each document against the best of its buckets' leaders
     pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     best = estimated(pairs, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialize(confirmed(best, docs), "links")
+    comps = components(links)
+
+    # buckets that are still of several components, against the members of most links
+    more = materialize(confirmed(_lead_pairs(_unsettled(shared, comps), links, reps), docs), "links")
+    comps = components(more, comps)
+    links = links.unionByName(more)
 
-    # buckets that are still of several components
-    for _ in range(2):
-        pairs = _lead_pairs(_unsettled(shared, links), links, reps)
-        links = links.unionByName(materialize(confirmed(pairs, docs), "links"))
     # and the rest of each such bucket exactly, without those that can have no partner in it
-    left = materialize(_unsettled(shared, links).join(sizes, "rep"), "unsettled")
+    left = materialize(_unsettled(shared, comps).join(reps.select("rep", "n"), "rep"), "unsettled")
     shingles = materialize(_shingle_rows(left.select("rep").distinct(), docs), "shingles")
     nearest = _lead_pairs(left, links, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     pivots = materialize(_outside(nearest, docs), "pivots")
@@ -312,12 +326,11 @@ def _links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     able = left
     for _ in range(PRUNINGS):
         able = _able(able, shingles, beyond)
-    return links.unionByName(confirmed(estimated(_candidates(able, shingles, beyond), reps), docs))
+    return components(confirmed(estimated(_candidates(able, shingles, beyond), reps), docs), comps)
 
 
-def _unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """key, rep, comp of buckets that hold more than one component."""
-    comps = components(links)
     own = shared.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
     return materialize(own.join(several, "key", "left_semi"), "unsettled")

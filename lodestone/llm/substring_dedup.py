@@ -203,8 +203,10 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     grams = materialize(found.groupBy("gram").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("gram", "lead"), "grams")
     shared = found.join(grams, "gram").select("doc_id", "pos", "context", "lead")
     shared = materialize(shared, "shared")
-    firsts = shared.groupBy("context").agg(F.min("doc_id").alias("first"))
-    marked = shared.join(firsts, "context").select("doc_id", F.struct("pos", "lead", (F.col("first") < F.col("doc_id")).alias("copy")).alias("a"))
+    # contexts of two documents or more; written as well, for the same reason
+    firsts = materialize(shared.groupBy("context").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("context", "first"), "contexts")
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
+    marked = shared.join(firsts, "context", "left").select("doc_id", F.struct("pos", "lead", copy.alias("copy")).alias("a"))
     places = marked.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
 
     def split(batches):
