@@ -139,7 +139,7 @@ def human_bytes(c: Column | str) -> Column:
     n = _col(c)
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_string("%.0f", n / 1024), F.lit(" KB")))
+        .when(n < 1024 * 1024, F.concat(F.round(n / 1024).cast("long").cast("string"), F.lit(" KB")))
         .otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit(" MB")))
     )
 
@@ -192,7 +192,7 @@ def fact_present(text: Column, fact: Column) -> Column:
     """Whether one of a fact's alternatives (a|b) stands in the text as whole tokens, ignoring case."""
     def one(a: Column) -> Column:
         a = F.lower(F.trim(a))
-        return (a != "") & F.lower(text).rlike(F.concat(F.lit(r"(?<![0-9a-z])\Q"), a, F.lit(r"\E(?![0-9a-z])")))
+        return (a != "") & F.rlike(F.lower(text), F.concat(F.lit(r"(?<![0-9a-z])\Q"), a, F.lit(r"\E(?![0-9a-z])")))
 
     return F.exists(F.split(fact, r"\|"), one)
 

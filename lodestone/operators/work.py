@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import access
+from lodestone.operators import access, lineage
 
 # Urgency first.
 PRIORITY_ORDER = ("urgent", "high", "medium", "low", "none")
@@ -52,14 +52,15 @@ def ancestors(tasks: DataFrame) -> DataFrame:
     """
     edges = tasks.select("task_id", "parent_task_id").where(F.col("parent_task_id").isNotNull())
     edges = edges.join(tasks.select(F.col("task_id").alias("parent_task_id")), "parent_task_id", "left_semi")
-    closure = edges.select("task_id", F.col("parent_task_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    closure = lineage.cut(edges.select("task_id", F.col("parent_task_id").alias("ancestor_id"), F.lit(1).alias("depth")))
     reach = 1
     while reach < MAX_DEPTH:
         further = closure.toDF("task_id", "middle", "d1").join(closure.toDF("middle", "ancestor_id", "d2"), "middle")
         further = further.select("task_id", "ancestor_id", (F.col("d1") + F.col("d2")).alias("depth")).where(F.col("depth") > reach)
-        closure = closure.unionByName(further).distinct()
-        if not further.limit(1).count():
+        further = lineage.cut(further.distinct())
+        if further.isEmpty():
             break
+        closure = lineage.cut(closure.unionByName(further).distinct())
         reach *= 2
     return closure
 
