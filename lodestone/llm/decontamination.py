@@ -196,29 +196,31 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
-    """One row per document: words, merged spans of hit words (word positions) and the items found.
-
-    The benchmark goes out in blocks of at most BLOCK_PHRASES items' windows; several blocks are searched
-    one after another and their spans are merged by document.
-    """
+def _blocks(benchmark: DataFrame, run: int):
+    """Phrases of the benchmark, in blocks of about BLOCK_PHRASES windows; one empty block for an empty benchmark."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    ids, texts, size = [], [], 0
-    parts = []
-
-    def flush() -> None:
-        if not ids and parts:
-            return
-        parts.append(_search(docs, Phrases(ids, texts, run)))
-
+    ids, texts, size, any_ = [], [], 0, False
     for row in items.toLocalIterator():
         ids.append(row.item_id)
         texts.append(row.text)
         size += len(row.text) // 4 + 1
         if size >= BLOCK_PHRASES:
-            flush()
-            ids, texts, size = [], [], 0
-    flush()
+            yield Phrases(ids, texts, run)
+            ids, texts, size, any_ = [], [], 0, True
+    if ids or not any_:
+        yield Phrases(ids, texts, run)
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
+    """One row per document: words, merged spans of hit words (word positions) and the items found.
+
+    Several blocks are searched one after another and their spans are merged by document, so rows that repeat
+    a doc_id then give one row.
+    """
+    return _merged([_search(docs, phrases) for phrases in _blocks(benchmark, run)])
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
     if len(parts) == 1:
         return parts[0]
     found = parts[0]
@@ -237,31 +239,29 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, run: int = RUN) ->
     return grouped.mapInArrow(merged, SCHEMA)
 
 
+def _hits(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list, list]:
+    """Words, merged spans and items of each document of a batch."""
+    words = Words(batch.column("text"), lower=True, space=WORD_GAP)
+    phrase, first, end = find(words, phrases)
+    doc = np.searchsorted(words.doc_off, first, side="right") - 1
+    spans: dict[int, set] = {}
+    items: dict[int, set] = {}
+    for d, k, a, b in zip(doc.tolist(), phrase.tolist(), first.tolist(), end.tolist(), strict=True):
+        base = int(words.doc_off[d])
+        spans.setdefault(d, set()).add((a - base, b - base))
+        items.setdefault(d, set()).update(phrases.items[k])
+    n = range(batch.num_rows)
+    return words.count().astype(np.int64), [merge(list(spans.get(i, ()))) for i in n], [sorted(items.get(i, ())) for i in n]
+
+
 def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches):
-        p = sent.value
         for batch in slices(batches):
-            words = Words(batch.column("text"), lower=True, space=WORD_GAP)
-            phrase, first, end = find(words, p)
-            doc = np.searchsorted(words.doc_off, first, side="right") - 1
-            spans: dict[int, set] = {}
-            items: dict[int, set] = {}
-            for d, k, a, b in zip(doc.tolist(), phrase.tolist(), first.tolist(), end.tolist(), strict=True):
-                base = int(words.doc_off[d])
-                spans.setdefault(d, set()).add((a - base, b - base))
-                items.setdefault(d, set()).update(p.items[k])
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(words.count().astype(np.int64)),
-                    pa.array([[{"start": a, "end": b} for a, b in merge(list(spans.get(i, ())))] for i in range(n)], _ARROW.field("spans").type),
-                    pa.array([sorted(items.get(i, ())) for i in range(n)], _ARROW.field("items").type),
-                ],
-                schema=_ARROW,
-            )
+            n_words, spans, items = _hits(batch, sent.value)
+            spans = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], _ARROW.field("spans").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), spans, pa.array(items, _ARROW.field("items").type)], schema=_ARROW)
 
     return doc_columns(docs).mapInArrow(scan, SCHEMA)
 
@@ -279,13 +279,24 @@ def judge(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
     """Documents that the rule doesn't call contaminated, with all their columns.
 
-    The verdict is taken in one pass with the row where the benchmark fits one block; else joined by doc_id.
+    Where the benchmark is one block, the verdict is taken as the row passes, without a shuffle; else rows are joined by doc_id.
     """
-    bad = judge(contaminated_spans(docs, benchmark)).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    blocks = list(_blocks(benchmark, run))
+    if len(blocks) > 1:
+        bad = judge(_merged([_search(docs, p) for p in blocks])).where("contaminated").select("doc_id")
+        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+    def keep(batches):
+        for batch in slices(batches):
+            n_words, spans, _ = _hits(batch, sent.value)
+            n_hit = np.array([sum(b - a for a, b in own) for own in spans], np.int64)
+            yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

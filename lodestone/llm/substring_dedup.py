@@ -12,7 +12,7 @@ SHARD_WORDS; passages of an anchor with more (one passage in very many texts) ar
 window hashes instead, which any number of tasks can share.
 
 Defined results: null and empty texts have no words; a text of fewer than WINDOW words loses nothing;
-repeated rows with one doc_id are one document and never remove each other's words; the digest of nothing
+rows that repeat a doc_id (with its text) are one document and never remove each other's words; the digest of nothing
 kept is that of the empty string; columns beyond doc_id and text are not read.
 """
 
@@ -181,18 +181,20 @@ def _kept(raw: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[int, byt
     return removed, b" ".join([raw[i] for i in np.flatnonzero(mask).tolist()])
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text_md5", pa.string())])
 _SPAN = pa.list_(pa.int64())
 _PARTS = pa.schema([("kind", pa.int32()), *_OUT, ("text", pa.string()), ("low", _SPAN), ("high", _SPAN), ("lead", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
-_OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 string"
 _PARTS_DDL = f"kind int, {_OUT_DDL}, text string, low array<long>, high array<long>, lead long, start long, words binary"
 _DONE, _OPEN, _UNIT = 0, 1, 2
 
 
 def _row(doc: int, text: str | None, low: np.ndarray, high: np.ndarray, texts: bool) -> dict:
-    raw = (text or "").encode().split()
+    data = (text or "").encode()
+    raw = data.split()
     removed, kept = _kept(raw, low, high)
-    return {"doc_id": doc, "n_words": len(raw), "n_removed": removed, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if texts and removed else None}
+    changed = texts and removed > 0
+    return {"doc_id": doc, "n_words": len(raw), "n_removed": removed, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if changed else None, "text_md5": hashlib.md5(data).hexdigest() if changed else None}
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -308,15 +310,18 @@ def _searched(units: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out; untouched texts stay as they are."""
-    changed = dedup(docs, texts=True).where("n_removed > 0").select("doc_id", "kept")
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("kept", "text")).drop("kept")
+    changed = dedup(docs, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept"))
+    # rows that repeat a document get one text each
+    changed = changed.groupBy("_id", "_md5").agg(F.first("_kept").alias("_kept"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_md5"))
+    out = docs.join(changed, same, "left").withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return dedup(table(spark, sf_dir, "documents")).drop("kept", "text_md5")
 
 
 def brute_force(docs: dict[int, str | None], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
