@@ -6,12 +6,9 @@ Bands of equal registers propose links; the joint likelihood of two sketches est
 links are confirmed on the whole shingle sets and joined into components.
 
 A band's bucket never emits all its pairs. It is first compared with one leader, then with the members
-of most links. Buckets that then hold several components are compared exactly, but for documents
-that can have no partner there: with the leader most similar to it as pivot, what a document can share with
-a partner is what the pivot has too and those other shingles that occur in another component; with s of
-these it reaches similarity 3/4 only with partners of at most 7/3 s - n shingles; and where the pivot's part
-is too little, partners are found by the other shingles. So near-copies of one text are told apart without
-comparing them in pairs.
+of most links. Buckets that then hold several components are compared exactly, but through pivots: with a
+leader of another component as pivot, a partner must have the document's other shingles where the pivot's are
+too few, and these are rare. So near-copies of one text are told apart without comparing them in pairs.
 At similarity 3/4 two sketches share no band with probability under 1e-6.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of
@@ -31,8 +28,6 @@ SHINGLE = 5
 REGISTERS, BANDS, ROWS, BASE = 256, 51, 5, 1.05
 #: Similarity as a fraction, and the estimate below which a candidate is given up (over five standard errors).
 NUM, DEN, ESTIMATE = 3, 4, 0.60
-#: How often documents without a possible partner are left out; each time may free others.
-PRUNINGS = 2
 #: Leaders of a bucket, each of another component.
 LEADERS = 3
 
@@ -106,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), a 128-bit digest of the set (d1, d2) and the registers."""
 
     def run(batches):
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             sets = shingle_sets(Words(batch.column("text"), lower=True))
             regs = sketch(sets)
             with np.errstate(over="ignore"):
@@ -125,11 +120,12 @@ def band_rows(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "prio", F.explode(keys).alias("key"))
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) that the joint estimate and the sizes leave, with the estimate."""
+def estimated(pairs: DataFrame, reps: DataFrame, least: float = ESTIMATE) -> DataFrame:
+    """Candidate pairs (a, b) that the joint estimate and, with a least estimate, the sizes leave, with the estimate."""
     own = reps.select("rep", "n", "regs")
     both = pairs.join(own.toDF("a", "n_a", "r_a"), "a").join(own.toDF("b", "n_b", "r_b"), "b")
-    both = both.where((DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a")))
+    if least > 0:
+        both = both.where((DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a")))
 
     def run(batches):
         for b in batches:
@@ -137,7 +133,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 c = b.slice(k, 4000)
                 r = [np.frombuffer(b"".join(c.column(x).to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in ("r_a", "r_b")]
                 est = joint_estimate(*r, c.column("n_a").to_numpy(), c.column("n_b").to_numpy()) if c.num_rows else np.zeros(0)
-                on = np.flatnonzero(est >= ESTIMATE)
+                on = np.flatnonzero(est >= least)
                 yield pa.RecordBatch.from_arrays([c.column("a").take(pa.array(on)), c.column("b").take(pa.array(on)), pa.array(est[on], pa.float64())], ["a", "b", "estimate"])
 
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, estimate double")
@@ -150,7 +146,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last, own = None, None
-        for batch in slices(batches, 4 << 20, "text_b"):
+        for batch in slices(batches, 2 << 20, "text_b"):
             sets = shingle_sets(Words(batch.column("text_b"), lower=True))
             keep = []
             ids = batch.column("a").to_pylist()
@@ -191,7 +187,7 @@ def _shingle_rows(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """rep, shingle of the documents named."""
 
     def run(batches):
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             sets = shingle_sets(Words(batch.column("text"), lower=True))
             doc = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
             flat = as_long(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)
@@ -207,7 +203,7 @@ def _outside(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last, own = None, None
-        for batch in slices(batches, 4 << 20, "text_b"):
+        for batch in slices(batches, 2 << 20, "text_b"):
             sets = shingle_sets(Words(batch.column("text_b"), lower=True))
             shared, extra = [], []
             for i, a in enumerate(batch.column("a").to_pylist()):
@@ -222,68 +218,51 @@ def _outside(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("rep", "shared", F.explode_outer("extra").alias("shingle"))
 
 
-def _able(left: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
-    """Of unsettled rows (key, rep, comp, n), those whose document may have a partner in another component there.
-
-    What a document can share with a partner is what its pivot has too, and of its other shingles (`beyond`)
-    those that occur in another component. A link needs 3/7 of both sizes in common.
-    """
-    own = shingles.join(left.select("rep", "comp").distinct(), "rep")
-    both = materialize(own.groupBy("shingle").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("shingle"), "common")
-    common = beyond.join(both, "shingle").groupBy("rep").agg(F.count("*").alias("common"))
-    pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
-    able = left.select("key", "rep", "comp", "n").join(pivot, "rep").join(common, "rep", "left")
-    able = able.withColumn("most", F.floor(7 * (F.col("shared") + F.coalesce("common", F.lit(0))) / 3 - F.col("n")))
-    return _of_several(able.select("key", "rep", "comp", "n", "most"))
-
-
-def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
+def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame, least: float = ESTIMATE) -> DataFrame:
     """Pairs (a, b, estimate): b in an unsettled bucket, a a leader of one of b's buckets, of another component.
 
-    A bucket is led by the documents with the most links of LEADERS components at most.
+    A bucket is led by the documents with the most links of LEADERS components.
     """
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    best = left.join(degree, "rep").groupBy("key", F.col("comp").alias("lead_comp")).agg(F.max(F.struct("links", F.col("rep").alias("lead"))).alias("m"))
+    rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("rep").alias("h"), F.col("rep").alias("lead"))
+    best = left.join(degree, "rep", "left").groupBy("key", F.col("comp").alias("lead_comp")).agg(F.max(rank).alias("m"))
     w = Window.partitionBy("key").orderBy(F.desc("m"))
     lead = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS).select("key", "m.lead", "lead_comp")
     pairs = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    return estimated(pairs, reps)
+    return estimated(pairs, reps, least)
 
 
-def _candidates(able: DataFrame, shingles: DataFrame, beyond: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked.
+def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one unsettled bucket that may be linked; none is left out.
 
-    Where what a document has in common with its pivot is less than 3/7 of both sizes, a partner must have some
-    of its other shingles: such pairs are found by these, from the side of the smaller component if both sides
-    are so. Other pairs are found by their bucket.
+    A document's pivot is the leader of another component most similar by estimate. What it shares with a partner
+    is at most what it shares with its pivot, and of its other shingles those that the partner has. Where the
+    first is under 3/7 of both sizes, the pair is found by the others, from the side of the smaller component if
+    both sides are so. Other pairs, whose partner must be smaller than the pivot, are found by their bucket.
     """
-    info = able.groupBy("rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    size = info.groupBy("comp").agg(F.count("*").alias("size"))
-    pivot = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
-    # a document without a pivot is never short of anything
-    own = F.when(F.col("shared") > 0, F.col("shared")).otherwise(F.lit(1 << 40))
-    info = materialize(info.join(size, "comp").join(pivot, "rep").select("rep", "comp", "n", own.alias("shared"), "size"), "able")
-    mine = beyond.select("rep", "shingle").join(info, "rep").where("shared < 2 * n").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a")
-    other = shingles.join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b")
+    nearest = _lead_pairs(left, links, reps, 0.0).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+    beyond = materialize(_outside(nearest, docs), "pivots")
+    who = left.select("rep", "comp").distinct()
+    size = who.groupBy("comp").agg(F.count("*").alias("size"))
+    shared = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
+    info = who.join(size, "comp").join(reps.select("rep", "n"), "rep").join(shared, "rep")
+    info = materialize(info.select("rep", "comp", "n", "shared", "size"), "unsettled")
+    mine = beyond.where("shingle is not null").select("rep", "shingle").join(info, "rep").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a")
+    other = _shingle_rows(info.select("rep"), docs).join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b")
     short_a, short_b = "7 * shared_a < 3 * (n_a + n_b)", "7 * shared_b < 3 * (n_a + n_b)"
     from_a = F.expr(f"c_a <> c_b and {short_a} and (not ({short_b}) or size_a < size_b or (size_a = size_b and c_a < c_b))")
     met = mine.join(other, "shingle").where(from_a).groupBy("a", "b", "n_a", "n_b", "shared_a").agg(F.count("*").alias("extra"))
     by_shingle = met.where("7 * (shared_a + extra) >= 3 * (n_a + n_b)").select("a", "b")
-    broad = able.join(info.select("rep", "shared"), "rep").withColumn("most", F.least("most", F.floor(7 * F.col("shared") / 3 - F.col("n"))))
-    broad = _of_several(broad.select("key", "rep", "comp", "n", "most"))
-    x, y = broad.toDF("key", "a", "c_a", "n_a", "most_a"), broad.toDF("key", "b", "c_b", "n_b", "most_b")
+
+    # pairs of which no side is short: partners of n <= most for both
+    able = left.select("key", "rep").join(info.select("rep", "comp", "n", F.floor(7 * F.col("shared") / 3 - F.col("n")).alias("most")).where("4 * most >= 3 * n"), "rep")
+    bounds = able.groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    able = materialize(able.join(bounds.select("key", "least"), "key").where("most >= least").select("key", "rep", "comp", "n", "most"), "unsettled")
+    x, y = able.toDF("key", "a", "c_a", "n_a", "most_a"), able.toDF("key", "b", "c_b", "n_b", "most_b")
     fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     return by_shingle.unionByName(x.join(y, "key").where(fits).select("a", "b")).distinct()
 
 
-def _of_several(rows: DataFrame) -> DataFrame:
-    """Rows (key, rep, comp, n, most) whose bucket holds a document small enough for them, and then several components."""
-    smallest = rows.groupBy("key").agg(F.min("n").alias("least"))
-    rows = rows.join(smallest, "key").where("most >= least").select("key", "rep", "comp", "n", "most")
-    several = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    return materialize(rows.join(several, "key", "left_semi"), "unsettled")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     base = materialize(sketches(docs), "sketches")
@@ -316,17 +295,9 @@ def _components(reps: DataFrame, docs: DataFrame) -> DataFrame:
     comps = components(more, comps)
     links = links.unionByName(more)
 
-    # and the rest of each such bucket exactly, without those that can have no partner in it
-    left = materialize(_unsettled(shared, comps).join(reps.select("rep", "n"), "rep"), "unsettled")
-    shingles = materialize(_shingle_rows(left.select("rep").distinct(), docs), "shingles")
-    nearest = _lead_pairs(left, links, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-    pivots = materialize(_outside(nearest, docs), "pivots")
-    alone = shingles.join(pivots.select("rep").distinct(), "rep", "left_anti").select("rep", F.lit(0).cast("long").alias("shared"), "shingle")
-    beyond = pivots.unionByName(alone)
-    able = left
-    for _ in range(PRUNINGS):
-        able = _able(able, shingles, beyond)
-    return components(confirmed(estimated(_candidates(able, shingles, beyond), reps), docs), comps)
+    # and the rest of each such bucket exactly
+    rest = _candidates(_unsettled(shared, comps), links, reps, docs)
+    return components(confirmed(estimated(rest, reps), docs), comps)
 
 
 def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
