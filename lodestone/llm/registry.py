@@ -12,6 +12,7 @@ from .language import op7_language
 from .language_model import op4_language_model
 from .media import op6_media
 from .near_dedup import op2_near_dedup
+from .oracle import DECONTAMINATION, NEAR_DEDUP, SUBSTRING_DEDUP
 from .packing import op3_packing
 from .quality import op5_quality
 from .substring_dedup import op1_substring_dedup
@@ -29,4 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_DEDUP,
+    "op2_near_dedup": NEAR_DEDUP,
+    "op9_decontamination": DECONTAMINATION,
+}
