@@ -30,6 +30,10 @@ REGISTERS, BANDS, ROWS, BASE = 256, 51, 5, 1.05
 NUM, DEN, ESTIMATE = 3, 4, 0.60
 #: Leaders of a bucket, each of another component.
 LEADERS = 3
+#: Leaders that a document is compared with at first.
+MEETINGS = 4
+#: A shingle in so many documents of other components counts as common.
+COMMON = 100
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -228,27 +232,44 @@ def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame, least: float
     best = left.join(degree, "rep", "left").groupBy("key", F.col("comp").alias("lead_comp")).agg(F.max(rank).alias("m"))
     w = Window.partitionBy("key").orderBy(F.desc("m"))
     lead = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS).select("key", "m.lead", "lead_comp")
-    pairs = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    return estimated(pairs, reps, least)
+    met = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    return estimated(_most_met(met), reps, least)
+
+
+def _most_met(met: DataFrame) -> DataFrame:
+    """Of rows (a, b), one for each bucket in common, the distinct pairs of each b with the a met most often, MEETINGS at most.
+
+    This only chooses whom to compare first; what it leaves out is compared exactly later.
+    """
+    counts = met.groupBy("a", "b").agg(F.count("*").alias("times"))
+    w = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    return counts.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= MEETINGS).select("a", "b")
 
 
 def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one unsettled bucket that may be linked; none is left out.
 
     A document's pivot is the leader of another component most similar by estimate. What it shares with a partner
-    is at most what it shares with its pivot, and of its other shingles those that the partner has. Where the
-    first is under 3/7 of both sizes, the pair is found by the others, from the side of the smaller component if
-    both sides are so. Other pairs, whose partner must be smaller than the pivot, are found by their bucket.
+    is at most what it shares with its pivot, its other shingles that are common in other components, and of the
+    rest those that the partner has. Where the first two are under 3/7 of both sizes, the pair is found by the
+    rest, from the side of the smaller component if both sides are so; a shingle of the rest meets fewer than
+    COMMON documents. Other pairs are found by their bucket.
     """
     nearest = _lead_pairs(left, links, reps, 0.0).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-    beyond = materialize(_outside(nearest, docs), "pivots")
-    who = left.select("rep", "comp").distinct()
+    who = materialize(left.select("rep", "comp").distinct(), "unsettled")
+    beyond = _outside(nearest, docs).join(who, "rep")
+    every = materialize(_shingle_rows(who.select("rep"), docs).join(who, "rep"), "shingles")
+    total = materialize(every.groupBy("shingle").agg(F.count("*").alias("total")).where(F.col("total") > COMMON), "common")
+    inside = every.join(total, "shingle").groupBy("shingle", "comp", "total").agg(F.count("*").alias("own"))
+    common = materialize(inside.where(F.col("total") - F.col("own") >= COMMON).select("shingle", "comp", F.lit(1).alias("common")), "common")
+    beyond = materialize(beyond.join(common, ["shingle", "comp"], "left"), "pivots")
+
     size = who.groupBy("comp").agg(F.count("*").alias("size"))
-    shared = beyond.groupBy("rep").agg(F.max("shared").alias("shared"))
+    shared = beyond.groupBy("rep").agg((F.max("shared") + F.count("common")).alias("shared"))
     info = who.join(size, "comp").join(reps.select("rep", "n"), "rep").join(shared, "rep")
     info = materialize(info.select("rep", "comp", "n", "shared", "size"), "unsettled")
-    mine = beyond.where("shingle is not null").select("rep", "shingle").join(info, "rep").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a")
-    other = _shingle_rows(info.select("rep"), docs).join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b")
+    mine = beyond.where("shingle is not null and common is null").select("rep", "shingle").join(info, "rep").toDF("a", "shingle", "c_a", "n_a", "shared_a", "size_a")
+    other = every.select("rep", "shingle").join(info, "rep").toDF("b", "shingle", "c_b", "n_b", "shared_b", "size_b")
     short_a, short_b = "7 * shared_a < 3 * (n_a + n_b)", "7 * shared_b < 3 * (n_a + n_b)"
     from_a = F.expr(f"c_a <> c_b and {short_a} and (not ({short_b}) or size_a < size_b or (size_a = size_b and c_a < c_b))")
     met = mine.join(other, "shingle").where(from_a).groupBy("a", "b", "n_a", "n_b", "shared_a").agg(F.count("*").alias("extra"))
@@ -285,8 +306,8 @@ def _components(reps: DataFrame, docs: DataFrame) -> DataFrame:
     shared = materialize(rows.join(buckets, "key").select("key", "rep", "lead"), "buckets")
 
     # each document against the best of its buckets' leaders
-    pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    best = estimated(pairs, reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+    met = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    best = estimated(_most_met(met), reps).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialize(confirmed(best, docs), "links")
     comps = components(links)
 
