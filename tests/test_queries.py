@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.plans import queries
+from lodestone.plans import more_queries, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
