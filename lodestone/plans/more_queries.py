@@ -16,7 +16,7 @@ NOW = "2024-02-01 00:00:00"
 
 @query("""select event_id, 'ord ' || event_id as a, case event_id % 4 when 0 then 'Ready' when 1 then 'Embedding ' || cast(round(100.0 * least(1.0, (event_id % 7) / 5.0)) as int) || '%' when 2 then 'Reading' else 'Failed' end as stage,
  case event_id % 3 when 0 then 'Low confidence' when 1 then 'other reason' else 'The answer cites nothing' end as reason, case when event_id % 2 = 0 then 1.5 * (event_id % 10) end as retry,
- case when event_id % 5 <> 0 then date '2024-01-01' + cast(event_id % 28 as int) end as due from events""")
+ case when event_id % 5 <> 0 then strftime(date '2024-01-01' + cast(event_id % 28 as int), '%Y-%m-%d') end as due from events""")
 def label_functions(spark, d):
     i = F.col("event_id")
     status = F.when(i % 4 == 0, F.lit("ready")).when(i % 4 == 3, F.lit("failed")).otherwise(F.lit("processing"))
@@ -30,7 +30,7 @@ def label_functions(spark, d):
         text.stage_label(status, stage, i % 7, F.lit(5)).alias("stage"),
         text.flag_reason_text(reason).alias("reason"),
         text.retry_after(message).alias("retry"),
-        text.due_date(day).alias("due"),
+        F.date_format(text.due_date(day), "yyyy-MM-dd").alias("due"),
     )
 
 

@@ -17,9 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, long: tuple[str, ...] = ()):
+    """Registers a query, with equivalent SQL if there is one. long: ranks that SQL gives as 64-bit integers."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("long") for c in long})) if long else f
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -55,13 +57,13 @@ dense as (select * from (select query_id, chunk_id, score, row_number() over (pa
  (select query_id, chunk_id, q_label, label, round(list_cosine_similarity(qv, v), 6) as score from q, c)) where dense_rank <= 20)"""
 
 
-@query(f"with {_DENSE} select query_id, chunk_id, score, dense_rank from dense")
+@query(f"with {_DENSE} select query_id, chunk_id, score, dense_rank from dense", long=("dense_rank",))
 def dense_search(spark, d):
     return retrieval.dense_search(_queries(spark, d), fx.chunks(spark, d).select("chunk_id", "vector"), 20)
 
 
 @query(f"""with {_DENSE} select query_id, chunk_id, score, dense_rank from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as dense_rank from
- (select query_id, chunk_id, round(list_cosine_similarity(qv, v), 6) as score from q, c where q_label = label)) where dense_rank <= 5""")
+ (select query_id, chunk_id, round(list_cosine_similarity(qv, v), 6) as score from q, c where q_label = label)) where dense_rank <= 5""", long=("dense_rank",))
 def dense_search_scoped(spark, d):
     c = fx.chunks(spark, d).select("chunk_id", "vector", F.col("label").alias("scope"))
     return retrieval.dense_search(_queries(spark, d), c, 5, same_scope=True)
@@ -85,7 +87,7 @@ cw as (select chunk_id, unnest(words) as w from lex),
 sparse as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as sparse_rank from (select query_id, chunk_id, count(*) as score from qw join cw using (w) group by 1, 2)) where sparse_rank <= 20)"""
 
 
-@query(f"with {_SPARSE} select query_id, chunk_id, score, sparse_rank from sparse")
+@query(f"with {_SPARSE} select query_id, chunk_id, score, sparse_rank from sparse", long=("sparse_rank",))
 def lexical_leg(spark, d):
     return _legs(spark, d)[1]
 
@@ -93,7 +95,7 @@ def lexical_leg(spark, d):
 @query(f"""with {_DENSE}, {_SPARSE}, fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_id, b.chunk_id) as chunk_id, dense_rank, sparse_rank,
  coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.2::double / (60 + sparse_rank), 0) as s from dense a full outer join sparse b on a.query_id = b.query_id and a.chunk_id = b.chunk_id),
 ranked as (select *, row_number() over (partition by query_id order by round(s, 12) desc, dense_rank nulls last, sparse_rank nulls last, chunk_id) as fused_rank from fused)
-select query_id, chunk_id, dense_rank::double as dense_rank, sparse_rank::double as sparse_rank, round(s, 9) as fused_score, fused_rank from ranked where fused_rank <= 5""")
+select query_id, chunk_id, dense_rank::double as dense_rank, sparse_rank::double as sparse_rank, round(s, 9) as fused_score, fused_rank from ranked where fused_rank <= 5""", long=("fused_rank",))
 def hybrid_fusion(spark, d):
     """Flagship: dense and lexical legs fused by reciprocal ranks."""
     fused = retrieval.fuse(*_legs(spark, d), 1.0, 1.2).where("fused_rank <= 5")
@@ -102,7 +104,7 @@ def hybrid_fusion(spark, d):
 
 
 @query(f"""with {_DENSE}, k as (select dense.*, d.source from dense join documents d on d.doc_id = chunk_id)
-select query_id, chunk_id, source as document_id, dense_rank from (select *, row_number() over (partition by query_id, source order by dense_rank) as nth from k) where nth <= 1""")
+select query_id, chunk_id, source as document_id, dense_rank from (select *, row_number() over (partition by query_id, source order by dense_rank) as nth from k) where nth <= 1""", long=("dense_rank",))
 def per_document_cap(spark, d):
     found = dense_search(spark, d).join(fx.chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
     return retrieval.cap_per_document(found, 1, "dense_rank").select("query_id", "chunk_id", "document_id", "dense_rank")
@@ -188,17 +190,17 @@ def latency_percentiles(spark, d):
     return health.percentiles(e, "ms", {"p50": 50, "p95": 95, "p99": 99}, ["event_type"])
 
 
-@query(f"""with {fx.ANSWERS}, c as (select case when model is null then 'not recorded' else model end as value, count(*) as n, min(created_at) as f from answers group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""")
+@query(f"""with {fx.ANSWERS}, c as (select case when model is null then 'not recorded' else model end as value, count(*) as n, min(created_at) as f from answers group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""", long=("position",))
 def model_mix(spark, d):
     return health.frequency(fx.answers(spark, d), F.col("model"), "not recorded")
 
 
-@query(f"""with {fx.RUNS}, c as (select coalesce(profile, 'lookup') as value, count(*) as n, min(created_at) as f from runs group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""")
+@query(f"""with {fx.RUNS}, c as (select coalesce(profile, 'lookup') as value, count(*) as n, min(created_at) as f from runs group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""", long=("position",))
 def profile_mix(spark, d):
     return health.frequency(fx.runs(spark, d), F.col("profile"), "lookup")
 
 
-@query(f"""with {fx.ANSWERS}, x as (select created_at, unnest(flag_reasons) as value from answers), c as (select value, count(*) as n, min(created_at) as f from x group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""")
+@query(f"""with {fx.ANSWERS}, x as (select created_at, unnest(flag_reasons) as value from answers), c as (select value, count(*) as n, min(created_at) as f from x group by 1) select value, n, row_number() over (order by n desc, f, value) as position from c""", long=("position",))
 def flag_reason_mix(spark, d):
     return health.flag_reasons(fx.answers(spark, d))
 
@@ -463,7 +465,7 @@ def history_tail(spark, d):
 
 
 @query(f"""with {fx.TASKS} select task_id, workspace_id, row_number() over (partition by workspace_id order by due_date nulls last, list_position(['urgent', 'high', 'medium', 'low', 'none'], priority), title, task_id) as position,
- due_date is not null and due_date < date '1999-01-01' and status <> 'done' as overdue from tasks where status <> 'done'""")
+ due_date is not null and due_date < date '1999-01-01' and status <> 'done' as overdue from tasks where status <> 'done'""", long=("position",))
 def task_list(spark, d):
     t = work.ordered(work.scope(fx.tasks(spark, d), "all", "open"))
     return t.select("task_id", "workspace_id", "position", work.is_overdue(F.col("due_date"), F.col("status"), F.lit("1999-01-01").cast("date")).alias("overdue"))
@@ -556,7 +558,7 @@ def recent_decisions(spark, d):
     return work.recent_decisions(fx.reviews(spark, d), a)
 
 
-@query("select event_id as id, ts, nth, nth > 25 as beyond from (select *, row_number() over (order by ts desc, event_id desc) as nth from events where ts < timestamp '2024-01-20') where nth <= 26")
+@query("select event_id as id, ts, nth, nth > 25 as beyond from (select *, row_number() over (order by ts desc, event_id desc) as nth from events where ts < timestamp '2024-01-20') where nth <= 26", long=("nth",))
 def audit_page(spark, d):
     """A page of the newest 25 rows before a time, and whether there are more."""
     e = fx.read(spark, d, "events").where("ts < timestamp_ntz '2024-01-20 00:00:00'").select(F.col("event_id").alias("id"), "ts")
