@@ -259,8 +259,9 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     who = materialize(left.select("rep", "comp").distinct(), "unsettled")
     beyond = _outside(nearest, docs).join(who, "rep")
     every = materialize(_shingle_rows(who.select("rep"), docs).join(who, "rep"), "shingles")
-    total = materialize(every.groupBy("shingle").agg(F.count("*").alias("total")).where(F.col("total") > COMMON), "common")
-    inside = every.join(total, "shingle").groupBy("shingle", "comp", "total").agg(F.count("*").alias("own"))
+    inside = every.groupBy("shingle", "comp").agg(F.count("*").alias("own"))
+    total = inside.groupBy("shingle").agg(F.sum("own").alias("total")).where(F.col("total") > COMMON)
+    inside = inside.join(total, "shingle")
     common = materialize(inside.where(F.col("total") - F.col("own") >= COMMON).select("shingle", "comp", F.lit(1).alias("common")), "common")
     beyond = materialize(beyond.join(common, ["shingle", "comp"], "left"), "pivots")
 
@@ -304,6 +305,8 @@ def _components(reps: DataFrame, docs: DataFrame) -> DataFrame:
     rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.max_by("rep", "prio").alias("lead"), F.count("*").alias("many")).where("many > 1").select("key", "lead")
     shared = materialize(rows.join(buckets, "key").select("key", "rep", "lead"), "buckets")
+    # from here on only the texts of documents that share a bucket are read
+    docs = materialize(doc_columns(docs).join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     # each document against the best of its buckets' leaders
     met = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
