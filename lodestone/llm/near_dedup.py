@@ -260,8 +260,7 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     beyond = _outside(nearest, docs).join(who, "rep")
     every = materialize(_shingle_rows(who.select("rep"), docs).join(who, "rep"), "shingles")
     inside = every.groupBy("shingle", "comp").agg(F.count("*").alias("own"))
-    total = inside.groupBy("shingle").agg(F.sum("own").alias("total")).where(F.col("total") > COMMON)
-    inside = inside.join(total, "shingle")
+    inside = inside.withColumn("total", F.sum("own").over(Window.partitionBy("shingle")))
     common = materialize(inside.where(F.col("total") - F.col("own") >= COMMON).select("shingle", "comp", F.lit(1).alias("common")), "common")
     beyond = materialize(beyond.join(common, ["shingle", "comp"], "left"), "pivots")
 
