@@ -101,6 +101,12 @@ def test_chunk_structure():
     assert all(r[5] == "H" for r in got)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB |\n\t’“—…​ é´ﬁß<br>/Ⅷ", max_size=40))
+def test_quick_fold_equals_fold(t):
+    assert quotes.folded_text(t) == quotes.fold(t)[0]
+
+
 def test_quotes_overlap_and_fold(spark):
     assert quotes.occurrences("aXaXa", "axa") == [(0, 3), (2, 5)]
     assert quotes.occurrences("| one | two<br>three |", "one two three") == [(2, 20)]
