@@ -40,6 +40,15 @@ def test_group_probabilities_sum_to_one():
     assert np.allclose(np.bincount(cell, p), 1, atol=1e-6)
 
 
+def test_sweeps_of_a_group(monkeypatch):
+    swept = []
+    sweep = lm.Seating.sweep
+    monkeypatch.setattr(lm.Seating, "sweep", lambda self, w, d: (swept.append(d), sweep(self, w, d)))
+    lm.predictive(np.array([0, 1]), np.array([0, 0]), np.array([40, 3]), 2, 1)
+    assert swept.count(lm.DISCOUNT) == 4 and swept.count(lm.PARENT_DISCOUNT) == 5
+    assert len(lm.Seating(np.array([40]), np.random.default_rng(0)).rounds) == 32
+
+
 def test_seating_keeps_its_counts():
     rng = np.random.default_rng(3)
     count = np.array([0, 1, 2, 7, 100, 1000])
