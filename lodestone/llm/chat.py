@@ -5,21 +5,25 @@ marker's class and a few line features; Viterbi recovers the likeliest states, a
 <|role|>, text, <|end|>.
 
 Defined results: a null or blank transcript has no turns and renders empty; a marker's text is removed from
-its line; unknown markers are text; ties go to the state first in STATES; a conversation of more than
-PART_TURNS turns is parsed in parts of PART_TURNS, each from the initial distribution, so one conversation
-of any length is never one task's work; repeated rows are turns of their own, ordered by turn, role and text.
+its line; unknown markers are text; ties go to the state first in STATES; repeated rows are turns of their
+own, ordered by turn, role and text. A conversation of any length is one result: its turns are dealt by their
+place into blocks of PART_TURNS, each block's best ways from state to state are found by itself, combined in
+order, and traced back within the blocks, so the states are those of the whole transcript.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import materialize, table
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, first) for r in ROLES for first in (True, False)]
@@ -35,9 +39,13 @@ _ROLE_OF = {m.lower(): r for r, own in MARKERS.items() for m in own}
 _MARKER = re.compile(r"\s*(" + "|".join(re.escape(m) for m in sorted(_ROLE_OF, key=len, reverse=True)) + r")[ \t]*", re.IGNORECASE)
 
 
+#: Log-likelihoods are integers, so that sums don't depend on where a transcript is cut; and that of what can't be.
+UNIT, NEVER = 1 << 28, -(1 << 55)
+
+
 def _log(rows) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(np.array(rows, float))
+    p = np.array(rows, float)
+    return np.where(p > 0, np.rint(np.log(np.where(p > 0, p, 1)) * UNIT), NEVER).astype(np.int64)
 
 
 # in the order of STATES: system, system+, user, user+, assistant, assistant+
@@ -64,10 +72,9 @@ FEATURES = _log(
 )
 
 
-def observe(lines: list[str]) -> tuple[np.ndarray, list[str]]:
-    """Log-likelihood of each line in each state, and the lines without their markers."""
-    emit, bare = np.zeros((len(lines), len(STATES))), []
-    before = True
+def observe(lines: list[str], before: bool = True) -> tuple[np.ndarray, list[str]]:
+    """Log-likelihood of each line in each state, and the lines without their markers. before: the line before is blank."""
+    emit, bare = np.zeros((len(lines), len(STATES)), np.int64), []
     for i, line in enumerate(lines):
         m = _MARKER.match(line)
         role = _ROLE_OF[m[1].lower()] if m else None
@@ -79,18 +86,42 @@ def observe(lines: list[str]) -> tuple[np.ndarray, list[str]]:
     return emit, bare
 
 
-def viterbi(emit: np.ndarray) -> list[int]:
-    best, back = START + emit[0], []
+def viterbi(emit: np.ndarray, entry: np.ndarray | None = None, leave: int | None = None) -> list[int]:
+    """Likeliest states; of a block, by the likelihoods of the states before it and the state that its last line is in."""
+    best = (START if entry is None else (entry[:, None] + STEP).max(axis=0)) + emit[0]
+    back = []
     for row in emit[1:]:
         ways = best[:, None] + STEP
         back.append(ways.argmax(axis=0))
         best = ways.max(axis=0) + row
-    path = [int(best.argmax())]
+    path = [int(best.argmax()) if leave is None else leave]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return path[::-1]
 
 
+def block_ways(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihood of the best way from each state before a block to each state of its last line, and which goes first on ties.
+
+    Ties go by the states from the last line back, as in one traceback over all lines.
+    """
+    n = len(STATES)
+    best, back = STEP + emit[0], []
+    for row in emit[1:]:
+        ways = best[:, :, None] + STEP
+        back.append(ways.argmax(axis=1))
+        best = ways.max(axis=1) + row
+    path = np.empty((len(emit), n, n), np.int8)
+    path[-1] = np.arange(n)
+    for i in range(len(back) - 1, -1, -1):
+        path[i] = np.take_along_axis(back[i], path[i + 1].astype(np.int64), axis=1)
+    first = np.empty((n, n), np.int64)
+    for j in range(n):
+        for place, i in enumerate(sorted(range(n), key=lambda i: (path[::-1, i, j].tobytes(), i))):
+            first[i, j] = place
+    return best, first
+
+
 def parse(transcript: str | None) -> list[tuple[str, str]]:
     """Turns (role, text) of a transcript."""
     if not transcript or not transcript.strip():
@@ -128,7 +159,7 @@ def format_transcripts(frame: DataFrame, column: str = "transcript") -> DataFram
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Raw transcripts of conversations, one row for each part of PART_TURNS turns.
+    """Raw transcripts of conversations, one row for each block of PART_TURNS turns, dealt by place in the conversation.
 
     The style of the markers goes by conversation; of the assistant's turns, one in eight has none.
     """
@@ -138,9 +169,19 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     marker = F.when(F.col("role") == "system", named["system"]).when(F.col("role") == "assistant", named["assistant"]).otherwise(named["user"])
     silent = (F.col("role") == "assistant") & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0)
     line = F.when(silent, F.col("text")).otherwise(F.concat_ws(" ", marker, F.col("text")))
-    part = F.floor(F.coalesce("turn", F.lit(0)) / PART_TURNS)
-    turn = F.struct("turn", "role", line.alias("line"))
-    grouped = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    rows = rows.select("conv_id", "turn", "role", line.alias("line"), F.monotonically_increasing_id().alias("row"))
+    order = ["conv_id", "turn", "role", "line", "row"]
+    # places within a conversation, however many of its rows have one turn number: rows of a range, and of the ranges before
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
+    placed = materialize(placed.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "turns")
+    ranges = placed.groupBy("conv_id", "range").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range")) - F.col("n")
+    ranges = ranges.select(F.col("conv_id").alias("conv"), F.col("range").alias("of"), (before - F.col("low")).alias("add"))
+    numbered = placed.join(ranges, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("range") == F.col("of")))
+    place = F.col("at") + F.col("add")
+    part = F.floor(place / PART_TURNS)
+    turn = F.struct(place.alias("place"), "role", "line")
+    grouped = numbered.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return grouped.select(
         "conv_id",
         "part",
@@ -149,15 +190,127 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _same(conv: str) -> F.Column:
+    return F.col("conv_id").eqNullSafe(F.col(conv))
+
+
+def carried(blocks: DataFrame) -> DataFrame:
+    """conv, of (block), entry (likelihoods of the states before the block), blank (the line before) and leave (its last state).
+
+    Of conversations with several blocks; the first block's entry is null.
+    """
+    several = blocks.where("part = 1").select(F.col("conv_id").alias("conv"))
+    kind = blocks.schema["conv_id"].dataType.simpleString()
+
+    def ways(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column("transcript").to_pylist():
+                lines = text.split("\n")
+                emits = [observe(lines, blank)[0] for blank in (False, True)]
+                found.append((b"".join(x.tobytes() for e in emits for x in block_ways(e)), _ends(emits[1]).tobytes(), not lines[-1].strip()))
+            m, start, blank = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(m, pa.binary()), pa.array(start, pa.binary()), pa.array(blank, pa.bool_())], ["conv_id", "part", "ways", "start", "blank"])
+
+    def combine(group):
+        group = group.sort_by("part")
+        n = len(STATES)
+        start, blank = group.column("start").to_pylist(), group.column("blank").to_pylist()
+        both = [np.frombuffer(w, np.int64).reshape(2, 2, n, n) for w in group.column("ways").to_pylist()]
+        now, entry = np.frombuffer(start[0], np.int64), [None]
+        now = now - now.max()
+        for k in range(1, len(both)):
+            entry.append(now)
+            now = (now[:, None] + both[k][int(blank[k - 1]), 0]).max(axis=0)
+            now = now - now.max()
+        leave = [int(now.argmax())]
+        for k in range(len(both) - 1, 0, -1):
+            best, first = both[k][int(blank[k - 1])]
+            total = entry[k] + best[:, leave[-1]]
+            leave.append(min(np.flatnonzero(total == total.max()).tolist(), key=lambda i, f=first, j=leave[-1]: f[i, j]))
+        return pa.table([group.column("conv_id"), group.column("part"), pa.array([None if e is None else e.tobytes() for e in entry], pa.binary()), pa.array([True, *blank[:-1]], pa.bool_()), pa.array(leave[::-1], pa.int32())], names=["conv", "of", "entry", "blank", "leave"])
+
+    long = blocks.join(several, _same("conv"), "left_semi").select("conv_id", "part", "transcript")
+    found = long.mapInArrow(ways, f"conv_id {kind}, part long, ways binary, start binary, blank boolean")
+    return found.groupBy("conv_id").applyInArrow(combine, f"conv {kind}, of long, entry binary, blank boolean, leave int")
+
+
+def _ends(emit: np.ndarray) -> np.ndarray:
+    """Likelihood of each state of the last line of a transcript's first block."""
+    best = START + emit[0]
+    for row in emit[1:]:
+        best = (best[:, None] + STEP).max(axis=0) + row
+    return best
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    """conv_id, part, true_roles, solid (not blank), lines without markers and the state of each line."""
+    kind = blocks.schema["conv_id"].dataType.simpleString()
+    given = blocks.join(carried(blocks), _same("conv") & (F.col("part") == F.col("of")), "left").select("conv_id", "part", "true_roles", "transcript", "entry", "blank", "leave")
+
+    def run(batches):
+        for batch in batches:
+            states, bare, solid = [], [], []
+            for text, entry, blank, leave in zip(*(batch.column(c).to_pylist() for c in ("transcript", "entry", "blank", "leave")), strict=True):
+                emit, own = observe(text.split("\n"), blank is not False)
+                states.append(bytes(viterbi(emit, None if entry is None else np.frombuffer(entry, np.int64), leave)))
+                bare.append("\n".join(own))
+                solid.append(bool(text.strip()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "part", "true_roles")), pa.array(solid, pa.bool_()), pa.array(bare, pa.string()), pa.array(states, pa.binary())], ["conv_id", "part", "true_roles", "solid", "lines", "states"])
+
+    return given.mapInArrow(run, f"conv_id {kind}, part long, true_roles string, solid boolean, lines string, states binary")
+
+
+def _one(blocks) -> tuple:
+    """roles, true roles, characters and SHA-256 of the rendering of a conversation's blocks in order."""
+    roles, true, open_, chars, sha, any_solid = [], [], [], 0, hashlib.sha256(), False
+
+    def close():
+        text = render([(roles[-1], "\n".join(open_).strip())])
+        sha.update(text.encode())
+        return len(text)
+
+    for _, true_roles, solid, lines, states in blocks:
+        true.append(true_roles)
+        any_solid |= solid
+        for state, line in zip(states, lines.split("\n"), strict=True):
+            role, first = STATES[state]
+            if first or not roles:
+                chars += close() if roles else 0
+                roles.append(role)
+                open_ = []
+            open_.append(line)
+    if not any_solid:
+        return [], ",".join(true), 0, hashlib.sha256().hexdigest()
+    chars += close()
+    return roles, ",".join(true), chars, sha.hexdigest()
+
+
+def rendered(conversations: DataFrame) -> DataFrame:
+    """conv_id, n_turns, roles, true_roles, rendered_chars and rendered_sha256 of each conversation; its blocks pass one by one."""
+    blocks = materialize(transcripts(conversations), "blocks")
+    kind = blocks.schema["conv_id"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("roles", pa.string()), ("true_roles", pa.string()), ("rendered_chars", pa.int64()), ("rendered_sha256", pa.string())])
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "true_roles", "solid", "lines", "states")), strict=True)
+
+    def run(batches):
+        out = []
+        for conv, own in groupby(rows(batches), key=lambda r: r[0]):
+            roles, true, chars, sha = _one(own)
+            out.append({"conv_id": conv, "n_turns": len(roles), "roles": ",".join(roles), "true_roles": true, "rendered_chars": chars, "rendered_sha256": sha})
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    own = decoded(blocks).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return own.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, roles string, true_roles string, rendered_chars long, rendered_sha256 string")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = format_transcripts(transcripts(table(spark, sf_dir, "conversations")))
-    roles = F.concat_ws(",", F.transform("turns", lambda t: t["role"]))
-    return found.select(
-        "conv_id",
-        "part",
-        F.size("turns").cast("long").alias("n_turns"),
-        roles.alias("roles"),
-        (roles == F.col("true_roles")).alias("roles_match"),
-        F.length("rendered").cast("long").alias("rendered_chars"),
-        F.sha2("rendered", 256).alias("rendered_sha256"),
-    )
+    found = rendered(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "n_turns", "roles", (F.col("roles") == F.col("true_roles")).alias("roles_match"), "rendered_chars", "rendered_sha256")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -149,6 +150,30 @@ def test_chat_over_conversations(spark, small):
     assert sorted(r.part for r in chat.transcripts(many).collect()) == [0, 1, 2]
 
 
+def test_chat_blocks_give_the_states_of_the_whole(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["what is it?", "and so on", "Fine.", "", "a\nb?\n", "Yes\n\nno", "t"]
+    roles = ["user", "assistant"]
+    turns = [(7, r.choice([i, i, i // 9, None]), r.choice(["system", *roles * 4]), r.choice(texts)) for i in range(300)]
+    turns += [(8, i, roles[i % 2], "what is it?" if i % 2 else "Tell me") for i in range(120)]
+    turns += [(None, i, "user", "t") for i in range(40)] + [(9, 0, "user", "x"), (10, None, None, None), *[(11, 1, "assistant", "same")] * 50]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = {x.conv_id: x for x in chat.transcripts(frame).collect() if x.part == 0}
+    assert len(whole) == 6 and not [x for x in chat.transcripts(frame).collect() if x.conv_id == 8 and x.part]
+    monkeypatch.setattr(chat, "PART_TURNS", 16)
+    blocks = chat.transcripts(frame).collect()
+    assert max(len(x.true_roles.split(",")) for x in blocks) == 16
+    chats = chat.rendered(frame).collect()
+    assert len(chats) == 6
+    for x in chats:
+        own = sorted((b.part, b.transcript, b.true_roles) for b in blocks if b.conv_id == x.conv_id)
+        text = "\n".join(t for _, t, _ in own)
+        found = chat.parse(text)
+        out = chat.render(found)
+        assert (x.n_turns, x.roles, x.rendered_chars) == (len(found), ",".join(y for y, _ in found), len(out))
+        assert x.rendered_sha256 == hashlib.sha256(out.encode()).hexdigest() and x.true_roles == ",".join(y for _, _, y in own)
+
+
 def test_pipeline_on_small_tables(spark, small):
     import corpus_pipeline
 
