@@ -12,7 +12,10 @@ too few, and these are rare. So near-copies of one text are told apart without c
 At similarity 3/4 two sketches share no band with probability under 1e-6.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of
-fewer than SHINGLE words is one shingle; repeated rows with one doc_id are equal sets and share a component.
+fewer than SHINGLE words is one shingle; repeated rows with one doc_id are equal sets and share a component. Rows
+without doc_id get a key made from their text (2**62 and above), so equal ones are as repeated rows with one
+doc_id; they never stand for equal texts that have an id, are kept only where no smaller id is linked, and
+keep_one leaves one of those with one text.
 """
 
 from __future__ import annotations
@@ -101,8 +104,18 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return np.take_along_axis(j, log.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def id_or_key() -> F.Column:
+    """doc_id, or for a row without one a key made from its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id or key, text, and which rows have no doc_id."""
+    return doc_columns(docs).select(id_or_key().alias("doc_id"), "text", F.col("doc_id").isNull().alias("no_id"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), a 128-bit digest of the set (d1, d2) and the registers."""
+    """doc_id or key, n (set size), a 128-bit digest of the set (d1, d2), the registers, and whether there is no doc_id."""
 
     def run(batches):
         for batch in slices(batches, 2 << 20):
@@ -112,11 +125,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 d1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 d2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(as_long(d1)), pa.array(as_long(d2)), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n", "d1", "d2", "regs"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(as_long(d1)), pa.array(as_long(d2)), pa.array([r.tobytes() for r in regs], pa.binary()), batch.column("no_id")],
+                ["doc_id", "n", "d1", "d2", "regs", "no_id"],
             )
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary, no_id boolean")
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
@@ -286,17 +299,22 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    kept = F.col("key") == F.col("component_id")
+    return _judged(docs).select(F.when(~F.col("no_id"), F.col("key")).alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """key (doc_id, or that of a row without one), no_id, n_shingles, component_id."""
     base = materialize(sketches(docs), "sketches")
-    groups = base.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("m"), F.count("*").alias("copies"))
+    groups = base.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("no_id", "doc_id", "n", "regs")).alias("m"), F.count("*").alias("copies"))
     # leaders are the most copied texts; a hash breaks ties
     prio = F.least("copies", F.lit(1 << 18)) * F.lit(1 << 44) + F.xxhash64("m.doc_id").bitwiseAND(F.lit((1 << 44) - 1))
     reps = materialize(groups.select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs"), prio.alias("prio")), "reps")
-    comps = _components(reps, docs)
+    comps = _components(reps, keyed(docs))
     of_set = reps.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    own = base.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
-    out = own.where("n_shingles > 0").join(of_set, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
-    out = out.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = base.select(F.col("doc_id").alias("key"), "no_id", F.col("n").alias("n_shingles"), "d1", "d2")
+    out = own.where("n_shingles > 0").join(of_set, ["d1", "d2"]).select("key", "no_id", "n_shingles", F.col("comp").alias("component_id"))
+    return out.unionByName(own.where("n_shingles = 0").select("key", "no_id", "n_shingles", F.col("key").alias("component_id")))
 
 
 def _components(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -332,8 +350,14 @@ def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = _judged(docs).where("n_shingles > 0 and key <> component_id").select(F.col("key").alias("gone"))
+    known = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    # without doc_id, rows of one text have one key; texts without words are linked with nothing
+    worded = F.coalesce(F.col("text").cast("string").rlike("[^\\t-\\r ]"), F.lit(False))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rest = docs.where("doc_id is null").select(row, id_or_key().alias("key"), F.when(~worded, F.monotonically_increasing_id()).alias("own"))
+    rest = rest.join(gone, (F.col("key") == F.col("gone")) & F.col("own").isNull(), "left_anti").groupBy("key", "own").agg(F.first("row").alias("row")).select("row.*")
+    return known.select(*docs.columns).union(rest)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,19 @@ def test_repeated_rows_share_a_component(frame, words):
     assert sorted(got) == [(3, 3), (5, 3), (5, 3)]
 
 
+def test_rows_without_id(frame, words):
+    w = words(60)
+    t, close, other = " ".join(w), " ".join([*w[:-1], "end"]), " ".join(words(60, 9))
+    docs = frame([(4, t), (None, t), (7, t), (3, close), (None, other), (None, other), (None, other.upper()), (None, None), (None, " ")])
+    got = nd.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(3, 3, True), (4, 3, False), (7, 3, False)]
+    null = [r for r in got if r.doc_id is None]
+    assert sorted(r.kept for r in null if r.component_id == 3) == [False] and len(null) == 6
+    assert len({r.component_id for r in null if r.n_shingles and r.component_id != 3}) == 1
+    kept = sorted((r.doc_id or -1, (r.text or "").lower().strip()) for r in nd.keep_one(docs).collect())
+    assert kept == [(-1, ""), (-1, ""), (-1, other), (3, close)]
+
+
 def test_keep_one_keeps_columns(frame, words):
     t = " ".join(words(30))
     docs = frame([t, t.upper(), "other text of five words"])

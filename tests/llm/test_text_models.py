@@ -29,6 +29,12 @@ def test_scores_and_base(frame, words):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+def test_scores_without_id(frame, words):
+    t = " ".join(words(40))
+    got = lm.scores(frame([(None, t), (1, t), (None, "a b"), (2, None)])).collect()
+    assert sorted((r.doc_id or -1, r.held_out, r.n_tokens) for r in got) == sorted((i or -1, i is not None and fold(i, 7) == 2, n) for i, n in [(None, 41), (1, 41), (None, 3), (2, 1)])
+
+
 def test_scores_of_nothing(frame):
     assert lm.scores(frame([(0, "x")]).where("doc_id < 0")).count() == 0
 
