@@ -60,10 +60,15 @@ def confidence(scores: Column, n_citations: Column, grade: Column) -> Column:
     Without any known score: null where something is cited, 0 where nothing is.
     """
     known = F.filter(scores, lambda s: s.isNotNull())
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known).cast("double"))
+    return confidence_of_sum(F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known), n_citations, grade)
+
+
+def confidence_of_sum(total: Column, known: Column, n_citations: Column, grade: Column) -> Column:
+    """confidence, from the sum and the number of known scores."""
+    mean = F.try_divide(total, known.cast("double"))
     factor = F.when(grade == "good", F.lit(1.0)).otherwise(F.lit(0.6))
     value = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean * factor)), 3)
-    return F.when(F.size(known) > 0, value).when(n_citations > 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    return F.when(known > 0, value).when(n_citations > 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
 
 
 def position_between(before: Column, after: Column, now: Column) -> Column:

@@ -109,10 +109,20 @@ def fact_coverage(answer: Column, facts: Column) -> Column:
     return F.struct(F.size(facts).alias("facts"), present.alias("present"), missing.alias("missing"), stats.rate(present, F.size(facts)).alias("coverage"))
 
 
+def _routed(records: DataFrame) -> tuple[DataFrame, Column]:
+    return records.where(F.size("expected_tools") > 0), F.arrays_overlap("expected_tools", "tools")
+
+
 def routing(records: DataFrame) -> DataFrame:
-    """Accuracy of the tools chosen (expected_tools, tools: arrays), with the ids missed."""
-    ok = F.arrays_overlap("expected_tools", "tools")
-    return records.where(F.size("expected_tools") > 0).agg(*rated("routing", F.count_if(ok), F.count("*")), F.array_sort(F.collect_list(F.when(~ok, F.col("id")))).alias("missed"))
+    """Accuracy of the tools chosen (expected_tools, tools: arrays), and how many were missed."""
+    own, ok = _routed(records)
+    return own.agg(*rated("routing", F.count_if(ok), F.count("*")), F.count_if(~ok).alias("misses"))
+
+
+def routing_misses(records: DataFrame) -> DataFrame:
+    """id of each record whose tools miss the expected ones."""
+    own, ok = _routed(records)
+    return own.where(~ok).select("id")
 
 
 def tools_by_type(records: DataFrame) -> DataFrame:
@@ -156,6 +166,11 @@ def red_team_summary(cases: DataFrame) -> DataFrame:
         F.count("*").alias("cases"),
         F.count_if("score.caught").alias("caught"),
         F.count_if("score.exercised").alias("exercised"),
-        F.array_sort(F.collect_list(F.when(F.col("score.obeyed"), F.col("id")))).alias("obeyed"),
+        F.count_if("score.obeyed").alias("obeyed"),
         F.count_if("score.detected").alias("scanner_flagged"),
     )
+
+
+def red_team_obeyed(cases: DataFrame) -> DataFrame:
+    """id of each case that was obeyed."""
+    return cases.where("score.obeyed").select("id")

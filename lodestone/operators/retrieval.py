@@ -248,5 +248,5 @@ def retrieve_with_retry(queries: DataFrame, chunks: DataFrame, postings: DataFra
 
 def confidence_of(citations: DataFrame) -> DataFrame:
     """answer_id, confidence from rows (answer_id, grade, rerank_score) of an answer's citations."""
-    agg = citations.groupBy("answer_id", "grade").agg(F.collect_list("rerank_score").alias("scores"), F.count("*").alias("n"))
-    return agg.select("answer_id", stats.confidence(F.col("scores"), F.col("n"), F.col("grade")).alias("confidence"))
+    agg = citations.groupBy("answer_id", "grade").agg(F.sum("rerank_score").alias("sum"), F.count("rerank_score").alias("known"), F.count("*").alias("n"))
+    return agg.select("answer_id", stats.confidence_of_sum(F.col("sum"), F.col("known"), F.col("n"), F.col("grade")).alias("confidence"))

@@ -432,17 +432,31 @@ def metrics_by_kind(spark, d):
 def routing_accuracy(spark, d):
     t = lambda n: F.concat(F.lit("t"), (F.col("id") % n).cast("string"))
     r = fx.records(spark, d).where("id < 2000").select("id", F.array(t(3)).alias("expected_tools"), F.array(t(4), t(5)).alias("tools"))
-    return evaluation.routing(r).withColumn("misses", F.size("missed").cast("long")).drop("missed")
+    return evaluation.routing(r)
+
+
+@query(f"""with {fx.RECORDS} select id from records where not list_has_any(['t' || (id % 3)], ['t' || (id % 4), 't' || (id % 5)])""")
+def routing_misses(spark, d):
+    t = lambda n: F.concat(F.lit("t"), (F.col("id") % n).cast("string"))
+    return evaluation.routing_misses(fx.records(spark, d).select("id", F.array(t(3)).alias("expected_tools"), F.array(t(4), t(5)).alias("tools")))
 
 
 @query("""with c as (select event_id as id, event_type = 'error' as leaked, value > 50 as retrieved, event_id % 3 = 0 as detected from events) select count(*) as cases, count(*) filter (where (retrieved or leaked) and not leaked) as caught,
  count(*) filter (where retrieved or leaked) as exercised, count(*) filter (where leaked) as obeyed, count(*) filter (where detected) as scanner_flagged from c""")
 def red_team(spark, d):
+    return evaluation.red_team_summary(_cases(spark, d))
+
+
+@query("select event_id as id from events where event_type = 'error'")
+def red_team_obeyed(spark, d):
+    return evaluation.red_team_obeyed(_cases(spark, d))
+
+
+def _cases(spark, d) -> DataFrame:
     e = fx.read(spark, d, "events")
     shown = F.when(F.col("event_type") == "error", F.lit("leak CANARY-1")).otherwise(F.lit("fine"))
     score = evaluation.red_team_case(F.array(F.lit("CANARY-1")), F.array(F.lit("delete")), shown, F.array(F.lit("create a task")), F.lit(False), F.col("value") > 50, F.col("event_id") % 3 == 0)
-    out = evaluation.red_team_summary(e.select(F.col("event_id").alias("id"), score.alias("score")))
-    return out.withColumn("obeyed", F.size("obeyed").cast("long"))
+    return e.select(F.col("event_id").alias("id"), score.alias("score"))
 
 
 @query("""with a as (select event_id as answer_id, ['Alpha is one', 'Beta grows'] as t, event_id % 3 + 1 as s1, event_id % 5 + 1 as s2 from events)

@@ -190,3 +190,15 @@ def test_transitions(spark):
 def test_jsonl(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('// note\n{"id": "a"}\n\n{"id": "b"}\n')
     assert sorted(r.id for r in files.read_jsonl(spark, str(tmp_path / "g.jsonl"), "id string").collect()) == ["a", "b"]
+
+
+def test_no_query_collects_ids_or_scores(spark):
+    r = spark.createDataFrame([(1, ["a"], ["a"]), (2, ["a"], ["b"]), (3, [], ["b"])], "id long, expected_tools array<string>, tools array<string>")
+    case = spark.sql("select id, named_struct('obeyed', id = 2, 'exercised', true, 'caught', id <> 2, 'detected', false) as score from range(4)")
+    c = spark.sql("select * from values (1, 'good', 0.5d), (1, 'good', null), (1, 'good', 0.7d), (2, 'weak', null) as t(answer_id, grade, rerank_score)")
+    routing, summary, confidence = evaluation.routing(r), evaluation.red_team_summary(case), retrieval.confidence_of(c)
+    for frame in (routing, summary, confidence):
+        assert "collect_list" not in frame._jdf.queryExecution().toString()
+    assert routing.first().misses == 1 and [x.id for x in evaluation.routing_misses(r).collect()] == [2]
+    assert summary.first().obeyed == 1 and [x.id for x in evaluation.red_team_obeyed(case).collect()] == [2]
+    assert {x.answer_id: x.confidence for x in confidence.collect()} == {1: 0.6, 2: None}
