@@ -371,10 +371,26 @@ m as (select item_id as quote_id, doc_id, strpos(d.text, b.text) - 1 as s, strpo
 j as (select *, c_start <= s and e <= c_end as inside from m join c using (doc_id) where c_start < e and s < c_end), k as (select *, bool_or(inside) over (partition by quote_id, doc_id) as any_inside from j)
 select quote_id, doc_id, s as char_start, e as char_end, chunk_index, not any_inside as spans_boundary from k where inside or not any_inside""")
 def interval_join(spark, d):
+    return quotes.resolve(quote_matches(spark, d), _passages(spark, d))
+
+
+def _passages(spark, d) -> DataFrame:
+    """Passages of 500 characters, as many as a text has."""
     docs = fx.read(spark, d, "documents")
-    c = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(399).cast("long"), F.greatest(F.ceil(F.col("n_chars") / 500) - 1, F.lit(0).cast("long"))))).alias("chunk_index"), "n_chars").where("chunk_index * 500 < n_chars")
-    c = c.select("doc_id", "chunk_index", (F.col("chunk_index") * 500).alias("char_start"), (F.col("chunk_index") * 500 + 500).alias("char_end"))
-    return quotes.resolve(quote_matches(spark, d), c)
+    last = F.ceil(F.length("text") / 500) - 1
+    c = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index"))
+    return c.select("doc_id", "chunk_index", (F.col("chunk_index") * 500).alias("char_start"), (F.col("chunk_index") * 500 + 500).alias("char_end"))
+
+
+@query()
+def quote_occurrences(spark, d):
+    """Every occurrence, folded ones too, which SQL can't find."""
+    return _matches(spark, d)
+
+
+@query()
+def occurrence_passages(spark, d):
+    return quotes.resolve(_matches(spark, d), _passages(spark, d))
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------------

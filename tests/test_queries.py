@@ -46,3 +46,23 @@ def test_members_see_no_audit(spark, small):
     from lodestone.plans import fixtures as fx
 
     assert access.readable("audit_log", fx.answers(spark, small), fx.members(spark, small), 11).count() == 0
+
+
+def test_quotes_far_into_a_text_and_repeated(spark, tmp_path):
+    from lodestone.operators import quotes as qs
+
+    far = "x" * 210_000 + " the quoted words "
+    texts = {1: far, 2: "The  Quoted words", 3: "the quoted words " * 40, 4: None, 5: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 'q' as item_id, 'the quoted words' as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert (1, 420) in {(r.doc_id, r.chunk_index) for r in run("interval_join")}
+    brute = sorted((i, *at) for i, t in texts.items() for at in qs.occurrences(t or "", "the quoted words"))
+    assert len(brute) == 42 and sorted((r.doc_id, r.char_start, r.char_end) for r in run("quote_occurrences")) == brute
+    found = sorted((r.doc_id, r.char_start, r.chunk_index, r.spans_boundary) for r in run("occurrence_passages"))
+    expected = []
+    for i, a, b in brute:
+        k = range(a // 500, (b - 1) // 500 + 1)
+        expected += [(i, a, j, len(k) > 1) for j in k]
+    assert found == sorted(expected)
