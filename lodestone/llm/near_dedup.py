@@ -8,7 +8,8 @@ links are confirmed on the whole shingle sets and joined into components.
 A band's bucket never emits all its pairs. It is first compared with one leader, then with the members
 of most links. Buckets that then hold several components are compared exactly, but through pivots: with a
 leader of another component as pivot, a partner must have the document's other shingles where the pivot's are
-too few, and these are rare. So near-copies of one text are told apart without comparing them in pairs.
+too few, and these are rare; of the others, two partners share one of the rarest quarter of either's shingles.
+So near-copies of one text are told apart without comparing them in pairs.
 At similarity 3/4 two sketches share no band with probability under 1e-6.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; a text of
@@ -188,7 +189,8 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     e = materialize(e.where("u <> v").distinct(), "components")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the rows of a node with very many neighbours can be split in the join
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
@@ -244,8 +246,11 @@ def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame, least: float
     rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("rep").alias("h"), F.col("rep").alias("lead"))
     best = left.join(degree, "rep", "left").groupBy("key", F.col("comp").alias("lead_comp")).agg(F.max(rank).alias("m"))
     w = Window.partitionBy("key").orderBy(F.desc("m"))
-    lead = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS).select("key", "m.lead", "lead_comp")
-    met = left.join(lead, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    top = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS)
+    # one row for each bucket, written, so that a hot bucket's rows can be split in the join
+    leads = materialize(top.groupBy("key").agg(F.collect_list(F.struct("m.lead", "lead_comp")).alias("leads")), "leads")
+    own = left.join(leads, "key").groupBy("rep", "comp").agg(F.flatten(F.collect_list("leads")).alias("leads"))  # BANDS * LEADERS at most
+    met = own.select(F.col("rep").alias("b"), "comp", F.explode("leads").alias("l")).where("comp <> l.lead_comp").select(F.col("l.lead").alias("a"), "b")
     return estimated(_most_met(met), reps, least)
 
 
@@ -272,9 +277,10 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     who = materialize(left.select("rep", "comp").distinct(), "unsettled")
     beyond = _outside(nearest, docs).join(who, "rep")
     every = materialize(_shingle_rows(who.select("rep"), docs).join(who, "rep"), "shingles")
-    inside = every.groupBy("shingle", "comp").agg(F.count("*").alias("own"))
-    inside = inside.withColumn("total", F.sum("own").over(Window.partitionBy("shingle")))
-    common = materialize(inside.where(F.col("total") - F.col("own") >= COMMON).select("shingle", "comp", F.lit(1).alias("common")), "common")
+    inside = materialize(every.groupBy("shingle", "comp").agg(F.count("*").alias("own")), "inside")
+    often = materialize(inside.groupBy("shingle").agg(F.sum("own").alias("total")).where(F.col("total") > COMMON), "often")
+    common = inside.join(often, "shingle").where(F.col("total") - F.col("own") >= COMMON)
+    common = materialize(common.select("shingle", "comp", F.lit(1).alias("common")), "common")
     beyond = materialize(beyond.join(common, ["shingle", "comp"], "left"), "pivots")
 
     size = who.groupBy("comp").agg(F.count("*").alias("size"))
@@ -288,13 +294,28 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     met = mine.join(other, "shingle").where(from_a).groupBy("a", "b", "n_a", "n_b", "shared_a").agg(F.count("*").alias("extra"))
     by_shingle = met.where("7 * (shared_a + extra) >= 3 * (n_a + n_b)").select("a", "b")
 
-    # pairs of which no side is short: partners of n <= most for both
-    able = left.select("key", "rep").join(info.select("rep", "comp", "n", F.floor(7 * F.col("shared") / 3 - F.col("n")).alias("most")).where("4 * most >= 3 * n"), "rep")
-    bounds = able.groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-    able = materialize(able.join(bounds.select("key", "least"), "key").where("most >= least").select("key", "rep", "comp", "n", "most"), "unsettled")
-    x, y = able.toDF("key", "a", "c_a", "n_a", "most_a"), able.toDF("key", "b", "c_b", "n_b", "most_b")
+    # pairs of which no side is short: partners of n <= most for both, found by the rarest quarter of their shingles
+    able = info.select("rep", "comp", "n", F.floor(7 * F.col("shared") / 3 - F.col("n")).alias("most")).where("4 * most >= 3 * n")
+    bound = left.select("key", "rep").join(able, "rep").groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    alone = left.select("key", "rep").join(bound, "key").groupBy("rep").agg(F.min("least").alias("least"))
+    able = materialize(able.join(alone, "rep").where("most >= least").drop("least"), "unsettled")
+    rare = materialize(_rarest(every.select("rep", "shingle").join(able, "rep")), "rarest")
+    x, y = rare.toDF("shingle", "a", "c_a", "n_a", "most_a"), rare.toDF("shingle", "b", "c_b", "n_b", "most_b")
     fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-    return by_shingle.unionByName(x.join(y, "key").where(fits).select("a", "b")).distinct()
+    sizes = (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
+    return by_shingle.unionByName(x.join(y, "shingle").where(fits & sizes).select("a", "b")).distinct()
+
+
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Of each document's shingles the n - ceil(3/4 n) + 1 that fewest of the given documents have.
+
+    A partner has three quarters of them at least, so it has one of these, and the same order makes it one of its own as well.
+    """
+    often = materialize(rows.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1"), "often")
+    met = rows.join(often, "shingle", "left").withColumn("docs", F.coalesce("docs", F.lit(1)))
+    w = Window.partitionBy("rep").orderBy("docs", "shingle")
+    first = met.withColumn("nth", F.row_number().over(w)).where("nth <= floor(n / 4) + 1 and docs > 1")
+    return first.select("shingle", "rep", "comp", "n", "most")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
