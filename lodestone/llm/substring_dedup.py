@@ -8,12 +8,15 @@ is left are distinct passages. They are put into shards by the first document of
 with a common window share an anchor, hence a shard. Within a shard documents are streamed in order of
 doc_id through the suffix automaton of those before, whose matching statistics give the maximal spans; only
 new windows are added to it. A shard's automaton is built where its passages are, never larger than
-SHARD_WORDS; passages of an anchor with more (one passage in very many texts) are told apart by exact
-window hashes instead, which any number of tasks can share.
+SHARD_WORDS; passages of an anchor with more (one passage in very many texts) are told apart by
+window hashes instead, which any number of tasks can share. Texts equal to one of a smaller doc_id (by SHA-256)
+go whole and are left out of all this: every window of theirs starts in that document. Contexts and windows are
+told apart by two independent 64-bit hashes together.
 
 Defined results: null and empty texts have no words; a text of fewer than WINDOW words loses nothing;
-rows that repeat a doc_id (with its text) are one document and never remove each other's words; the digest of nothing
-kept is that of the empty string; columns beyond doc_id and text are not read.
+rows that repeat a doc_id are one document and never remove each other's words, whether their texts are equal or not;
+rows without doc_id lose nothing and remove nothing; the digest of nothing kept is that of the empty string; columns
+beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import Words, as_long, doc_columns, gram_hashes, materialize, mix,
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words of a window that may stand before its anchor
 SHARD_WORDS = 60_000
+#: Rows of a context in one list, at most.
+BLOCK_ROWS = 1024
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -42,12 +47,15 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(done[: len(done) - rest], done[rest:]) if rest else done
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document index, position in the document, gram hash and context hash of every anchor."""
+_SECOND = np.uint64(0x94D049BB133111EB)
+
+
+def anchors(words: Words) -> tuple[np.ndarray, ...]:
+    """Document index, position in the document, gram hash and two context hashes of every anchor."""
     h, off = words.hash, words.doc_off
     if len(h) < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, *(none.view(np.uint64) for _ in range(3))
     g = gram_hashes(h, GRAM)
     least = _slide(g, REACH + 1, np.minimum)  # one for each window start
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -61,20 +69,29 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     low = np.maximum(at - REACH, off[d])
     high = np.minimum(at + WINDOW, off[d + 1])
     up, down = powers(0xC2B2AE3D27D4EB4F, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    shape = ((at - low) * 128 + (high - at)).astype(np.uint64)
-    context = mix((total[high] - total[low]) * down[low] + mix(shape + np.uint64(1)))
-    return d, at - off[d], g[at], context
+    shape = mix(((at - low) * 128 + (high - at)).astype(np.uint64) + np.uint64(1))
+    contexts = []
+    for own in (h, mix(h + _SECOND)):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(own * up[: len(h)], out=total[1:])
+        contexts.append(mix((total[high] - total[low]) * down[low] + shape))
+    return d, at - off[d], g[at], *contexts
+
+
+_ANCHOR = pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]))
+
 
+def anchor_lists(base: DataFrame) -> DataFrame:
+    """doc_id, digest, text_key and anchors of each text."""
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
-            d, pos, g, c = anchors(Words(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(pos.astype(np.int32)), pa.array(as_long(g)), pa.array(as_long(c))], ["doc_id", "pos", "gram", "context"])
+            d, pos, g, c1, c2 = anchors(Words(batch.column("text")))
+            off = np.searchsorted(d, np.arange(batch.num_rows + 1)).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), *(pa.array(as_long(x)) for x in (g, c1, c2))], fields=list(_ANCHOR.value_type))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "text_key")), pa.ListArray.from_arrays(pa.array(off), rows)], ["doc_id", "digest", "text_key", "anchors"])
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, pos int, gram long, context long")
+    return base.mapInArrow(run, "doc_id long, digest binary, text_key long, anchors array<struct<pos:int,gram:long,c1:long,c2:long>>")
 
 
 def merge_spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +160,26 @@ class SuffixAutomaton:
         return out
 
 
-def shard_spans(units: pa.Table) -> list[tuple[int, int, int]]:
-    """Removed spans (doc_id, start, end) of one shard: its passages by document, in order of doc_id."""
+def shard_spans(units: pa.Table) -> list[tuple[int, int, int, int]]:
+    """Removed spans (doc_id, text_key, start, end) of one shard: its passages by document, in order of doc_id."""
     out = []
     order = units.sort_by([("lead", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-    leads, docs, starts, blobs = (order.column(c) for c in ("lead", "doc_id", "start", "words"))
-    leads, docs, starts = leads.to_pylist(), docs.to_pylist(), starts.to_pylist()
+    leads, docs, keys, starts, blobs = (order.column(c) for c in ("lead", "doc_id", "text_key", "start", "words"))
+    leads, docs, keys, starts = leads.to_pylist(), docs.to_pylist(), keys.to_pylist(), starts.to_pylist()
     automaton, lead, k = SuffixAutomaton(), None, 0
     while k < len(docs):
         if leads[k] != lead:
             automaton, lead = SuffixAutomaton(), leads[k]
         own, doc = [], docs[k]
         while k < len(docs) and docs[k] == doc and leads[k] == lead:
-            own.append((starts[k], np.frombuffer(blobs[k].as_py(), np.int64).tolist()))
+            own.append((keys[k], starts[k], np.frombuffer(blobs[k].as_py(), np.int64).tolist()))
             k += 1
         fresh = []
-        for start, words in own:
+        for key, start, words in own:
             ends = np.arange(WINDOW - 1, len(words))
             seen = automaton.statistics(words)[WINDOW - 1 :] >= WINDOW
             low, high = merge_spans(ends[seen] - WINDOW + 1, ends[seen] + 1)
-            out += [(doc, start + a, start + b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            out += [(doc, key, start + a, start + b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             low, high = merge_spans(ends[~seen] - WINDOW + 1, ends[~seen] + 1)
             fresh += [words[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         if k < len(docs) and leads[k] == lead:
@@ -181,35 +198,48 @@ def _kept(raw: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[int, byt
     return removed, b" ".join([raw[i] for i in np.flatnonzero(mask).tolist()])
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text_md5", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text_key", pa.int64())])
 _SPAN = pa.list_(pa.int64())
 _PARTS = pa.schema([("kind", pa.int32()), *_OUT, ("text", pa.string()), ("low", _SPAN), ("high", _SPAN), ("lead", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
-_OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 string"
+_OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_key long"
 _PARTS_DDL = f"kind int, {_OUT_DDL}, text string, low array<long>, high array<long>, lead long, start long, words binary"
 _DONE, _OPEN, _UNIT = 0, 1, 2
 
 
-def _row(doc: int, text: str | None, low: np.ndarray, high: np.ndarray, texts: bool) -> dict:
-    data = (text or "").encode()
-    raw = data.split()
+def _row(doc: int, key: int, text: str | None, low: np.ndarray, high: np.ndarray, texts: bool) -> dict:
+    raw = (text or "").encode().split()
     removed, kept = _kept(raw, low, high)
-    changed = texts and removed > 0
-    return {"doc_id": doc, "n_words": len(raw), "n_removed": removed, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if changed else None, "text_md5": hashlib.md5(data).hexdigest() if changed else None}
+    return {"doc_id": doc, "n_words": len(raw), "n_removed": removed, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if texts and removed else None, "text_key": key}
+
+
+def text_key() -> F.Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, and the kept text of changed ones if asked for."""
-    base = doc_columns(docs)
-    found = materialize(anchor_rows(base), "anchors")
+    base = doc_columns(docs).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("text_key", text_key())
+    # the first document of each text
+    lists = anchor_lists(base.where("doc_id is not null")).groupBy("digest", "text_key").agg(F.min_by(F.struct("doc_id", "anchors"), "doc_id").alias("m"), F.max("doc_id").alias("last"))
+    firsts = materialize(lists.select("digest", "text_key", "m.doc_id", "m.anchors", "last"), "anchors")
+    copied = materialize(firsts.where("doc_id < last").select("digest", F.col("doc_id").alias("first")), "copied")
+    copies = base.select("doc_id", "text_key", "digest").join(copied, "digest").where("first < doc_id").select("doc_id", "text_key").distinct()
+    found = firsts.select("doc_id", "text_key", F.explode("anchors").alias("a")).select("doc_id", "text_key", "a.*")
     # grams of two documents or more, with the first of them; written, so that a hot gram's rows can be split in the join
     grams = materialize(found.groupBy("gram").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("gram", "lead"), "grams")
-    shared = found.join(grams, "gram").select("doc_id", "pos", "context", "lead")
+    shared = found.join(grams, "gram").select("doc_id", "text_key", "pos", "c1", "c2", "lead")
     shared = materialize(shared, "shared")
     # contexts of two documents or more; written as well, for the same reason
-    firsts = materialize(shared.groupBy("context").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("context", "first"), "contexts")
+    contexts = materialize(shared.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("c1", "c2", "first"), "contexts")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    marked = shared.join(firsts, "context", "left").select("doc_id", F.struct("pos", "lead", copy.alias("copy")).alias("a"))
-    places = marked.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
+    # the places of one context go through the join a block of rows at a time
+    block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block")
+    lists = shared.groupBy("c1", "c2", block).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "lead")).alias("rows"))
+    marked = lists.join(contexts, ["c1", "c2"], "left").select("first", F.explode("rows").alias("r")).select("r.*", "first")
+    marked = marked.select("doc_id", "text_key", F.struct("pos", "lead", copy.alias("copy")).alias("a"))
+    places = marked.groupBy("doc_id", "text_key").agg(F.collect_list("a").alias("anchors")).withColumn("whole", F.lit(False))
+    places = places.unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
 
     def split(batches):
         none = np.zeros(0, np.int64)
@@ -217,7 +247,8 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
         for batch in slices(batches, 2 << 20):
             lists = batch.column("anchors")
             plain = np.asarray(lists.is_null())
-            ids, texts_ = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            whole = np.asarray(batch.column("whole").fill_null(False))
+            ids, keys, texts_ = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
             words = Words(batch.column("text"))
             count = words.count()
             for i, doc in enumerate(ids):
@@ -225,7 +256,9 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _PARTS)
                     rows, held = [], 0
                 if plain[i]:
-                    rows.append({"kind": _DONE, **_row(doc, texts_[i], none, none, texts)})
+                    # a copy of an earlier document, or a text that shares nothing
+                    gone = (none, none) if not whole[i] or count[i] < WINDOW else (np.zeros(1, np.int64), count[i : i + 1])
+                    rows.append({"kind": _DONE, **_row(doc, keys[i], texts_[i], *gone, texts)})
                     continue
                 a = lists[i].values
                 pos, lead, copy = (np.asarray(a.field(k)).astype(np.int64) for k in range(3))
@@ -233,15 +266,15 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
                 is_copy = copy == 1
                 gone = merge_spans(low[is_copy], high[is_copy])
                 if (lead[~is_copy] < doc).any():
-                    rows.append({"kind": _OPEN, "doc_id": doc, "text": texts_[i], "low": gone[0].tolist(), "high": gone[1].tolist()})
+                    rows.append({"kind": _OPEN, "doc_id": doc, "text_key": keys[i], "text": texts_[i], "low": gone[0].tolist(), "high": gone[1].tolist()})
                     held += len(texts_[i])
                 else:
-                    rows.append({"kind": _DONE, **_row(doc, texts_[i], *gone, texts)})
+                    rows.append({"kind": _DONE, **_row(doc, keys[i], texts_[i], *gone, texts)})
                 own = as_long(words.hash[words.doc_off[i] : words.doc_off[i + 1]])
                 for m in np.unique(lead[~is_copy]).tolist():
                     on = ~is_copy & (lead == m)
                     for s, e in zip(*(x.tolist() for x in merge_spans(low[on], high[on])), strict=True):
-                        rows.append({"kind": _UNIT, "lead": m, "doc_id": doc, "start": s, "words": own[s:e].tobytes()})
+                        rows.append({"kind": _UNIT, "lead": m, "doc_id": doc, "text_key": keys[i], "start": s, "words": own[s:e].tobytes()})
                         held += 8 * (e - s)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, _PARTS)
@@ -249,20 +282,22 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _PARTS)
 
-    parts = materialize(base.join(places, "doc_id", "left").mapInArrow(split, _PARTS_DDL), "parts")
-    spans = _searched(parts.where(F.col("kind") == _UNIT).select("lead", "doc_id", "start", "words"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("more"))
-    open_ = parts.where(F.col("kind") == _OPEN).select("doc_id", "text", "low", "high").join(by_doc, "doc_id", "left")
+    both = ["doc_id", "text_key"]
+    parts = materialize(base.drop("digest").join(places, both, "left").mapInArrow(split, _PARTS_DDL), "parts")
+    # rows that repeat a document have the same passages
+    units = parts.where(F.col("kind") == _UNIT).select("lead", *both, "start", "words").dropDuplicates(["lead", *both, "start"])
+    by_doc = _searched(units).groupBy(*both).agg(F.collect_list(F.struct("low", "high")).alias("more"))
+    open_ = parts.where(F.col("kind") == _OPEN).select(*both, "text", "low", "high").join(by_doc, both, "left")
 
     def finish(batches):
         for batch in slices(batches):
             rows = []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+            for i, (doc, key) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True)):
                 low, high = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("low", "high"))
                 more = batch.column("more")[i]
                 if more.is_valid:
                     low, high = (np.concatenate([x, np.asarray(more.values.field(k))]) for k, x in enumerate((low, high)))
-                rows.append(_row(doc, batch.column("text")[i].as_py(), *merge_spans(low, high), texts))
+                rows.append(_row(doc, key, batch.column("text")[i].as_py(), *merge_spans(low, high), texts))
             yield pa.RecordBatch.from_pylist(rows, _OUT)
 
     done = parts.where(F.col("kind") == _DONE).select(*_OUT.names)
@@ -270,73 +305,57 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 
 def _searched(units: DataFrame) -> DataFrame:
-    """Removed spans (doc_id, low, high) of passages, by automata or, for very large leads, by window hashes."""
+    """Removed spans (doc_id, text_key, low, high) of passages, by automata or, for very large leads, by window hashes."""
     n_words = F.length("words") / 8
     weight = units.groupBy("lead").agg(F.sum(n_words).alias("weight"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1")
     weight = materialize(weight.select("lead", "weight"), "weights")
     total = weight.where(F.col("weight") <= SHARD_WORDS).agg(F.sum("weight")).first()[0] or 0
     shards = max(1, int(total // SHARD_WORDS) + 1)
     both = units.join(weight, "lead")
+    spans = "doc_id long, text_key long, low long, high long"
 
     def search(shard):
         rows = shard_spans(shard)
-        return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("doc_id", "low", "high"))})
+        return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("doc_id", "text_key", "low", "high"))})
 
-    few = both.where(F.col("weight") <= SHARD_WORDS).select("lead", "doc_id", "start", "words", F.pmod(F.xxhash64("lead"), F.lit(shards)).alias("shard"))
-    by_automata = few.groupBy("shard").applyInArrow(search, "doc_id long, low long, high long")
+    few = both.where(F.col("weight") <= SHARD_WORDS).select("lead", "doc_id", "text_key", "start", "words", F.pmod(F.xxhash64("lead"), F.lit(shards)).alias("shard"))
+    by_automata = few.groupBy("shard").applyInArrow(search, spans)
 
     def windows(batches):
-        names = ["doc_id", "low", "window"]
+        names = ["doc_id", "text_key", "low", "w1", "w2"]
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
-            for doc, start, raw in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("words"), strict=True):
-                h = gram_hashes(np.frombuffer(raw.as_py(), np.uint64), WINDOW)
-                for part, x in zip(parts, (np.full(len(h), doc), start + np.arange(len(h)), as_long(h)), strict=True):
+            for doc, key, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "start")), batch.column("words"), strict=True):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                h, h2 = gram_hashes(own, WINDOW), gram_hashes(mix(own + _SECOND), WINDOW)
+                for part, x in zip(parts, (np.full(len(h), doc), np.full(len(h), key), start + np.arange(len(h)), as_long(h), as_long(h2)), strict=True):
                     part.append(x)
                 held += len(h)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names)
-                    parts, held = [[], [], []], 0
+                    parts, held = [[] for _ in names], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names)
 
-    many = both.where(F.col("weight") > SHARD_WORDS).select("doc_id", "start", "words").mapInArrow(windows, "doc_id long, low long, window long")
+    many = both.where(F.col("weight") > SHARD_WORDS).select("doc_id", "text_key", "start", "words").mapInArrow(windows, "doc_id long, text_key long, low long, w1 long, w2 long")
     many = materialize(many, "windows")
-    first = many.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    by_hash = many.join(first, "window").where("first < doc_id").select("doc_id", "low", (F.col("low") + WINDOW).alias("high"))
+    first = materialize(many.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first"), "first")
+    by_hash = many.join(first, ["w1", "w2"]).where("first < doc_id").select("doc_id", "text_key", "low", (F.col("low") + WINDOW).alias("high"))
     return by_automata.unionByName(by_hash)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out; untouched texts stay as they are."""
-    changed = dedup(docs, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept"))
+    changed = dedup(docs, texts=True).where("n_removed > 0").select("doc_id", "text_key", "kept")
     # rows that repeat a document get one text each
-    changed = changed.groupBy("_id", "_md5").agg(F.first("_kept").alias("_kept"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_md5"))
-    out = docs.join(changed, same, "left").withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    changed = changed.groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"))
+    # all columns in one, so that no name clashes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    text = F.coalesce("kept", F.col("row.text").cast("string"))
+    out = rows.join(changed, ["doc_id", "text_key"], "left").select(*(F.col(f"row.`{c}`") if c not in ("text", "n_chars") else text.alias("text") if c == "text" else F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars") for c in docs.columns))
+    return out
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept", "text_md5")
-
-
-def brute_force(docs: dict[int, str | None], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """For tests: every window of every document against a table of first documents."""
-    words = {d: (t or "").encode().split() for d, t in docs.items()}
-    first: dict[tuple, int] = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - window + 1):
-            first.setdefault(tuple(words[d][i : i + window]), d)
-    out = {}
-    for d, w in words.items():
-        gone = set()
-        for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < d:
-                gone.update(range(i, i + window))
-        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        out[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
+    return dedup(table(spark, sf_dir, "documents")).drop("kept", "text_key")

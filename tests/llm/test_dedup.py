@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -102,6 +103,24 @@ def test_estimate_is_close():
     assert (np.where((r[0] - r[1]).view(np.int8) > 0, r[0], r[1]) == merged[0]).all()
 
 
+def brute_removal(docs, window=50):
+    """Every window of every document against a table of first documents."""
+    words = {d: (t or "").encode().split() for d, t in docs.items()}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - window + 1):
+            first.setdefault(tuple(words[d][i : i + window]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
 def dedup(frame, texts):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup(frame(texts)).collect()}
 
@@ -125,7 +144,7 @@ def test_substring_dedup_matches_brute_force(frame, words, monkeypatch, limit):
     """By automata, and by window hashes where a lead has more words than a shard holds."""
     monkeypatch.setattr(sd, "SHARD_WORDS", limit)
     texts = passages(words)
-    assert dedup(frame, texts) == sd.brute_force(dict(enumerate(texts)))
+    assert dedup(frame, texts) == brute_removal(dict(enumerate(texts)))
 
 
 def test_substring_dedup_of_nothing(frame):
@@ -138,6 +157,16 @@ def test_equal_ids_are_one_document(frame, words):
     assert sorted(got) == [(4, 0), (4, 0), (9, 70)]
 
 
+def test_texts_of_one_id_are_one_document(frame, words):
+    """Different texts of one doc_id keep what they share; copies and repeated rows of either go by the smaller id."""
+    a, b, c = (" ".join(words(n, n)) for n in (70, 60, 49))
+    rows = [(4, a), (4, f"{b} {a}"), (4, a), (9, a), (9, b), (2, b), (2, b), (7, c), (8, c), (None, a), (None, b)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in sd.dedup(frame(rows)).collect())
+    assert got == sorted([(4, 70, 0), (4, 130, 60), (4, 70, 0), (9, 70, 70), (9, 60, 60), (2, 60, 0), (2, 60, 0), (7, 49, 0), (8, 49, 0), (0, 70, 0), (0, 60, 0)])
+    out = sd.remove_repeats(frame(rows).selectExpr("*", "'z' as kept", "5L as text_key"))
+    assert sorted((r.doc_id or 0, r.n_chars, r.kept, r.text_key) for r in out.collect() if r.doc_id in (9, 4)) == sorted([(4, len(a), "z", 5)] * 3 + [(9, 0, "z", 5)] * 2)
+
+
 def test_remove_repeats_keeps_columns(frame, words):
     t = words(60)
     docs = frame([" ".join(t), "before  " + " ".join(t) + " after", "left  as it is"])
