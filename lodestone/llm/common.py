@@ -19,10 +19,12 @@ ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests, one machine) a temporary folder is set once.
+    Where a local session has no such setting (tests, one machine) a temporary folder is set once.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -157,12 +159,6 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def list_array(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    off = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; LODESTONE_TOKENIZERS names another folder."""
     folder = os.environ.get("LODESTONE_TOKENIZERS")

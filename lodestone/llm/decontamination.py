@@ -11,14 +11,14 @@ has no phrase; repeated items and repeated documents are each judged alone; no b
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, doc_columns, slices, table
+from .common import Words, doc_columns, materialize, slices, table
 
 WORD_GAP = np.ones(256, bool)
 WORD_GAP[0x30:0x3A] = WORD_GAP[0x41:0x5B] = WORD_GAP[0x61:0x7B] = WORD_GAP[0x80:] = False
@@ -182,8 +182,12 @@ def find(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.nda
     return phrase, first, first + phrases.lengths[phrase]
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+def _ddl(key: str) -> str:
+    return f"{key} long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def _schema(key: str) -> pa.Schema:
+    return pa.schema([(key, pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,31 +216,42 @@ def _blocks(benchmark: DataFrame, run: int):
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
-    """One row per document: words, merged spans of hit words (word positions) and the items found.
+    """One row for each row of docs: words, merged spans of hit words (word positions) and the items found.
 
-    Several blocks are searched one after another and their spans are merged by document, so rows that repeat
-    a doc_id then give one row.
+    Several blocks are searched one after another, over rows with a number of their own by which their spans are merged.
     """
-    return _merged([_search(docs, phrases) for phrases in _blocks(benchmark, run)])
+    first, blocks = _several(_blocks(benchmark, run))
+    if blocks is None:
+        return _search(doc_columns(docs), first, "doc_id")[0]
+    rows = materialize(doc_columns(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.select("row", "doc_id").join(_merged(rows, blocks), "row").select("doc_id", "n_words", "spans", "items")
+
+
+def _several(blocks):
+    """The only block and nothing, or nothing and all blocks."""
+    first, second = next(blocks), next(blocks, None)
+    return (first, None) if second is None else (None, chain([first, second], blocks))
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    if len(parts) == 1:
-        return parts[0]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    grouped = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+def _merged(rows: DataFrame, blocks) -> DataFrame:
+    """row, n_words, spans and items over all blocks; each is sent, searched, written and released before the next."""
+    found = None
+    for phrases in blocks:
+        part, sent = _search(rows, phrases, "row")
+        part = materialize(part, "block")
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    grouped = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merged(batches):
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
+            own = b.to_pylist()
+            for r in own:
                 r["spans"] = [{"start": x, "end": y} for x, y in merge([(s["start"], s["end"]) for s in r["spans"]])]
                 r["items"] = sorted(r["items"])
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            yield pa.RecordBatch.from_pylist(own, _schema("row"))
 
-    return grouped.mapInArrow(merged, SCHEMA)
+    return grouped.mapInArrow(merged, _ddl("row"))
 
 
 def _hits(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list, list]:
@@ -254,16 +269,18 @@ def _hits(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list, li
     return words.count().astype(np.int64), [merge(list(spans.get(i, ()))) for i in n], [sorted(items.get(i, ())) for i in n]
 
 
-def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def _search(docs: DataFrame, phrases: Phrases, key: str):
+    """key, n_words, spans and items of each row, and the phrases as they were sent."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    schema = _schema(key)
 
     def scan(batches):
         for batch in slices(batches):
             n_words, spans, items = _hits(batch, sent.value)
-            spans = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], _ARROW.field("spans").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), spans, pa.array(items, _ARROW.field("items").type)], schema=_ARROW)
+            spans = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], schema.field("spans").type)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n_words), spans, pa.array(items, schema.field("items").type)], schema=schema)
 
-    return doc_columns(docs).mapInArrow(scan, SCHEMA)
+    return docs.select(key, "text").mapInArrow(scan, _ddl(key)), sent
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -282,13 +299,15 @@ def judge(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
     """Documents that the rule doesn't call contaminated, with all their columns.
 
-    Where the benchmark is one block, the verdict is taken as the row passes, without a shuffle; else rows are joined by doc_id.
+    Where the benchmark is one block, the verdict is taken as the row passes, without a shuffle; else rows get numbers and are joined by them.
     """
-    blocks = list(_blocks(benchmark, run))
-    if len(blocks) > 1:
-        bad = judge(_merged([_search(docs, p) for p in blocks])).where("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    first, blocks = _several(_blocks(benchmark, run))
+    if blocks is not None:
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+        rows = materialize(docs.select(whole, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+        bad = judge(_merged(rows, blocks).withColumnRenamed("row", "doc_id")).where("contaminated").select(F.col("doc_id").alias("row"))
+        return rows.join(bad, "row", "left_anti").select("whole.*")
+    sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def keep(batches):
         for batch in slices(batches):
@@ -301,20 +320,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) ->
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-
-
-def brute_force(doc_words: list[str], items: dict[str, list[str]], run: int = RUN) -> tuple[int, list[str]]:
-    """For tests: hit words and items by comparing every window."""
-    hit, found = set(), set()
-    for item, words in items.items():
-        size = min(run, len(words))
-        for s in range(len(words) - size + 1 if size else 0):
-            for i in range(len(doc_words) - size + 1):
-                if doc_words[i : i + size] == words[s : s + size]:
-                    hit.update(range(i, i + size))
-                    found.add(item)
-    return len(hit), sorted(found)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import doc_columns, slices, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Training documents of each language (about), languages at most, windows taken from a training document.
-SAMPLE, MOST_LANGUAGES, SAMPLE_WINDOWS = 800, 256, 4
+#: Training documents of each language (about) and windows taken from one: bounds of the fitting sample of labelled rows only.
+SAMPLE, SAMPLE_WINDOWS = 800, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,7 +133,7 @@ def held_out() -> F.Column:
 def train(docs: DataFrame) -> tuple[list[str], dict | None]:
     """Languages and network, from about SAMPLE documents of each language, chosen by a hash of doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language: the classes of the network
     if not counts:
         return [], None
     names = sorted(r.lang for r in counts)

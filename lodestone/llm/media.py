@@ -46,6 +46,8 @@ def decode_pnm(data: bytes) -> np.ndarray:
         fields.append(int(data[at:end]))
         at = end
     width, height, most = fields
+    if not (width and height and 0 < most < 65536):
+        raise ValueError("no samples")
     bands = 3 if kind in (b"P3", b"P6") else 1
     if kind in (b"P2", b"P3"):
         samples = np.array(data[at:].split(), np.uint16 if most > 255 else np.uint8)
@@ -73,6 +75,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("not a BMP file")
     at, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
+    if width <= 0 or not height:
+        raise ValueError("no samples")
     if packing or bits not in (8, 24):
         raise ValueError("this kind of BMP isn't supported")
     line = (width * bits // 8 + 3) // 4 * 4
@@ -114,8 +118,9 @@ def difference_hash(image: np.ndarray) -> str:
 
 
 def npy_tile(image: np.ndarray, side: int = 16) -> bytes:
+    """Samples of the image's own depth, 8 or 16 bits."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, np.iinfo(image.dtype).max).astype(image.dtype.newbyteorder("=")))
     return out.getvalue()
 
 
@@ -161,7 +166,7 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
             try:
                 image = decode(bytes(data))
                 rows.append((*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, npy_tile(image), difference_hash(image)))
-            except (ValueError, TypeError, struct.error, IndexError):
+            except (ValueError, TypeError, struct.error, IndexError, OverflowError, MemoryError):
                 rows.append((None,) * 5)
         return pd.DataFrame(rows, columns=types.names).astype({k: "Int32" for k in types.names[:3]})
 

@@ -25,6 +25,8 @@ from .tokens import encoder
 SEQUENCE = 4096
 END_ID = 2
 DIMS, BITS = 4, 12
+#: Encoded ids in one range of the curve, about; ranges are at least as many as shuffle partitions.
+RANGE_BYTES = 64 << 20
 _SCALE = 1.0 / 2**63
 
 
@@ -158,7 +160,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, path: str | None = None) -> Data
     """
     encoded = materialize(encode_documents(docs, path), "packing")
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size_of_all = 2 * (encoded.agg(F.sum("n_ids")).first()[0] or 0)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of_all // RANGE_BYTES + 1)
     ordered = encoded.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return ordered.select("doc_id", "ids").mapInArrow(lambda b: _cut(b, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 

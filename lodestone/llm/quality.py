@@ -1,13 +1,16 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is web text with or without a label.
-The class prior is estimated from the labels of the training fold. A logistic scorer over features of the
-whole text minimises the non-negative unbiased risk
+Trusted positives are labelled rows of quality 1; the unlabelled set is labelled rows whose label is not
+looked at, so that both samples are bounded samples of labelled rows. The class prior is estimated from the
+two: a first scorer is fitted with prior 1/2, and the prior is the least ratio of the shares of unlabelled
+and positive rows above a threshold. A logistic scorer over features of the whole text minimises the
+non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
-by Adam in numpy on a bounded sample; every document is scored.
+by Adam in numpy; every document is scored.
 
 Defined results: null and empty texts have the features of the empty text and get its score; without any
-positive in the training fold every score is the prior (0.5 without labels); repeated rows score alike.
+positive in the training fold every score is 0.5 without labels and 0 with negative ones only; a doc_id that
+has both labels is a positive; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, doc_columns, slices, table
 
-#: Most documents in the training sample of each set, taken in the order of a hash of doc_id.
+#: Most labelled documents in the training sample of each set, taken in the order of a hash of doc_id.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 THRESHOLD = 0.7
 
@@ -88,6 +91,13 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return {"mean": mean, "scale": scale, "w": w, "b": b}
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled from the scores of both: the least ratio of their tails over the upper half of the positives."""
+    cuts = np.quantile(positive, np.linspace(0.05, 0.5, 10))
+    ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
+    return float(min(max(min(ratios), 0.01), 0.99))
+
+
 def apply_model(model: dict, x: np.ndarray) -> np.ndarray:
     if model["w"] is None:
         return np.full(len(x), model["b"])
@@ -115,12 +125,13 @@ def _sample(docs: DataFrame, ids: DataFrame, size: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     docs = doc_columns(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out())
-    prior = known.agg(F.avg("quality")).first()[0]
     positive = _sample(docs, known.where("quality = 1").select("doc_id").distinct(), SAMPLE_POSITIVE)
-    if prior is None or not len(positive):
-        return {"w": None, "b": 0.5 if prior is None else float(prior)}
-    unlabelled = _sample(docs, docs.where(~held_out()).select("doc_id"), SAMPLE_UNLABELLED)
-    return fit_nnpu(positive, unlabelled, min(max(float(prior), 0.01), 0.99))
+    if not len(positive):
+        return {"w": None, "b": 0.5 if known.isEmpty() else 0.0}
+    unlabelled = _sample(docs, known.select("doc_id").distinct(), SAMPLE_UNLABELLED)
+    first = fit_nnpu(positive, unlabelled, 0.5)
+    prior = estimated_prior(apply_model(first, positive), apply_model(first, unlabelled))
+    return fit_nnpu(positive, unlabelled, prior) | {"prior": prior}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
