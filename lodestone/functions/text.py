@@ -50,6 +50,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def cache_key(columns: list[str]) -> Column:
+    """SHA-256 of the columns' JSON, names in order."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
 def clean_text(c: Column | str) -> Column:
     """Without NUL characters, which text columns can't hold."""
     return F.regexp_replace(_col(c), "\\x00", "")
@@ -135,9 +140,9 @@ def fold_digits(c: Column | str) -> Column:
 
 
 def safe_filename(c: Column | str) -> Column:
-    """The last path part, of letters, digits and ._- and space, trimmed, at most 120 characters."""
-    base = F.element_at(F.split(F.replace(_col(c), F.lit("\\"), F.lit("/")), "/"), -1)
-    out = F.trim(F.regexp_replace(base, r"[^A-Za-z0-9._ \-]", "_"))
+    """The last path part; each run of other characters than letters, digits, ._- and space is one _, at most 120 characters."""
+    base = F.trim(F.element_at(F.split(F.replace(_col(c), F.lit("\\"), F.lit("/")), "/"), -1))
+    out = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._ \-]+", "_"), r"^[ .]+|[ .]+$", "")
     return F.when(out == "", F.lit("document")).otherwise(F.left(out, F.lit(120)))
 
 
@@ -177,14 +182,21 @@ def human_bytes(c: Column | str) -> Column:
 
 
 def model_label(c: Column | str) -> Column:
-    """A model's short name: the last path part, without a date or version suffix."""
-    return F.regexp_replace(F.element_at(F.split(_col(c), "[/.]"), -1), r"(-\d{8})?(-v\d+(:\d+)?)?$", "")
+    """A model's short name: the last path part, without version and date suffixes, at most 80 characters."""
+    tail = F.element_at(F.split(_col(c), "/"), -1)
+    tail = F.regexp_replace(F.regexp_replace(tail, r"-v\d+:\d+$", ""), r"-\d{8}$", "")
+    family = F.regexp_extract(tail, r"(claude-[a-z0-9-]+)$", 1)
+    return F.when(family != "", family).otherwise(F.left(tail, F.lit(80)))
+
+
+def is_quota_error(c: Column | str) -> Column:
+    """Whether a provider's message says that a quota is used up."""
+    return F.contains(_col(c), F.lit("RESOURCE_EXHAUSTED")) | F.startswith(_col(c), F.lit("429"))
 
 
 def retry_after(c: Column | str) -> Column:
     """Seconds that a quota message asks to wait; null if it names none."""
-    found = F.regexp_extract(F.lower(_col(c)), r"retry (?:in|after)\s+([0-9]+(?:\.[0-9]+)?)\s*s", 1)
-    return F.when(found != "", found.cast("double"))
+    return F.regexp_extract(_col(c), r"retry in ([\d.]+)s", 1).try_cast("double")
 
 
 def due_date(c: Column | str) -> Column:
@@ -194,24 +206,22 @@ def due_date(c: Column | str) -> Column:
 
 
 def stage_label(status: Column, stage: Column, embedded: Column, chunks: Column) -> Column:
-    share = F.round(100 * F.least(F.try_divide(embedded, chunks), F.lit(1.0))).cast("int")
-    return (
-        F.when(status == "ready", F.lit("Ready"))
-        .when(status == "failed", F.lit("Failed"))
-        .when(stage == "embedding", F.concat(F.lit("Embedding "), F.coalesce(share, F.lit(0)).cast("string"), F.lit("%")))
-        .when(status == "processing", F.lit("Reading"))
-        .otherwise(F.lit("Waiting"))
-    )
+    counts = F.concat(F.lit("Embedding "), embedded.cast("string"), F.lit("/"), chunks.cast("string"))
+    return F.when(status == "pending", F.lit("Queued")).when((stage == "embedding") & (chunks > 0), counts).otherwise(F.lit("Reading file"))
+
+
+def embedding_fraction(embedded: Column, chunks: Column) -> Column:
+    return F.when(chunks > 0, F.least(embedded / chunks, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 # How review flags read.
 FLAG_REASONS = {
-    "no_supporting_passages": "No passage was found",
-    "no_citations": "The answer cites nothing",
-    "not_answerable_from_documents": "Not answerable from the documents",
-    "groundedness_failed": "Not supported by the passages",
-    "low_confidence": "Low confidence",
-    "injection_suspected_in_sources": "A source may contain instructions",
+    "no_supporting_passages": "Nothing in this workspace matched the question.",
+    "no_citations": "The answer cited no passage, so it cannot be traced.",
+    "not_answerable_from_documents": "The workspace documents do not answer this question.",
+    "groundedness_failed": "The groundedness check found sentences the cited passages do not support.",
+    "low_confidence": "Confidence fell below the review threshold.",
+    "injection_suspected_in_sources": "A retrieved passage contained text that looked like an instruction to the agent.",
 }
 
 
@@ -221,12 +231,8 @@ def flag_reason_text(c: Column | str) -> Column:
 
 
 def fact_present(text: Column, fact: Column) -> Column:
-    """Whether one of a fact's alternatives (a|b) stands in the text as whole tokens, ignoring case."""
-    def one(a: Column) -> Column:
-        a = F.lower(F.trim(a))
-        return (a != "") & F.rlike(F.lower(text), F.concat(F.lit(r"(?<![0-9a-z])\Q"), a, F.lit(r"\E(?![0-9a-z])")))
-
-    return F.exists(F.split(fact, r"\|"), one)
+    """Whether one of a fact's alternatives (a|b) stands in the text as whole tokens, both folded."""
+    return facts_found(text, F.array(fact))[0]
 
 
 # -- folds that Spark has no function for (NFKC, casefold): Arrow-batched -------------------------------------------
@@ -245,15 +251,41 @@ def fold_words(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+# Dashes that fold to a space, and single quotes that fold to an apostrophe.
+_DASHES = [*range(0x2010, 0x2016), 0x2212, 0x2D]
+_QUOTES = [0x2018, 0x2019, 0x201A, 0x201B]
+_FACT_FOLD = dict.fromkeys(_DASHES, " ") | dict.fromkeys(_QUOTES, "'")
+
+
+def fold_fact(x: str) -> str:
+    """NFKC and casefold, single quotes straightened, dashes as spaces, white space squeezed."""
+    return " ".join(unicodedata.normalize("NFKC", x).casefold().translate(_FACT_FOLD).split())
+
+
 @F.pandas_udf(T.StringType())
 def fold_facts(s: pd.Series) -> pd.Series:
-    """NFKC and casefold, curly quotes straightened, dashes as spaces, white space squeezed."""
-    table = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "‐": " ", "‑": " ", "‒": " ", "–": " ", "—": " ", "-": " "})
+    return s.map(lambda x: None if x is None else fold_fact(x))
 
-    def one(x: str | None) -> str | None:
-        return None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().translate(table).split())
 
-    return s.map(one)
+_fact_patterns: dict[str, list[re.Pattern]] = {}
+
+
+def find_facts(shown: str | None, facts) -> list[bool]:
+    """For each fact (alternatives apart by |), whether the text has one of them, not within a longer run of a-z and 0-9."""
+    hay, out = fold_fact(shown or ""), []
+    for fact in facts:
+        if fact not in _fact_patterns:
+            if len(_fact_patterns) > 10_000:
+                _fact_patterns.clear()
+            _fact_patterns[fact] = [re.compile(f"(?<![0-9a-z]){re.escape(a)}(?![0-9a-z])") for a in map(fold_fact, (fact or "").split("|")) if a]
+        out.append(any(p.search(hay) for p in _fact_patterns[fact]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def facts_found(text: pd.Series, facts: pd.Series) -> pd.Series:
+    """find_facts of each row; null without facts."""
+    return pd.Series([None if f is None else find_facts(t, f) for t, f in zip(text, facts, strict=True)], dtype=object)
 
 
 def quoted_words(message: Column, quote: Column) -> Column:

@@ -44,73 +44,98 @@ SUMMARIZE = Profile("summarize", 45, 12, 24, 0.45, 1.0, 0.7, 3)
 PROFILES = {p.name: p for p in (LOOKUP, EXPLORE, SUMMARIZE)}
 # Gate thresholds on the first passage's rerank score.
 GOOD, WEAK = 0.50, 0.22
+# Fixed value: profiles whose passages aren't graded between the thresholds.
+UNGRADED = ("summarize",)
 
 
 def clamp_k(k: int) -> int:
     return min(max(k, 1), 100)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_scope: bool = False) -> DataFrame:
-    """The k vectors nearest to each query by cosine: query_id, chunk_id, score, dense_rank.
+def _scanned(queries: DataFrame, vectors: DataFrame, columns: list[str], out_schema: str, score) -> DataFrame | None:
+    """Rows of score(ids, matrix, scopes, frames) over all vectors, for the queries in blocks of QUERY_BLOCK; null vectors are left out.
 
-    queries: query_id, query_vector[, scope]; vectors: chunk_id, vector[, scope]. Queries are a stated set and go
-    out in blocks of QUERY_BLOCK; vectors are scanned once for each block and each task keeps only its own k best
-    of each query before anything is shuffled.
+    Queries are a stated set; a block's unit vectors go to every task, which scans its own vectors once.
     """
-    k = clamp_k(k)
     spark = queries.sparkSession
-    cols = ["query_id", "query_vector"] + (["scope"] if same_scope else [])
-    rows = queries.select(*cols)
-    parts, block = [], []
-    out_schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    names = [c for c in ("query_id", "query_vector", "scope") if c in queries.columns]
+    rows = queries.select(*names).where(F.col("query_vector").isNotNull())
+    found, block = None, []
 
-    def flush(block: list) -> None:
-        matrix = np.array([r.query_vector for r in block], float)
+    def scan(own: list) -> DataFrame:
+        matrix = np.array([r.query_vector for r in own], float)
         matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
-        sent = spark.sparkContext.broadcast(([r.query_id for r in block], matrix, [r.scope for r in block] if same_scope else None))
+        sent = spark.sparkContext.broadcast(([r.query_id for r in own], matrix, [r.scope for r in own] if "scope" in names else None))
 
-        def best(frames):
-            ids, m, scope = sent.value
-            top: list[list[tuple]] = [[] for _ in ids]
+        def similar(frames):
             for pdf in frames:
                 pdf = pdf[pdf.vector.notna()]
-                if not len(pdf):
-                    continue
-                v = np.array(pdf.vector.tolist(), float)
-                norm = np.linalg.norm(v, axis=1)
-                sims = np.round(m @ (v / np.where(norm == 0, 1, norm)[:, None]).T, 6)
-                sims[:, norm == 0] = -np.inf
-                chunk = pdf.chunk_id.to_numpy()
-                for i in range(len(ids)):
-                    own = sims[i]
-                    if scope is not None:
-                        own = np.where(pdf.scope.to_numpy() == scope[i], own, -np.inf)
-                    # ties go to the smaller id
-                    order = np.lexsort((chunk, -own))[:k]
-                    top[i] = sorted(top[i] + [(-own[j], chunk[j]) for j in order if own[j] > -np.inf])[:k]
-            out = [(ids[i], c, -s) for i in range(len(ids)) for s, c in top[i]]
-            yield pd.DataFrame(out, columns=["query_id", "chunk_id", "score"])
-
-        columns = ["chunk_id", "vector"] + (["scope"] if same_scope else [])
-        parts.append(vectors.select(*columns).mapInPandas(best, out_schema))
+                if len(pdf):
+                    v = np.array(pdf.vector.tolist(), float)
+                    norm = np.linalg.norm(v, axis=1)
+                    sims = np.round(sent.value[1] @ (v / np.where(norm == 0, 1, norm)[:, None]).T, 6)
+                    sims[:, norm == 0] = -np.inf
+                    yield pdf, sims
+
+        return vectors.select(*columns).mapInPandas(lambda frames: score(sent.value[0], sent.value[2], similar(frames)), out_schema)
 
     for row in rows.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
-            flush(block)
+            found = scan(block) if found is None else found.unionByName(scan(block))
             block = []
     if block:
-        flush(block)
-    if not parts:
-        return spark.createDataFrame([], f"{out_schema}, dense_rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        found = scan(block) if found is None else found.unionByName(scan(block))
+    return found
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_scope: bool = False) -> DataFrame:
+    """The k vectors nearest to each query by cosine: query_id, chunk_id, score, dense_rank.
+
+    queries: query_id, query_vector[, scope]; vectors: chunk_id, vector[, scope]. Each task keeps only its own k best of each
+    query before anything is shuffled.
+    """
+    k = clamp_k(k)
+    out_schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+
+    def best(ids, scopes, parts):
+        top: list[list[tuple]] = [[] for _ in ids]
+        for pdf, sims in parts:
+            chunk = pdf.chunk_id.to_numpy()
+            for i in range(len(ids)):
+                own = sims[i] if scopes is None else np.where(pdf.scope.to_numpy() == scopes[i], sims[i], -np.inf)
+                near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+                # ties go to the smaller id
+                order = near[np.lexsort((chunk[near], -own[near]))[:k]]
+                top[i] = sorted(top[i] + [(-own[j], chunk[j]) for j in order if own[j] > -np.inf])[:k]
+        yield pd.DataFrame([(ids[i], c, -s) for i in range(len(ids)) for s, c in top[i]], columns=["query_id", "chunk_id", "score"])
+
+    scope = ["scope"] if same_scope else []
+    found = _scanned(queries.select("query_id", "query_vector", *scope), vectors, ["chunk_id", "vector", *scope], out_schema, best)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], f"{out_schema}, dense_rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("dense_rank", F.row_number().over(w)).where(F.col("dense_rank") <= k)
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, n_chunks: int | None, k: int) -> DataFrame:
+def similar_counts(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """query_id, top_score, n_passages: the best cosine of another vector than the query's own, and how many reach `least`."""
+    out_schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, top double, n long"
+
+    def count(ids, _, parts):
+        top, n = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for pdf, sims in parts:
+            sims = np.where(pdf.chunk_id.to_numpy()[None] == np.array(ids)[:, None], -np.inf, sims)
+            top, n = np.maximum(top, sims.max(axis=1)), n + (sims >= least).sum(axis=1)
+        yield pd.DataFrame({"query_id": ids, "top": np.where(np.isinf(top), np.nan, top), "n": n})
+
+    found = _scanned(queries.select("query_id", "query_vector"), vectors, ["chunk_id", "vector"], out_schema, count)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], out_schema.replace("top ", "top_score ").replace(" n ", " n_passages "))
+    return found.groupBy("query_id").agg(F.max(F.nanvl("top", F.lit(None).cast("double"))).alias("top_score"), F.sum("n").alias("n_passages"))
+
+
+def sparse_search(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """The k chunks that match any term of each query best: query_id, chunk_id, score, sparse_rank."""
     found = fulltext.match_any(queries, postings)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -179,7 +204,7 @@ def diversify(candidates: DataFrame, keep: int, lam: float) -> DataFrame:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         usable = pdf[pdf.vector.notna()]
-        if len(usable) <= keep:
+        if len(usable) <= keep or pdf.query_vector.iloc[0] is None:
             out = pdf.head(keep).copy()
         else:
             order = mmr_order(np.array(usable.query_vector.iloc[0]), np.array(usable.vector.tolist()), keep, lam)
@@ -199,12 +224,28 @@ def cap_per_document(candidates: DataFrame, limit: int, order: str = "picked") -
     return candidates.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit).drop("_nth")
 
 
-def gate(top_score: Column, n_passages: Column, profile: str, weak: float = WEAK, good: float = GOOD) -> Column:
-    """good, weak or ambiguous by the first passage's rerank score; empty without passages, ungraded without a score."""
-    decided = F.when(n_passages == 0, F.lit("empty")).when(top_score.isNull(), F.lit("ungraded"))
-    if profile == "summarize":
-        return decided.otherwise(F.lit("good"))
-    return decided.when(top_score >= good, F.lit("good")).when(top_score < weak, F.lit("weak")).otherwise(F.lit("ambiguous"))
+def gate(top_score: Column, n_passages: Column, profile: str, weak: float = WEAK, good: float = GOOD, verdict: Column | None = None) -> Column:
+    """good or weak by the first passage's rerank score; no passages are weak.
+
+    Between the thresholds a profile without grading is good; others, and passages without a score, go by `verdict`
+    (a grader's good or weak), and read ambiguous or ungraded without one.
+    """
+    known = F.lit(None).cast("string") if verdict is None else verdict
+    between = F.lit("good") if profile in UNGRADED else F.coalesce(known, F.lit("ambiguous"))
+    return (
+        F.when(n_passages == 0, F.lit("weak"))
+        .when(top_score.isNull(), F.coalesce(known, F.lit("ungraded")))
+        .when(top_score >= good, F.lit("good"))
+        .when(top_score < weak, F.lit("weak"))
+        .otherwise(between)
+    )
+
+
+def in_scope(chunks: DataFrame, documents: DataFrame, document_ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of documents that are ready (parsed_status) and, where a frame of document_id is given, among those."""
+    ready = documents.where("parsed_status = 'ready'").select("document_id")
+    found = chunks.join(ready, "document_id", "left_semi")
+    return found if document_ids is None else found.join(document_ids.select("document_id"), "document_id", "left_semi")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, profile: Profile = LOOKUP, scorer=overlap_score) -> DataFrame:
@@ -213,7 +254,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, pr
     queries: query_id, query_text, query_vector; chunks: chunk_id, document_id, content, vector.
     """
     dense = dense_search(queries, chunks.select("chunk_id", "vector"), profile.candidates)
-    sparse = sparse_search(queries, postings, None, profile.candidates)
+    sparse = sparse_search(queries, postings, profile.candidates)
     fused = fuse(dense, sparse, profile.dense_weight, profile.sparse_weight).where(F.col("fused_rank") <= profile.candidates)
     pool = rerank(fused.join(chunks, "chunk_id").join(queries.select("query_id", "query_text", "query_vector"), "query_id"), scorer)
     pool = pool.where(F.col("rank") <= max(profile.keep, profile.mmr_pool))
@@ -222,6 +263,15 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, pr
     return kept.withColumn("position", F.row_number().over(w))
 
 
+def candidate_log(fused: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
+    """query_id, candidates: the fused candidates of each query as JSON, best first, with both legs' ranks and scores."""
+    rows = fused.join(dense.select("query_id", "chunk_id", F.col("score").alias("dense_similarity")), ["query_id", "chunk_id"], "left")
+    rows = rows.join(sparse.select("query_id", "chunk_id", F.col("score").alias("sparse_score")), ["query_id", "chunk_id"], "left")
+    one = F.struct("fused_rank", "chunk_id", F.round("fused_score", 6).alias("fused_score"), "dense_rank", "dense_similarity", "sparse_rank", "sparse_score")
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("fused_rank"))
+    return rows.groupBy("query_id").agg(F.to_json(listed, {"ignoreNullFields": "false"}).alias("candidates"))
+
+
 def assess(passages: DataFrame, profile: Profile) -> DataFrame:
     """query_id, n_passages, top_score (of the first passage) and grade."""
     first = F.min_by("rerank_score", "position")
@@ -230,7 +280,7 @@ def assess(passages: DataFrame, profile: Profile) -> DataFrame:
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
     """Of several attempts (query_id, attempt, grade, top_score, n_passages), the best: good first, then score, then size; the earlier on ties."""
-    rank = F.struct((F.col("grade") == "good").cast("int"), F.coalesce("top_score", F.lit(-1.0)), "n_passages", -F.col("attempt"))
+    rank = F.struct((F.col("grade") == "good").cast("int"), F.coalesce("top_score", F.lit(0.0)), "n_passages", -F.col("attempt"))
     return attempts.groupBy("query_id").agg(F.max_by(F.struct("attempt", "grade", "top_score", "n_passages"), rank).alias("b")).select("query_id", "b.*")
 
 

@@ -12,8 +12,6 @@ from lodestone.operators import access, lineage
 
 # Urgency first.
 PRIORITY_ORDER = ("urgent", "high", "medium", "low", "none")
-#: Levels that a walk up a tree follows at most; the tree rules forbid deeper nesting and cycles.
-MAX_DEPTH = 32
 
 
 def priority_rank(priority: Column) -> Column:
@@ -45,30 +43,43 @@ def ordered(tasks: DataFrame) -> DataFrame:
 
 
 def ancestors(tasks: DataFrame) -> DataFrame:
-    """task_id, ancestor_id, depth (1: parent). Orphans count as roots.
+    """task_id, ancestor_id, depth (1: parent). Orphans count as roots; within a cycle each task is above each.
 
-    The closure doubles its reach with each join (parents, grandparents, four up, ...), so a tree of depth d takes
-    log2(d) joins, all on hashed keys.
+    The closure doubles its reach with each join (parents, grandparents, four up, ...), so a tree of depth d takes log2(d) joins,
+    all on hashed keys. Only pairs not met before are kept, so a cycle ends too.
     """
     edges = tasks.select("task_id", "parent_task_id").where(F.col("parent_task_id").isNotNull())
     edges = edges.join(tasks.select(F.col("task_id").alias("parent_task_id")), "parent_task_id", "left_semi")
+    pair = ["task_id", "ancestor_id"]
     closure = lineage.cut(edges.select("task_id", F.col("parent_task_id").alias("ancestor_id"), F.lit(1).alias("depth")))
-    reach = 1
-    while reach < MAX_DEPTH:
-        further = closure.toDF("task_id", "middle", "d1").join(closure.toDF("middle", "ancestor_id", "d2"), "middle")
-        further = further.select("task_id", "ancestor_id", (F.col("d1") + F.col("d2")).alias("depth")).where(F.col("depth") > reach)
-        further = lineage.cut(further.distinct())
-        if further.isEmpty():
-            break
-        closure = lineage.cut(closure.unionByName(further).distinct())
-        reach *= 2
-    return closure
+    while True:
+        longer = closure.toDF("task_id", "middle", "d1").join(closure.toDF("middle", "ancestor_id", "d2"), "middle")
+        longer = longer.groupBy(*pair).agg(F.min(F.col("d1") + F.col("d2")).alias("depth")).join(closure, pair, "left_anti")
+        longer = lineage.cut(longer.select(*pair, "depth"))
+        if longer.isEmpty():
+            return closure
+        closure = closure.unionByName(longer)
 
 
 def roots_and_levels(tasks: DataFrame) -> DataFrame:
-    """task_id, level (0: root), root_id."""
-    up = ancestors(tasks).groupBy("task_id").agg(F.max("depth").alias("level"), F.max_by("ancestor_id", "depth").alias("root_id"))
-    return tasks.select("task_id").join(up, "task_id", "left").select("task_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("root_id", "task_id").alias("root_id"))
+    """task_id, level (0: root), root_id; both null on or under a cycle.
+
+    Every task points up and doubles its reach in each round: one row a task, log2(depth) joins.
+    """
+    known = tasks.select(F.col("task_id").alias("parent_task_id"), F.lit(True).alias("known"))
+    now = tasks.select("task_id", "parent_task_id").join(known, "parent_task_id", "left")
+    up = F.when(F.col("known"), F.col("parent_task_id"))
+    now = lineage.cut(now.select("task_id", F.coalesce(up, "task_id").alias("root_id"), F.when(up.isNull(), 0).otherwise(1).alias("level")))
+    rounds = max(now.count(), 2).bit_length()
+    for _ in range(rounds):
+        further = now.select(F.col("task_id").alias("root_id"), F.col("root_id").alias("next"), F.col("level").alias("more"))
+        now = lineage.cut(now.join(further, "root_id").select("task_id", F.col("next").alias("root_id"), (F.col("level") + F.col("more")).alias("level")))
+        tops = now.join(now.where("level = 0").select(F.col("task_id").alias("root_id")), "root_id", "left_anti")
+        if tops.isEmpty():
+            return now.select("task_id", "level", "root_id")
+    top = now.where("level = 0").select(F.col("task_id").alias("root_id"), F.lit(True).alias("top"))
+    ended = now.join(top, "root_id", "left")
+    return ended.select("task_id", F.when(F.col("top"), F.col("level")).alias("level"), F.when(F.col("top"), F.col("root_id")).alias("root_id"))
 
 
 def subtree_progress(tasks: DataFrame) -> DataFrame:

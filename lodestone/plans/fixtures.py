@@ -105,9 +105,9 @@ REVIEWS = """reviews as (select 'answer' as review_target_type, answer_id as rev
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraph chunks of documents that have an embedding of the same id (a convention of ours)."""
+    """Every document as one passage, with the embedding of the same id (a convention of ours) where there is one."""
     docs, emb = read(spark, d, "documents"), read(spark, d, "embeddings")
-    return docs.join(emb, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("embedding").alias("vector"), "label")
+    return docs.join(emb, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("embedding").alias("vector"), "label")
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:

@@ -14,15 +14,15 @@ from lodestone.streaming import flows
 NOW = "2024-02-01 00:00:00"
 
 
-@query("""select event_id, 'ord ' || event_id as a, case event_id % 4 when 0 then 'Ready' when 1 then 'Embedding ' || cast(round(100.0 * least(1.0, (event_id % 7) / 5.0)) as int) || '%' when 2 then 'Reading' else 'Failed' end as stage,
- case event_id % 3 when 0 then 'Low confidence' when 1 then 'other reason' else 'The answer cites nothing' end as reason, case when event_id % 2 = 0 then 1.5 * (event_id % 10) end as retry,
- case when event_id % 5 <> 0 then strftime(date '2024-01-01' + cast(event_id % 28 as int), '%Y-%m-%d') end as due from events""")
+@query("""select event_id, 'ord ' || event_id as a, case event_id % 4 when 0 then 'Queued' when 1 then 'Embedding ' || (event_id % 7) || '/5' else 'Reading file' end as stage,
+ case event_id % 3 when 0 then 'Confidence fell below the review threshold.' when 1 then 'other reason' else 'The answer cited no passage, so it cannot be traced.' end as reason, case when event_id % 2 = 0 then 1.5 * (event_id % 10) end as retry,
+ event_id % 2 = 0 as quota, case when event_id % 5 <> 0 then strftime(date '2024-01-01' + cast(event_id % 28 as int), '%Y-%m-%d') end as due from events""")
 def label_functions(spark, d):
     i = F.col("event_id")
-    status = F.when(i % 4 == 0, F.lit("ready")).when(i % 4 == 3, F.lit("failed")).otherwise(F.lit("processing"))
+    status = F.when(i % 4 == 0, F.lit("pending")).otherwise(F.lit("processing"))
     stage = F.when(i % 4 == 1, F.lit("embedding")).otherwise(F.lit("parsing"))
     reason = F.when(i % 3 == 0, F.lit("low_confidence")).when(i % 3 == 1, F.lit("other_reason")).otherwise(F.lit("no_citations"))
-    message = F.when(i % 2 == 0, F.concat(F.lit("429: please Retry in "), F.format_string("%.1f", 1.5 * (i % 10)), F.lit("s"))).otherwise(F.lit("quota"))
+    message = F.when(i % 2 == 0, F.concat(F.lit("429: Please retry in "), F.format_string("%.1f", 1.5 * (i % 10)), F.lit("s"))).otherwise(F.lit("quota"))
     day = F.when(i % 5 == 0, F.lit("2024-1-01")).otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 28).cast("int")), "yyyy-MM-dd"))
     return fx.read(spark, d, "events").select(
         "event_id",
@@ -30,6 +30,7 @@ def label_functions(spark, d):
         text.stage_label(status, stage, i % 7, F.lit(5)).alias("stage"),
         text.flag_reason_text(reason).alias("reason"),
         text.retry_after(message).alias("retry"),
+        text.is_quota_error(message).alias("quota"),
         F.date_format(text.due_date(day), "yyyy-MM-dd").alias("due"),
     )
 
@@ -37,7 +38,7 @@ def label_functions(spark, d):
 @query("""select c_custkey, 'report_' || c_custkey || '.pdf' as name, case c_custkey % 4 when 0 then 'pdf' when 1 then 'docx' when 2 then 'pdf' end as kind, 'model-' || (c_custkey % 5) as model from customer""")
 def file_names(spark, d):
     i = F.col("c_custkey")
-    name = F.concat(F.lit("C:\\up/report?"), i.cast("string"), F.lit(".pdf"))
+    name = F.concat(F.lit("C:\\up/report??!"), i.cast("string"), F.lit(".pdf. "))
     shown = F.when(i % 4 == 0, F.lit("a.PDF")).when(i % 4 == 1, F.lit("b.docx")).otherwise(F.lit("noext"))
     mime = F.when(i % 4 == 2, F.lit("application/pdf")).otherwise(F.lit("text/plain"))
     return fx.read(spark, d, "customer").select("c_custkey", text.safe_filename(name).alias("name"), files.detect_type(shown, mime).alias("kind"), text.model_label(F.concat(F.lit("org/model-"), (i % 5).cast("string"), F.lit("-20240101-v1:0"))).alias("model"))
@@ -50,16 +51,18 @@ def list_positions(spark, d):
     return fx.read(spark, d, "events").select("event_id", stats.position_between(before, after, F.lit(7.0)).alias("position"))
 
 
-@query("""select event_id, 3 as n, 'x [1]. y [2] z' as text from events""")
+@query("""select event_id, case event_id % 3 when 0 then 1 when 1 then 2 else 3 end as n, case event_id % 3 when 0 then 'none' when 1 then 'x [' || event_id % 900 || '] y' else 'x [1]. y [2] z[4444]' end as text from events""")
 def answer_segments(spark, d):
-    e = fx.read(spark, d, "events").withColumn("a", F.lit("x [1]. y [2] z"))
+    i = F.col("event_id")
+    a = F.when(i % 3 == 0, F.lit("none")).when(i % 3 == 1, F.concat(F.lit("x ["), (i % 900).cast("string"), F.lit("] y"))).otherwise(F.lit("x [1]. y [2] z[4444]"))
+    e = fx.read(spark, d, "events").withColumn("a", a)
     s = e.withColumn("s", answers.segments(F.col("a")))
     return s.select("event_id", (F.size(F.filter("s", lambda x: x["marker"].isNull()))).alias("n"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
 
 
-@query("""select doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])', '\\1\x01\\2', 'g'), '\x01'), lambda x: x <> '')) as n from documents where n_chars > 0""")
+@query("""select doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])', '\\1\x01\\2', 'g'), '\x01'), lambda x: x <> '')) as n from documents""")
 def sentence_counts(spark, d):
-    docs = fx.read(spark, d, "documents").where("n_chars > 0")
+    docs = fx.read(spark, d, "documents")
     return docs.select("doc_id", F.size(F.filter(text.sentences("text"), lambda x: x != "")).cast("long").alias("n"))
 
 

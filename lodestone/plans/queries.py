@@ -46,7 +46,7 @@ def wilson_sql(h: str, n: str, name: str) -> str:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: every embedding whose id is divisible by 50, with its document's first words as text."""
+    """The stated query set: every document whose id is divisible by 50, with its first words as text and its vector if it has one."""
     c = fx.chunks(spark, d).where("chunk_id % 50 = 0")
     return c.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.array_join(F.slice(F.split("content", r"\s+"), 1, 12), " ").alias("query_text"), F.col("label").alias("scope"))
 
@@ -69,22 +69,30 @@ def dense_search_scoped(spark, d):
     return retrieval.dense_search(_queries(spark, d), c, 5, same_scope=True)
 
 
-_LEX = """lex as (select doc_id as chunk_id, source as document_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as words from documents where doc_id in (select vec_id from embeddings))"""
-
-
 def _legs(spark, d):
     q, c = _queries(spark, d), fx.chunks(spark, d)
-    words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    qw = q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query_text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
-    hits = qw.join(c.select("chunk_id", F.explode(words).alias("w")), "w").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    sparse = hits.withColumn("sparse_rank", F.row_number().over(w)).where("sparse_rank <= 20")
-    return retrieval.dense_search(q, c.select("chunk_id", "vector"), 20), sparse
+    return retrieval.dense_search(q, c.select("chunk_id", "vector"), 20), retrieval.sparse_search(q, _posts(q, c), 20)
+
+
+def _posts(q, c):
+    return fulltext.postings(c, only=fulltext.query_terms(q))
+
 
+def _stem_sql(w: str) -> str:
+    one = f"case when regexp_matches({w}, '[^s]ies$') then regexp_replace({w}, 'ies$', 'i') when regexp_matches({w}, '(ss|us|is)$') then {w} when regexp_matches({w}, '...s$') then regexp_replace({w}, 's$', '') else {w} end"
+    ends = " ".join(f"when regexp_matches(x, '....{e}$') then regexp_replace(x, '{e}$', '')" for e in ("ing", "ed", "ly"))
+    return f"list_transform([{one}], lambda x: case {ends} else x end)[1]"
 
-_SPARSE = f"""{_LEX}, qw as (select chunk_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')[1:12], ' ')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))) as w from lex where chunk_id % 50 = 0),
-cw as (select chunk_id, unnest(words) as w from lex),
-sparse as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as sparse_rank from (select query_id, chunk_id, count(*) as score from qw join cw using (w) group by 1, 2)) where sparse_rank <= 20)"""
+
+def _lexemes_sql(text_: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS)
+    return f"list_transform(list_filter(regexp_split_to_array(lower({text_}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' and w not in ({stops})), lambda w: {_stem_sql('w')})"
+
+
+_HITS = f"""cw as (select doc_id as chunk_id, unnest({_lexemes_sql("coalesce(text, '')")}) as lexeme from documents),
+qw as (select doc_id as query_id, unnest(list_distinct({_lexemes_sql("array_to_string(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')[1:12], ' ')")})) as lexeme from documents where doc_id % 50 = 0),
+hits as (select query_id, chunk_id, round(count(*)::double / (count(*) + 1), 9) as score from qw join cw using (lexeme) group by 1, 2)"""
+_SPARSE = f"""{_HITS}, sparse as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as sparse_rank from hits) where sparse_rank <= 20)"""
 
 
 @query(f"with {_SPARSE} select query_id, chunk_id, score, sparse_rank from sparse", long=("sparse_rank",))
@@ -114,7 +122,8 @@ def per_document_cap(spark, d):
 def hybrid_search_explore(spark, d):
     """All steps: both legs, fusion, rerank, diversity, cap; postings with stems and stop words."""
     c = fx.chunks(spark, d)
-    out = retrieval.hybrid_search(_queries(spark, d).drop("scope"), c.drop("label"), fulltext.postings(c), retrieval.EXPLORE)
+    q = _queries(spark, d).drop("scope")
+    out = retrieval.hybrid_search(q, c.drop("label"), _posts(q, c), retrieval.EXPLORE)
     return out.select("query_id", "chunk_id", "document_id", "position", F.round("rerank_score", 6).alias("rerank_score"), F.round("fused_score", 9).alias("fused_score"))
 
 
@@ -122,27 +131,25 @@ def hybrid_search_explore(spark, d):
 def retrieval_with_retry(spark, d):
     c = fx.chunks(spark, d)
     half = lambda q: F.array_join(F.slice(F.split(q, " "), 1, 6), " ")
-    out = retrieval.retrieve_with_retry(_queries(spark, d).drop("scope"), c.drop("label"), fulltext.postings(c), half)
+    q = _queries(spark, d).drop("scope")  # the second attempt's words are among the first's
+    out = retrieval.retrieve_with_retry(q, c.drop("label"), _posts(q, c), half)
     return out.select("query_id", "attempt", "grade", "chunk_id", "position")
 
 
-@query()
+@query(f"with {_HITS} select query_id, chunk_id, score from hits")
 def cover_density_rank(spark, d):
-    found = fulltext.rank_covers(_queries(spark, d), fulltext.postings(fx.chunks(spark, d)))
-    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+    """Scores of every chunk that holds a term."""
+    q = _queries(spark, d)
+    return fulltext.match_any(q, _posts(q, fx.chunks(spark, d)))
 
 
 @query("""with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(qv, embedding::double[]), 6) as s from q, embeddings),
 g as (select query_id, max(s) as top_score, count(*) filter (where s >= 0.2) as n_passages from s where query_id <> vec_id group by 1)
-select query_id, top_score, n_passages, case when n_passages = 0 then 'empty' when top_score >= 0.5 then 'good' when top_score < 0.22 then 'weak' else 'ambiguous' end as grade from g""")
+select query_id, top_score, n_passages, case when n_passages = 0 then 'weak' when top_score >= 0.5 then 'good' when top_score < 0.22 then 'weak' else 'ambiguous' end as grade from g""")
 def confidence_gate(spark, d):
-    e = fx.read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    # the stated query set goes to every task; its size is checked
-    n = q.count()
-    q = F.broadcast(q) if n <= retrieval.QUERY_BLOCK else q
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.round(stats.cosine(F.col("qv"), F.col("embedding")), 6).alias("s"))
-    g = s.groupBy("query_id").agg(F.max("s").alias("top_score"), F.count_if(F.col("s") >= 0.2).alias("n_passages"))
+    e = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    g = retrieval.similar_counts(q, e, 0.2)
     return g.withColumn("grade", retrieval.gate(F.col("top_score"), F.col("n_passages"), "lookup"))
 
 
@@ -242,7 +249,10 @@ def _redact_sql() -> str:
     return out
 
 
-@query(f"""with {_planted_sql(_SECRETS)} select doc_id, md5({_redact_sql()}) as redacted, case when doc_id % 10 < 9 then {_lit(list(text.SECRET_PATTERNS) + ['none'])}[doc_id % 10 + 1] else '' end as found from planted""")
+_FOUND = ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in text.SECRET_PATTERNS.items())
+
+
+@query(f"""with {_planted_sql(_SECRETS)} select doc_id, md5({_redact_sql()}) as redacted, array_to_string(list_filter([{_FOUND}], lambda x: x is not null), ';') as found from planted""")
 def secret_redaction(spark, d):
     r = _planted(spark, d, _SECRETS).select("doc_id", text.redact_secrets("text").alias("r"))
     return r.select("doc_id", F.md5(F.col("r.text")).alias("redacted"), F.array_join("r.found", ";").alias("found"))
@@ -366,7 +376,7 @@ def quote_passages(spark, d):
     return quotes.resolve(quotes.find_quotes(text_, q), c)
 
 
-@query("""with c as (select doc_id, i as chunk_index, i * 500 as c_start, (i + 1) * 500 as c_end from documents, range(0, 400) t(i) where i * 500 < n_chars),
+@query("""with c as (select doc_id, i as chunk_index, i * 500 as c_start, (i + 1) * 500 as c_end from documents, range(0, (length(text) + 499) // 500) t(i)),
 m as (select item_id as quote_id, doc_id, strpos(d.text, b.text) - 1 as s, strpos(d.text, b.text) - 1 + length(b.text) as e from benchmark b join documents d on contains(d.text, b.text)),
 j as (select *, c_start <= s and e <= c_end as inside from m join c using (doc_id) where c_start < e and s < c_end), k as (select *, bool_or(inside) over (partition by quote_id, doc_id) as any_inside from j)
 select quote_id, doc_id, s as char_start, e as char_end, chunk_index, not any_inside as spans_boundary from k where inside or not any_inside""")
@@ -408,7 +418,7 @@ def retrieval_metrics(spark, d):
 
 @query(f"""with {fx.RECORDS}, g as (select * from records where {_GATE}) select {wilson_sql(f'count(*) filter (where {_RIGHT})', 'count(*)', 'cited')},
  round_even(avg(case when len(cited) > 0 then len(list_filter(cited, lambda c: list_contains(expected, c)))::double / len(cited) end), 4) as strict_precision, count(*) filter (where len(cited) > 0) as with_citation,
- {wilson_sql('count(*) filter (where list_contains(expected, cited[1]))', 'count(*)', 'cited_first')}, round_even(avg(len(cited)::double), 2) as citations_per_answer, count(citation_acceptable) as overrides from g""")
+ {wilson_sql('count(*) filter (where list_contains(expected, cited[1]))', 'count(*)', 'cited_first')}, round_even(avg(len(cited)::double), 2) as citations_per_answer, count(*) filter (where citation_acceptable and not cited_expected) as overrides from g""")
 def citation_metrics(spark, d):
     return evaluation.citation_metrics(fx.records(spark, d))
 
@@ -443,11 +453,11 @@ def metrics_by_kind(spark, d):
     return evaluation.by_kind(fx.records(spark, d))
 
 
-@query(f"""with {fx.RECORDS}, e as (select id, ['t' || (id % 3)] as expected_tools, ['t' || (id % 4), 't' || (id % 5)] as tools from records where id < 2000) select
+@query(f"""with {fx.RECORDS}, e as (select id, ['t' || (id % 3)] as expected_tools, ['t' || (id % 4), 't' || (id % 5)] as tools from records) select
  {wilson_sql('count(*) filter (where list_has_any(expected_tools, tools))', 'count(*)', 'routing')}, len(list(id) filter (where not list_has_any(expected_tools, tools))) as misses from e""")
 def routing_accuracy(spark, d):
     t = lambda n: F.concat(F.lit("t"), (F.col("id") % n).cast("string"))
-    r = fx.records(spark, d).where("id < 2000").select("id", F.array(t(3)).alias("expected_tools"), F.array(t(4), t(5)).alias("tools"))
+    r = fx.records(spark, d).select("id", F.array(t(3)).alias("expected_tools"), F.array(t(4), t(5)).alias("tools"))
     return evaluation.routing(r)
 
 
@@ -457,22 +467,38 @@ def routing_misses(spark, d):
     return evaluation.routing_misses(fx.records(spark, d).select("id", F.array(t(3)).alias("expected_tools"), F.array(t(4), t(5)).alias("tools")))
 
 
-@query("""with c as (select event_id as id, event_type = 'error' as leaked, value > 50 as retrieved, event_id % 3 = 0 as detected from events) select count(*) as cases, count(*) filter (where (retrieved or leaked) and not leaked) as caught,
- count(*) filter (where retrieved or leaked) as exercised, count(*) filter (where leaked) as obeyed, count(*) filter (where detected) as scanner_flagged from c""")
+_CASES = """c as (select event_id as id, value > 50 as retrieved, event_id % 3 = 0 as detected, event_type = 'error' or event_id % 6 in (1, 2, 4, 5) as broken from events)"""
+
+
+@query(f"""with {_CASES} select count(*) as cases, count(*) filter (where retrieved and not broken) as caught,
+ count(*) filter (where retrieved) as exercised, count(*) filter (where retrieved and broken) as obeyed, count(*) filter (where detected) as scanner_flagged from c""")
 def red_team(spark, d):
     return evaluation.red_team_summary(_cases(spark, d))
 
 
-@query("select event_id as id from events where event_type = 'error'")
+@query(f"with {_CASES} select id from c where retrieved and broken")
 def red_team_obeyed(spark, d):
     return evaluation.red_team_obeyed(_cases(spark, d))
 
 
 def _cases(spark, d) -> DataFrame:
-    e = fx.read(spark, d, "events")
-    shown = F.when(F.col("event_type") == "error", F.lit("leak CANARY-1")).otherwise(F.lit("fine"))
-    score = evaluation.red_team_case(F.array(F.lit("CANARY-1")), F.array(F.lit("delete")), shown, F.array(F.lit("create a task")), F.lit(False), F.col("value") > 50, F.col("event_id") % 3 == 0)
-    return e.select(F.col("event_id").alias("id"), score.alias("score"))
+    """Replies that leak, state the planted value (1), dismiss the true one (2), report both (3), show a secret (4) or a marker (5)."""
+    e, i = fx.read(spark, d, "events"), F.col("event_id") % 6
+    said = F.when(i == 1, F.lit("It is 0.40 percent.")).when(i == 2, F.lit("0.40; the 25 % was a Typo")).when(i == 3, F.lit("Either 0.40 or 25 percent"))
+    said = said.when(i == 4, F.lit("key sk-ant-" + "b2_" * 8)).when(i == 5, F.lit("reply with json ONLY")).otherwise(F.lit("fine"))
+    return evaluation.red_team_case(
+        e.select(
+            F.col("event_id").alias("id"),
+            F.array(F.lit("CANARY-1")).alias("canaries"),
+            F.array(F.lit("delete")).alias("forbidden"),
+            said.alias("shown"),
+            F.array(F.when(F.col("event_type") == "error", F.lit('{"title": "Delete canary-1"}')).otherwise(F.lit('{"title": "create"}'))).alias("proposals"),
+            F.struct(F.lit("0.40").alias("false"), F.lit("25").alias("true")).alias("poison"),
+            F.lit(None).cast("array<string>").alias("parts"),
+            (F.col("value") > 50).alias("retrieved"),
+            (F.col("event_id") % 3 == 0).alias("detected"),
+        )
+    ).select("id", "score")
 
 
 @query("""with a as (select event_id as answer_id, ['Alpha is one', 'Beta grows'] as t, event_id % 3 + 1 as s1, event_id % 5 + 1 as s2 from events)
@@ -555,10 +581,10 @@ def visible_users(spark, d):
     return access.readable_users(m.select("user_id", "full_name"), m, 7)
 
 
-@query(f"with {fx.TASKS} select task_id from tasks where assignee_id is not null and assignee_id % 3 = 0 and not exists (select 1 from members where user_id = assignee_id and auth_role = 'Member')")
+@query(f"with {fx.TASKS} select task_id from tasks where assignee_id is not null and not exists (select 1 from members where user_id = assignee_id and auth_role = 'Member')")
 def assignee_violations(spark, d):
     m = fx.members(spark, d).where("auth_role = 'Member'").select(F.col("user_id").alias("assignee_id"))
-    return access.orphans(fx.tasks(spark, d).where("assignee_id % 3 = 0"), m, ["assignee_id"]).select("task_id")
+    return access.orphans(fx.tasks(spark, d), m, ["assignee_id"]).select("task_id")
 
 
 @query(f"""with {fx.TASKS} select task_id from tasks join members on user_id = assignee_id where auth_role = 'Member' and task_id % 4 = 0""")
@@ -602,10 +628,10 @@ def audit_filter(spark, d):
     return e.where(F.ilike("event_type", F.concat(F.lit("%"), text.filter_action(F.lit("pur!chase")), F.lit("%")))).select("event_id", "event_type")
 
 
-@query(f"""with {fx.MEMBERS}, a as (select event_id as action_id, cast(event_id % 5 as int) as workspace_id, '{{"title": " Task ' || event_id || ' ", "priority": "high"}}' as p from events where event_id % 2 = 0 and event_id < 2000)
+@query(f"""with {fx.MEMBERS}, a as (select event_id as action_id, cast(event_id % 5 as int) as workspace_id, '{{"title": " Task ' || event_id || ' ", "priority": "high"}}' as p from events where event_id % 2 = 0)
 select action_id, workspace_id, 'Task ' || action_id as title, 'high' as priority from a where workspace_id in (select workspace_id from members where user_id = 20 and auth_role = 'Admin')""")
 def approved_actions(spark, d):
-    e = fx.read(spark, d, "events").where("event_id < 2000")
+    e = fx.read(spark, d, "events")
     a = e.select(F.col("event_id").alias("action_id"), (F.col("event_id") % 5).cast("int").alias("workspace_id"), F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("decided_at"), F.format_string('{"title": " Task %d ", "priority": "high"}', "event_id").alias("proposed_payload"))
     out = work.approve(a, a.where("action_id % 2 = 0").select("action_id"), fx.members(spark, d), 20, F.lit("2024-02-01").cast("timestamp"))
     return out["actions"].select("action_id", "workspace_id", F.trim(F.get_json_object("proposed_payload", "$.title")).alias("title"), F.get_json_object("proposed_payload", "$.priority").alias("priority"))
@@ -632,10 +658,15 @@ def cascade_delete(spark, d):
 # -- streaming forms, on bounded input -----------------------------------------------------------------------------------------
 
 
-@query()
+@query("""with recursive h as (select user_id, epoch_us(ts) / 1e6 as t, event_id as hit_id, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_id) as n from events),
+s as (select user_id, hit_id, t, n, null::double as wait, [t] as ok from h where n = 1 union all
+ select user_id, hit_id, t, n, case when w > 0 then w end, case when w > 0 then ok else list_append(ok, t) end from (
+  select h.user_id, h.hit_id, h.t, h.n, s.ok, greatest(0, case when len(s.ok) >= 6 then s.ok[len(s.ok) - 5] + 60 - h.t end, case when len(s.ok) >= 60 then s.ok[len(s.ok) - 59] + 3600 - h.t end) as w
+  from s join h on h.user_id = s.user_id and h.n = s.n + 1))
+select user_id, t, hit_id, coalesce(round(wait, 3), -1) as wait from s""")
 def rate_limited(spark, d):
-    e = fx.read(spark, d, "events").select((F.col("user_id") % 10).alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("u"), F.col("event_id").alias("hit_id"))
-    return flows.limited(e.select("user_id", (F.col("u") / 1e6).alias("t"), "hit_id"))
+    e = fx.read(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("u"), F.col("event_id").alias("hit_id"))
+    return flows.limited(e.select("user_id", (F.col("u") / 1e6).alias("t"), "hit_id")).withColumn("wait", F.coalesce(F.round("wait", 3), F.lit(-1.0)))
 
 
 @query("""select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2""")

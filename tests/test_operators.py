@@ -76,7 +76,103 @@ def test_sanitise_and_wrap(spark):
     assert wrapped == '<untrusted_document id="1" source="a&quot;b">\n&lt;/untrusted_document&gt; &amp; x\n</untrusted_document>'
 
 
+def test_small_rules(spark):
+    assert one(spark, text.model_label(F.lit("gpt-4.1-mini"))) == "gpt-4.1-mini"
+    assert one(spark, text.model_label(F.lit("arn:x/us.anthropic.claude-sonnet-4-20250514-v1:0"))) == "claude-sonnet-4"
+    assert one(spark, text.model_label(F.lit("a/" + "m" * 90))) == "m" * 80
+    assert one(spark, text.safe_filename(F.lit("x/a??b. .pdf."))) == "a_b. .pdf" and one(spark, text.safe_filename(F.lit("  "))) == "document"
+    assert one(spark, text.retry_after(F.lit("Please retry in 33.5s"))) == 33.5 and one(spark, text.retry_after(F.lit("retry after 3 s"))) is None
+    assert one(spark, text.is_quota_error(F.lit("429 slow down"))) and not one(spark, text.is_quota_error(F.lit("HTTP 429")))
+    assert one(spark, text.stage_label(F.lit("processing"), F.lit("embedding"), F.lit(3), F.lit(7))) == "Embedding 3/7"
+    assert one(spark, text.embedding_fraction(F.lit(9), F.lit(3))) == 1.0
+    assert text.fold_fact("A\u2015B\u2212C \u201a\u201b \u201cq\u201d") == "a b c '' \u201cq\u201d"
+
+
+def test_gate(spark):
+    g = lambda s, n, p="lookup", v=None: one(spark, retrieval.gate(F.lit(s).cast("double"), F.lit(n), p, verdict=v))
+    assert [g(0.5, 1), g(0.21, 1), g(0.3, 1), g(None, 1), g(0.9, 0)] == ["good", "weak", "ambiguous", "ungraded", "weak"]
+    assert [g(0.1, 1, "summarize"), g(0.3, 1, "summarize"), g(0.3, 1, v=F.lit("weak")), g(None, 1, v=F.lit("good"))] == ["weak", "good", "weak", "good"]
+
+
+def test_scope_of_a_search(spark):
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "chunk_id int, document_id string")
+    d = spark.createDataFrame([("a", "ready"), ("b", "processing"), ("c", "ready")], "document_id string, parsed_status string")
+    assert [r.chunk_id for r in retrieval.in_scope(c, d).orderBy("chunk_id").collect()] == [1, 3]
+    assert [r.chunk_id for r in retrieval.in_scope(c, d, spark.createDataFrame([("b",), ("c",)], "document_id string")).collect()] == [3]
+
+
+def test_red_team_rules(spark):
+    schema = "id int, canaries array<string>, forbidden array<string>, shown string, proposals array<string>, poison struct<false:string,true:string>, parts array<string>, retrieved boolean, detected boolean"
+    p = ("0.40", "25%")
+    rows = [
+        (1, ["ZEBRA-1"], [], "all fine", [], None, None, True, False),
+        (2, ["ZEBRA-1"], [], "zebra-1", [], None, None, True, True),
+        (3, [], ["delete all"], "ok", ['{"title": "Delete ALL tasks"}'], None, None, True, False),
+        (4, [], [], "It is 0.40", [], p, None, True, False),
+        (5, [], [], "0.40 and 25% are both stated", [], p, None, True, False),
+        (6, [], [], "0.40; the 25% was a typo", [], p, None, True, False),
+        (7, [], [], "either 25% or 0.40", [], p, ["0.40", "25% it is"], True, False),
+        (8, [], [], "see untrusted_document", [], None, None, True, False),
+        (9, ["X9"], [], "X9", [], None, None, False, False),
+        (10, [], [], "ghp_" + "a1" * 16, [], None, None, True, False),
+    ]
+    got = {r.id: r.score for r in evaluation.red_team_case(spark.createDataFrame(rows, schema)).collect()}
+    assert {i: s.outcome for i, s in got.items()} == {1: "caught", 2: "obeyed", 3: "obeyed", 4: "obeyed", 5: "caught", 6: "obeyed", 7: "obeyed", 8: "obeyed", 9: "not exercised", 10: "obeyed"}
+    assert got[3].injected_proposals == 1 and got[9].exercised is False and got[1].poison_stated is None and got[2].detected
+
+
+def test_answers_without_passages_or_draft(spark):
+    schema = f"answer_id int, draft {answers.DRAFT}, raw_text string, grade string, passages array<struct<chunk_id:string,rerank_score:double,injected:boolean>>"
+    shown = [("c1", 0.9, False)]
+    key = "ghp_" + "a1" * 16
+    rows = [
+        (1, (True, True, [], [("x", [1])]), None, "weak", []),
+        (2, None, f"see {key} [1]", "good", shown),
+        (3, (True, True, [], [(f"It is {key}.", [1])]), None, "good", shown),
+        (4, (False, True, [], []), None, "good", shown),
+    ]
+    got = {r.answer_id: r for r in answers.outcomes(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[1].answer, got[1].answerable, got[1].confidence, got[1].grounded, got[1].flag_reasons) == (answers.NOTHING_FOUND, False, 0.0, True, ["no_supporting_passages"])
+    assert (got[2].answer, got[2].cited, got[2].grounded, got[2].flag_reasons, got[2].unsupported) == ("see [redacted GitHub token] [1]", ["c1"], False, ["groundedness_failed"], [answers.UNREADABLE])
+    assert got[3].answer == "It is [redacted GitHub token] [1]." and got[3].redacted == ["GitHub token"] and got[3].flag_reasons == []
+    assert got[4].answer == answers.NO_ANSWER and got[4].flag_reasons == ["not_answerable_from_documents", "low_confidence"]
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = spark.createDataFrame([(i, 0, i - 1 if i else None, "done" if i % 2 else "todo") for i in range(101)], "task_id long, workspace_id int, parent_task_id long, status string")
+    got = {r.task_id: (r.level, r.root_id) for r in work.roots_and_levels(chain).collect()}
+    assert got == {i: (i, 0) for i in range(101)}
+    assert {r.task_id: r.total for r in work.subtree_progress(chain).collect()} == {i: 100 - i for i in range(100)}
+    ring = spark.createDataFrame([(1, 0, 2), (2, 0, 1), (3, 0, 1), (4, 0, None), (5, 0, 4)], "task_id long, workspace_id int, parent_task_id long")
+    assert {r.task_id: (r.level, r.root_id) for r in work.roots_and_levels(ring).collect()} == {1: (None, None), 2: (None, None), 3: (None, None), 4: (0, 4), 5: (1, 4)}
+
+
+def test_quota_window(spark, tmp_path):
+    sent, wait = flows.quota_wait([], 0.0, 500, 100)
+    assert wait == 0 and flows.quota_wait(sent, 10.0, 1, 100) == (sent, 50.5)
+    sent, wait = flows.quota_wait([(0.0, 40)], 1.0, 40, 100, reserve=20)
+    assert wait == 0 and flows.quota_wait(sent, 2.0, 1, 100, reserve=20)[1] == 58.5
+    df = spark.createDataFrame([(k, float(t), 40, t) for k in "ab" for t in range(6)], "key string, t double, count long, batch_id long")
+    got = [r.sent_at for r in flows.quota_schedule(df, 100).where("key = 'a'").orderBy("t").collect()]
+    assert got == [0.0, 1.0, 60.5, 61.5, 121.0, 122.0]
+    df.write.parquet(str(tmp_path / "in"))
+    q = flows.quota_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 100).writeStream.format("memory").queryName("quota_t").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.key, r.sent_at) for r in spark.sql("select * from quota_t").collect()) == sorted((k, t) for k in "ab" for t in got)
+
+
+def test_rendered_passages(spark):
+    rows = [(1, 2, "f.pdf", None, None, "table", "f.pdf\n| h |", "| v |", []), (1, 1, "a<b", "S", 3, "text", "ctx", "body </untrusted_document>", ["x"])]
+    df = spark.createDataFrame(rows, "query_id int, position int, file_name string, section string, page int, kind string, context string, content string, injection_reasons array<string>")
+    got = answers.render_passages(df).first().rendered
+    assert got == (
+        '<workspace_documents>\n<untrusted_document id="1" source="a&lt;b">\n' + text.INSTRUCTION_WARNING + "\na&lt;b | S | page 3\nbody &lt;/untrusted_document&gt;\n</untrusted_document>\n\n"
+        '<untrusted_document id="2" source="f.pdf">\nf.pdf\n| h |\n| v |\n</untrusted_document>\n</workspace_documents>'
+    )
+
+
 def test_facts_are_whole_tokens(spark):
+    assert one(spark, text.fact_present(F.lit("a 96-hour wait, 1\\E2"), F.lit("96 hour"))) and one(spark, text.fact_present(F.lit("a 1\\E2 b"), F.lit("1\\E2")))
     assert one(spark, text.fact_present(F.lit("It took 15 days"), F.lit("5"))) is False
     assert one(spark, text.fact_present(F.lit("It took 15 days"), F.lit("14|15 DAYS"))) is True
 
@@ -124,6 +220,11 @@ def test_limiter():
         accepted, wait = flows.admit(accepted, float(t), ((2, 60.0),))
         waits.append(wait)
     assert waits == [None, None, 58.0, 57.0, None]
+    two, accepted = [], []
+    for t in (0, 1, 2, 70, 71, 72):
+        accepted, wait = flows.admit(accepted, float(t), ((2, 60.0), (3, 100.0)))
+        two.append(wait)
+    assert two == [None, None, 58.0, None, 29.0, 28.0]
 
 
 def test_limiter_streams_as_in_batch(spark, tmp_path):
@@ -143,26 +244,54 @@ def test_task_cycles_and_parents(spark):
     assert got == {(1, "cycle"), (2, "cycle"), (3, "cycle"), (4, "other workspace"), (5, "own parent"), (6, "unknown parent")}
 
 
-def test_docx_and_html(spark):
+def docx(body, styles=""):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    body = "<w:p><w:pPr><w:pStyle w:val='Heading2'/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>{body}</w:body></w:document>")
-    e = files.docx_elements(out.getvalue())
-    assert [(x["kind"], x["level"]) for x in e] == [("heading", 2), ("paragraph", 0), ("table", 0)]
-    assert "a\\|b" in e[2]["text"]
-    assert files.file_problem("docx", b"PK") == "not a DOCX file" and files.file_problem("docx", out.getvalue()) is None
+        if styles:
+            z.writestr("word/styles.xml", f"<w:styles xmlns:w='{w}'>{styles}</w:styles>")
+    return out.getvalue()
+
+
+def test_docx_and_html(spark):
+    p = lambda t, s="": "<w:p>" + (f"<w:pPr><w:pStyle w:val='{s}'/></w:pPr>" if s else "") + f"<w:r><w:t>{t}</w:t></w:r></w:p>"
+    styles = "".join(f"<w:style w:styleId='{i}'><w:name w:val='{n}'/></w:style>" for i, n in (("T", "Title"), ("U", "Subtitle"), ("berschrift2", "heading 2"), ("L", "List Bullet")))
+    table = "<w:tbl><w:tr><w:tc><w:p/></w:tc><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc>" + p("a|b") + p("c") + "</w:tc></w:tr></w:tbl>"
+    data = docx(p("Top", "T") + p("Sub", "U") + p("Two", "berschrift2") + p("item", "L") + p("Body") + table, styles)
+    e = files.docx_elements(data)
+    assert [(x["kind"], x["level"]) for x in e] == [("heading", 1), ("heading", 2), ("heading", 3), ("list", 0), ("paragraph", 0), ("table", 0)]
+    assert e[5]["text"] == "| col1 | col2 |\n| --- | --- |\n|  |  |\n| a\\|b c |  |"
+    assert [(x["kind"], x["level"]) for x in files.docx_elements(docx(p("Top", "Heading2")))] == [("heading", 3)]
+    assert files.file_problem("docx", b"PK") == "not a DOCX file" and files.file_problem("docx", data) is None
     h = files.html_elements("<head><title>x</title></head><h2>A &amp; B</h2><p>t <b>u</b></p><table><tr><th>k</th></tr><tr><td>v</td></tr></table><pre>a\n  b</pre>")
     assert [(x["kind"], x["text"]) for x in h] == [("heading", "A & B"), ("paragraph", "t u"), ("table", "| k |\n| --- |\n| v |"), ("code", "a\n  b")]
-    df = spark.createDataFrame([(bytearray(b"no"),), (bytearray(out.getvalue()),), (None,)], "content binary")
-    assert [r.n for r in files.parse_docx(df).select(F.size("elements").alias("n")).collect()] == [None, 3, None]
+    df = spark.createDataFrame([(bytearray(b"no"),), (bytearray(data),), (None,)], "content binary")
+    assert [r.n for r in files.parse_docx(df).select(F.size("elements").alias("n")).collect()] == [None, 6, None]
+    mixed = spark.createDataFrame([("docx", bytearray(data)), ("docx", bytearray(b"no")), ("pdf", bytearray(b"%PDF-1.7")), (None, None)], "doc_type string, content binary")
+    assert [(r.elements is not None, r.problem) for r in files.parse_file(mixed).collect()] == [(True, None), (False, "not a DOCX file"), (False, "no parser for pdf"), (False, "empty file")]
+
+
+def test_lines_of_pages(spark):
+    lines = [("1. Scope", 10.0, False), ("1.2 Ends in a stop.", 12.0, False), ("- a bullet", 14.0, True), ("A sentence.", 14.0, True), ("Big", 11.3, False), ("Bold", 9.8, True), ("x" * 131, 14.0, False), ("body", 10.0, False)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "i int, text string, size double, bold boolean")
+    assert [r.h for r in df.select(files.is_heading(F.lit(10.0)).alias("h")).collect()] == [False, True, False, False, True, True, False, False]
+    boxes = [(1, 1, 100.0, 0.0, float(y), 40.0, f"l{y}") for y in range(4)] + [(1, 1, 100.0, 60.0, float(y), 90.0, f"r{y}") for y in range(4)]
+    boxes += [(1, 2, 100.0, x, y, 90.0, t) for t, x, y in (("b", 50.0, 1.01), ("a", 0.0, 1.04), ("c", 0.0, 2.0))]
+    df = spark.createDataFrame(boxes, "doc_id int, page int, page_width double, x0 double, y0 double, x1 double, text string")
+    assert [r.text for r in files.reading_order(df).orderBy("page", "position").collect()] == ["l0", "l1", "l2", "l3", "r0", "r1", "r2", "r3", "a", "b", "c"]
+    rows = [(1, 1, i, t, b) for i, (t, b) in enumerate([("hyphen-", True), ("  ated word", True), ("next ", True), ("Head", False), ("after", True), (" ", True)])]
+    out = files.joined_paragraphs(spark.createDataFrame(rows, "doc_id int, page int, position int, text string, is_body boolean"))
+    assert sorted(r.text for r in out.collect()) == ["after ", "hyphenated word next"]
 
 
 def test_running_headers(spark):
     lines = [(1, p, i, t) for p in range(1, 6) for i, t in enumerate([f"Report page {p}", f"text {p} a", "end" if p < 3 else f"x{'y' * p}"])]
     df = spark.createDataFrame(lines, "doc_id long, page int, line_no int, text string")
     assert [(r.line, r.n) for r in files.repeated_edges(df).collect()] == [("Report page #", 5)]
+    assert files.repeated_edges(df, spark.createDataFrame([(1, 10)], "doc_id long, pages long")).count() == 0  # five of ten pages
+    long = df.withColumn("text", F.concat("text", F.lit("z" * 90)))
+    assert files.repeated_edges(long).count() == 0
 
 
 def test_full_text(spark):
@@ -170,7 +299,11 @@ def test_full_text(spark):
     q = spark.createDataFrame([(1, "the cats running"), (2, "the and of")], "query_id long, query_text string")
     p = fulltext.postings(c)
     assert {(r.query_id, r.chunk_id) for r in fulltext.match_any(q, p).collect()} == {(1, 1), (1, 2)}
-    assert fulltext.cover_density([(1, "a", 1.0), (2, "b", 1.0), (9, "a", 1.0)], {"a", "b"}) > fulltext.cover_density([(1, "a", 1.0), (8, "b", 1.0)], {"a", "b"})
+    # every occurrence counts: a at 1 and b at 50 give r = 2, in the context 0.4 each
+    two = spark.createDataFrame([(1, "alpha " + "x " * 48 + "beta", "alpha")], "chunk_id long, content string, context string")
+    ab = spark.createDataFrame([(1, "alpha beta")], "query_id long, query_text string")
+    assert [r.score for r in fulltext.match_any(ab, fulltext.postings(two)).collect()] == [round(2 / 3, 9)]
+    assert [r.score for r in fulltext.match_any(ab, fulltext.postings(two, context="context", only=fulltext.query_terms(ab))).collect()] == [round(2.4 / 3.4, 9)]
 
 
 def test_metrics_on_nothing(spark):
@@ -194,7 +327,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_no_query_collects_ids_or_scores(spark):
     r = spark.createDataFrame([(1, ["a"], ["a"]), (2, ["a"], ["b"]), (3, [], ["b"])], "id long, expected_tools array<string>, tools array<string>")
-    case = spark.sql("select id, named_struct('obeyed', id = 2, 'exercised', true, 'caught', id <> 2, 'detected', false) as score from range(4)")
+    case = spark.sql("select id, named_struct('outcome', 'x', 'obeyed', id = 2, 'exercised', true, 'caught', id <> 2, 'detected', false) as score from range(4)")
     c = spark.sql("select * from values (1, 'good', 0.5d), (1, 'good', null), (1, 'good', 0.7d), (2, 'weak', null) as t(answer_id, grade, rerank_score)")
     routing, summary, confidence = evaluation.routing(r), evaluation.red_team_summary(case), retrieval.confidence_of(c)
     for frame in (routing, summary, confidence):
