@@ -38,6 +38,8 @@ LEADERS = 3
 MEETINGS = 4
 #: A shingle in so many documents of other components counts as common.
 COMMON = 100
+#: Documents of a shingle in one list, about.
+BLOCK_ROWS = 256
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -299,23 +301,28 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     bound = left.select("key", "rep").join(able, "rep").groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
     alone = left.select("key", "rep").join(bound, "key").groupBy("rep").agg(F.min("least").alias("least"))
     able = materialize(able.join(alone, "rep").where("most >= least").drop("least"), "unsettled")
-    rare = materialize(_rarest(every.select("rep", "shingle").join(able, "rep")), "rarest")
+    rare = materialize(_rarest(every.select("rep", "shingle").join(able, "rep"), able.count()), "rarest")
     x, y = rare.toDF("shingle", "a", "c_a", "n_a", "most_a"), rare.toDF("shingle", "b", "c_b", "n_b", "most_b")
     fits = (F.col("c_a") < F.col("c_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     sizes = (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
     return by_shingle.unionByName(x.join(y, "shingle").where(fits & sizes).select("a", "b")).distinct()
 
 
-def _rarest(rows: DataFrame) -> DataFrame:
+def _rarest(rows: DataFrame, documents: int) -> DataFrame:
     """Of each document's shingles the n - ceil(3/4 n) + 1 that fewest of the given documents have.
 
     A partner has three quarters of them at least, so it has one of these, and the same order makes it one of its own as well.
     """
-    often = materialize(rows.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1"), "often")
-    met = rows.join(often, "shingle", "left").withColumn("docs", F.coalesce("docs", F.lit(1)))
-    w = Window.partitionBy("rep").orderBy("docs", "shingle")
-    first = met.withColumn("nth", F.row_number().over(w)).where("nth <= floor(n / 4) + 1 and docs > 1")
-    return first.select("shingle", "rep", "comp", "n", "most")
+    # the documents of one shingle go through the join a block of rows at a time, and are dealt evenly after it
+    blocks = documents // BLOCK_ROWS + 1
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("block")
+    lists = materialize(rows.groupBy("shingle", block).agg(F.collect_list(F.struct("rep", "comp", "n", "most")).alias("who")), "lists")
+    often = materialize(lists.groupBy("shingle").agg(F.sum(F.size("who")).alias("docs")).where("docs > 1"), "often")
+    met = lists.join(often, "shingle").hint("rebalance").select("shingle", "docs", F.explode("who").alias("w")).select("shingle", "docs", "w.*")
+    # shingles that no other document has come first
+    w = Window.partitionBy("rep")
+    nth = F.row_number().over(w.orderBy("docs", "shingle")) + F.col("n") - F.count("*").over(w)
+    return met.withColumn("nth", nth).where("nth <= floor(n / 4) + 1").select("shingle", "rep", "comp", "n", "most")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words of a window that may stand before its anchor
 SHARD_WORDS = 60_000
 #: Rows of a context in one list, at most.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -233,10 +233,10 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     # contexts of two documents or more; written as well, for the same reason
     contexts = materialize(shared.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("c1", "c2", "first"), "contexts")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    # the places of one context go through the join a block of rows at a time
+    # the places of one context go through the join a block of rows at a time, and are dealt evenly after it
     block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block")
     lists = shared.groupBy("c1", "c2", block).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "lead")).alias("rows"))
-    marked = lists.join(contexts, ["c1", "c2"], "left").select("first", F.explode("rows").alias("r")).select("r.*", "first")
+    marked = lists.join(contexts, ["c1", "c2"], "left").hint("rebalance").select("first", F.explode("rows").alias("r")).select("r.*", "first")
     marked = marked.select("doc_id", "text_key", F.struct("pos", "lead", copy.alias("copy")).alias("a"))
     places = marked.groupBy("doc_id", "text_key").agg(F.collect_list("a").alias("anchors")).withColumn("whole", F.lit(False))
     places = places.unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
