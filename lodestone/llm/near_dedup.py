@@ -36,7 +36,7 @@ NUM, DEN, ESTIMATE = 3, 4, 0.60
 LEADERS = 3
 #: Leaders that a document is compared with at first.
 MEETINGS = 4
-#: A shingle in so many documents of other components counts as common.
+#: A shingle in so many documents of other components (and twice as many in all) counts as common.
 COMMON = 100
 #: Documents of a shingle in one list, about.
 BLOCK_ROWS = 256
@@ -252,8 +252,11 @@ def _lead_pairs(left: DataFrame, links: DataFrame, reps: DataFrame, least: float
     # one row for each bucket, written, so that a hot bucket's rows can be split in the join
     leads = materialize(top.groupBy("key").agg(F.collect_list(F.struct("m.lead", "lead_comp")).alias("leads")), "leads")
     own = left.join(leads, "key").groupBy("rep", "comp").agg(F.flatten(F.collect_list("leads")).alias("leads"))  # BANDS * LEADERS at most
-    met = own.select(F.col("rep").alias("b"), "comp", F.explode("leads").alias("l")).where("comp <> l.lead_comp").select(F.col("l.lead").alias("a"), "b")
-    return estimated(_most_met(met), reps, least)
+    other = F.transform(F.filter("leads", lambda x: x["lead_comp"] != F.col("comp")), lambda x: x["lead"])
+    own = own.select(F.col("rep").alias("b"), other.alias("leads"))
+    ranked = F.transform(F.array_distinct("leads"), lambda a: F.struct((-F.size(F.filter("leads", lambda x: x == a))).alias("times"), a.alias("a")))
+    met = own.select("b", F.explode(F.slice(F.array_sort(ranked), 1, MEETINGS)).alias("m")).select("m.a", "b")
+    return estimated(met, reps, least)
 
 
 def _most_met(met: DataFrame) -> DataFrame:
@@ -273,17 +276,20 @@ def _candidates(left: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFr
     is at most what it shares with its pivot, its other shingles that are common in other components, and of the
     rest those that the partner has. Where the first two are under 3/7 of both sizes, the pair is found by the
     rest, from the side of the smaller component if both sides are so; a shingle of the rest meets fewer than
-    COMMON documents. Other pairs are found by their bucket.
+    2 * COMMON documents. Other pairs are found by their bucket.
     """
     nearest = _lead_pairs(left, links, reps, 0.0).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     who = materialize(left.select("rep", "comp").distinct(), "unsettled")
     beyond = _outside(nearest, docs).join(who, "rep")
     every = materialize(_shingle_rows(who.select("rep"), docs).join(who, "rep"), "shingles")
     inside = materialize(every.groupBy("shingle", "comp").agg(F.count("*").alias("own")), "inside")
-    often = materialize(inside.groupBy("shingle").agg(F.sum("own").alias("total")).where(F.col("total") > COMMON), "often")
-    common = inside.join(often, "shingle").where(F.col("total") - F.col("own") >= COMMON)
-    common = materialize(common.select("shingle", "comp", F.lit(1).alias("common")), "common")
-    beyond = materialize(beyond.join(common, ["shingle", "comp"], "left"), "pivots")
+    # common: in COMMON documents of other components; where a shingle has so many, at most one component has all but fewer
+    totals = inside.groupBy("shingle").agg(F.sum("own").alias("total"), F.max(F.struct("own", F.col("comp").alias("of"))).alias("top"))
+    often = materialize(totals.where(F.col("total") >= 2 * COMMON), "often")
+    but = (F.col("top.of") == F.col("comp")) & (F.col("total") - F.col("top.own") < COMMON)
+    common = F.when(F.col("total").isNotNull() & ~but, F.lit(1))
+    beyond = beyond.join(often, "shingle", "left").withColumn("common", common)
+    beyond = materialize(beyond.select("rep", "shared", "shingle", "comp", "common"), "pivots")
 
     size = who.groupBy("comp").agg(F.count("*").alias("size"))
     shared = beyond.groupBy("rep").agg((F.max("shared") + F.count("common")).alias("shared"))

@@ -34,7 +34,7 @@ WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words of a window that may stand before its anchor
 SHARD_WORDS = 60_000
 #: Rows of a context in one list, at most.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 32
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
