@@ -297,3 +297,42 @@ def quoted_words(message: Column, quote: Column) -> Column:
 def sentences(c: Column | str) -> Column:
     """Split after . ! or ? and white space before a capital or a digit."""
     return F.split(_col(c), r"(?<=[.!?])\s+(?=[A-Z0-9])")
+
+
+# The line above a checked answer.
+REPLIES = {
+    "not covered": "The workspace documents don't cover that.",
+    "ungrounded": "Here is what the documents say, but the groundedness check failed, so treat it with care.",
+    "flagged": "Here is what the documents say. It is flagged for review, so treat it with care.",
+    "fine": "Here is what the workspace documents say.",
+}
+
+
+def answer_reply(answerable: Column, grounded: Column, flagged: Column) -> Column:
+    """One line that says only what the recorded answer establishes."""
+    yes = F.lit(True)
+    return (
+        F.when(~F.coalesce(answerable, yes), F.lit(REPLIES["not covered"]))
+        .when(~F.coalesce(grounded, yes), F.lit(REPLIES["ungrounded"]))
+        .when(F.coalesce(flagged, F.lit(False)), F.lit(REPLIES["flagged"]))
+        .otherwise(F.lit(REPLIES["fine"]))
+    )
+
+
+def excerpt(c: Column | str, limit: int) -> Column:
+    return F.left(F.coalesce(_col(c), F.lit("")), F.lit(limit))
+
+
+def code_points(c: Column | str, start: Column, end: Column) -> Column:
+    """Characters [start, end) counted by code points."""
+    return F.substring(_col(c), start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def counter(c: Column) -> Column:
+    """Aggregate input: a map of each key of an array to how often it stands there."""
+    keys = F.array_sort(F.array_distinct(c))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(c, lambda x: x == k))))
+
+
+def is_json_object(c: Column | str) -> Column:
+    return F.coalesce(F.json_object_keys(_col(c)).isNotNull(), F.lit(False))

@@ -74,3 +74,33 @@ def orphans(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame
 
 def workspaces_without_admin(members: DataFrame) -> DataFrame:
     return members.groupBy("workspace_id").agg(F.count_if(F.col("auth_role") == "Admin").alias("admins")).where("admins = 0").select("workspace_id")
+
+
+# Who may write a table's rows: any member, or an Admin of the workspace; and what a row's own user may do beside.
+WRITERS = {"workspaces": "Admin", "workspace_members": "Admin", "workspace_invites": "Admin", "documents": "Admin", "sprints": "Admin", "notes": "Member", "tasks": "Member"}
+OWN = {"workspace_members": ("delete", "user_id"), "notes": ("delete", "created_by")}
+
+
+def writable(table: str, action: str, rows: DataFrame, members: DataFrame, user_id) -> DataFrame:
+    """Rows that the user may insert, update or delete.
+
+    A document's uploader must be the user; anyone may leave a workspace; a note is deleted by its creator or an Admin.
+    """
+    own = OWN.get(table)
+    strict = WRITERS[table] == "Admin" or (table == "notes" and action == "delete")
+    allowed = rows.join(memberships(members, user_id, strict), "workspace_id", "left_semi")
+    if table == "documents" and action == "insert":
+        return allowed.where(F.col("uploaded_by") == F.lit(user_id))
+    if own and own[0] == action:
+        mine = rows.where(F.col(own[1]) == F.lit(user_id)).join(memberships(members, user_id), "workspace_id", "left_semi")
+        return allowed.where(~F.coalesce(F.col(own[1]) == F.lit(user_id), F.lit(False))).unionByName(mine)
+    return allowed
+
+
+def find_workspace(workspaces: DataFrame, given: str) -> DataFrame:
+    """workspace_id, name by id, else by a part of the name that only one has; no row if none or several do."""
+    exact = workspaces.where(F.col("workspace_id").cast("string") == given)
+    part = workspaces.where(F.contains(F.lower("name"), F.lit(given.lower())))
+    single = part.groupBy().agg(F.count("*").alias("n"), F.first("workspace_id").alias("workspace_id"), F.first("name").alias("name")).where("n = 1").select("workspace_id", "name")
+    both = exact.select("workspace_id", "name", F.lit(1).alias("way")).unionByName(single.withColumn("way", F.lit(2)))
+    return both.groupBy().agg(F.min_by(F.struct("workspace_id", "name"), "way").alias("w")).where("w is not null").select("w.*")

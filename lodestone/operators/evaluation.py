@@ -263,3 +263,46 @@ def red_team_summary(cases: DataFrame) -> DataFrame:
 def red_team_obeyed(cases: DataFrame) -> DataFrame:
     """id of each case that was obeyed."""
     return cases.where("score.obeyed").select("id")
+
+
+def retrieval_score(chunks: Column, expected: Column) -> Column:
+    """struct<expected_chunk_retrieved, rank_of_expected, reciprocal_rank, retrieved_count> of ranked chunk ids."""
+    places = F.filter(F.transform(chunks, lambda c, i: F.when(F.array_contains(expected, c), i + 1)), lambda i: i.isNotNull())
+    rank = F.try_element_at(places, F.lit(1))
+    return F.struct(rank.isNotNull().alias("expected_chunk_retrieved"), rank.alias("rank_of_expected"), F.coalesce(F.bround(1.0 / rank, 4), F.lit(0.0)).alias("reciprocal_rank"), F.size(chunks).alias("retrieved_count"))
+
+
+def cited_union(answers: Column) -> Column:
+    """Distinct ids over an array of arrays of cited ids, in the order of first use."""
+    return F.array_distinct(F.flatten(answers))
+
+
+def group_score(cited: Column, groups: Column, distractors: Column) -> Column:
+    """struct<required_groups, required_groups_cited, all_required_cited, cited_distractor> of one record."""
+    hit = F.size(F.filter(groups, lambda g: F.arrays_overlap(g, cited)))
+    return F.struct(F.size(groups).alias("required_groups"), hit.alias("required_groups_cited"), (hit == F.size(groups)).alias("all_required_cited"), F.arrays_overlap(cited, distractors).alias("cited_distractor"))
+
+
+def behaviour_cases(records: DataFrame) -> DataFrame:
+    """Questions that aren't gate questions and must be judged by their behaviour, with the signals a grader needs."""
+    return records.where(~is_gate()).select("id", F.col("kind").alias("type"), "refused", (F.coalesce("refused", F.lit(False)) != F.col("answerable")).alias("refusal_correct"), "grounded", "flagged")
+
+
+def golden_problems(questions: DataFrame, resolved: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, rule of golden questions that can't be scored.
+
+    questions: id, kind, answerable, document, expected_quote; resolved: quote_id of quotes that some passage holds; documents: file_name.
+    """
+    known = documents.select(F.col("file_name").alias("document"), F.lit(True).alias("_document")).distinct()
+    found = resolved.select(F.col("quote_id").alias("id"), F.lit(True).alias("_found")).distinct()
+    many = questions.groupBy("id").agg(F.count("*").alias("_many"))
+    rows = questions.join(known, "document", "left").join(found, "id", "left").join(many, "id")
+    needs = F.col("answerable")
+    rules = {
+        "id is used once": F.col("_many") == 1,
+        "an answerable question has a quote": ~needs | (F.coalesce(F.trim("expected_quote"), F.lit("")) != ""),
+        "the document exists": F.col("document").isNull() | F.coalesce("_document", F.lit(False)),
+        "the quote is found": ~needs | F.col("expected_quote").isNull() | F.coalesce("_found", F.lit(False)),
+    }
+    broken = F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()]))
+    return rows.select("id", F.explode(broken).alias("rule")).distinct()

@@ -245,3 +245,41 @@ def not_yet_ingested(incoming: DataFrame, documents: DataFrame) -> DataFrame:
     w = Window.partitionBy("workspace_id", "content_hash").orderBy("file_name")
     fresh = hashed.join(documents.where("content_hash is not null").select("workspace_id", "content_hash"), ["workspace_id", "content_hash"], "left_anti")
     return fresh.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+# Fixed value: where an undated task sorts.
+NO_DUE_DATE = "9999-12-31"
+
+
+def board(tasks: DataFrame, sort: str = "manual") -> DataFrame:
+    """Adds `place` among siblings: by position and creation; of the top level, by priority, due or updated if asked for."""
+    manual = ["place_key", "created_at", "task_id"]
+    top = {"manual": None, "priority": priority_rank(F.col("priority")), "due": F.coalesce(F.date_format("due_date", "yyyy-MM-dd"), F.lit(NO_DUE_DATE)), "updated": -F.unix_micros(F.col("updated_at").cast("timestamp"))}[sort]
+    rows = tasks.withColumn("place_key", F.col("position"))
+    first = [] if top is None else [F.when(F.col("parent_task_id").isNull(), top)]
+    w = Window.partitionBy("workspace_id", "parent_task_id").orderBy(*first, *manual)
+    return rows.withColumn("place", F.row_number().over(w)).drop("place_key")
+
+
+def counts(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """Open, done and all tasks of each group."""
+    done = F.count_if(F.col("status") == "done")
+    return tasks.groupBy(*by).agg((F.count("*") - done).alias("open"), done.alias("done"), F.count("*").alias("total"))
+
+
+def listing(tasks: DataFrame, limit: int, by: str = "workspace_id") -> DataFrame:
+    """Each group's first `limit` ordered tasks, with how many are not shown."""
+    w = Window.partitionBy(by)
+    numbered = ordered(tasks).withColumn("total", F.count("*").over(w))
+    return numbered.where(F.col("position") <= limit).withColumn("more", F.greatest(F.col("total") - limit, F.lit(0))).drop("total")
+
+
+def searchable(documents: DataFrame) -> DataFrame:
+    """Passages of ready documents, documents by state, and whether any is on its way."""
+    ready = F.col("parsed_status") == "ready"
+    return documents.agg(F.coalesce(F.sum(F.when(ready, F.col("chunk_count"))), F.lit(0)).alias("passages"), F.count_if(ready).alias("ready"), F.count_if(F.col("parsed_status") == "failed").alias("failed"), F.coalesce(F.bool_or(F.col("parsed_status").isin("pending", "processing")), F.lit(False)).alias("in_flight"))
+
+
+def sprint_violations(sprints: DataFrame) -> DataFrame:
+    """Sprints that end before they start."""
+    return access.violations(sprints, "sprint_id", {"dates in order": F.col("ends_on") >= F.col("starts_on")})

@@ -269,7 +269,7 @@ def is_heading(body: Column) -> Column:
     return (F.length(text).between(1, 130)) & plain & ((F.col("size") >= body * 1.12) | (F.col("bold") & (F.col("size") >= body * 0.97) & (F.length(text) <= 90)))
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
+def reading_order(boxes: DataFrame, ties: list[str] | None = None) -> DataFrame:
     """Adds `position` to boxes (doc_id, page, page_width, x0, y0, x1): down the page, or down the left column first.
 
     A page has two columns where it has eight boxes or more, none reaches across the middle (4 % either side), and a
@@ -286,7 +286,7 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     placed = boxes.join(of_page, ["doc_id", "page"])
     # of two columns, boxes that end at the middle are left and those that begin there right; others belong to neither
     placed = placed.where(~two | (F.col("x1") <= mid) | (F.col("x0") >= mid)).withColumn("_column", F.when(two & (F.col("x1") > mid), 1).otherwise(0))
-    w = Window.partitionBy("doc_id", "page").orderBy("_column", F.bround("y0", 1), "x0")
+    w = Window.partitionBy("doc_id", "page").orderBy("_column", F.bround("y0", 1), "x0", *(ties or []))
     return placed.withColumn("position", F.row_number().over(w)).select(*boxes.columns, "position")
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats, text
-from lodestone.operators import answers, chunker, evaluation, fulltext, health, quotes, retrieval, work
+from lodestone.operators import answers, chunker, evaluation, fulltext, health, notes, quotes, retrieval, work
 from lodestone.sources import files
 from lodestone.streaming import flows
 
@@ -335,3 +335,33 @@ def test_no_query_collects_ids_or_scores(spark):
     assert routing.first().misses == 1 and [x.id for x in evaluation.routing_misses(r).collect()] == [2]
     assert summary.first().obeyed == 1 and [x.id for x in evaluation.red_team_obeyed(case).collect()] == [2]
     assert {x.answer_id: x.confidence for x in confidence.collect()} == {1: 0.6, 2: None}
+
+
+def test_notes(spark):
+    import json
+
+    leaf = lambda t: {"type": "text", "text": t}
+    para = lambda *t: {"type": "paragraph", "content": [leaf(x) for x in t]}
+    deep = para("x")
+    for _ in range(45):
+        deep = {"type": "blockquote", "content": [deep]}
+    trees = [{"type": "doc", "content": [para("a", "b"), para(), {"type": "bulletList", "content": [para("c"), para("d")]}]}, {"type": "doc", "content": [{"no": 1}]}, {"type": "doc", "content": [deep]}, {"type": "doc", "content": [para("y" * 512_001)]}, [], {"type": "doc"}]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)] + [(6, None), (7, "{")], "i int, content string")
+    got = {r.i: (r.problem, r.text) for r in df.select("i", notes.problem("content").alias("problem"), notes.plain_text("content").alias("text")).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {0: None, 1: "a block has no type", 2: "too deep", 3: "too large", 4: "not a document", 5: None, 6: "not a document", 7: "not a document"}
+    assert got[0][1] == "a b\nc\nd" and got[2][1] == "x" and got[5][1] == ""
+    listed = spark.createDataFrame([("Plan", "buy milk"), ("Other", None)], "title string, preview string")
+    assert [r.title for r in notes.search(listed, " MILK ").collect()] == ["Plan"] and notes.search(listed, " ").count() == 2
+
+
+def test_equal_requests_are_scored_once(spark):
+    df = spark.createDataFrame([(1, "a", 2), (2, "a", 2), (3, "b", None)], "i int, x string, y int")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def scorer(x, y):
+        calls.add(1)
+        return f"{x}{y}"
+
+    got = {r.i: r.score for r in flows.score_once(df, scorer("x", "y"), ["y", "x"]).collect()}
+    assert got == {1: "a2", 2: "a2", 3: "bNone"} and calls.value == 2
