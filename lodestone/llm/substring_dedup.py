@@ -33,8 +33,8 @@ from .common import Words, as_long, doc_columns, gram_hashes, materialize, mix,
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words of a window that may stand before its anchor
 SHARD_WORDS = 60_000
-#: Rows of a context in one list, at most.
-BLOCK_ROWS = 32
+#: Documents whose places of one gram or context are one list, about.
+LIST_DOCUMENTS = 256
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -228,14 +228,17 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     found = firsts.select("doc_id", "text_key", F.explode("anchors").alias("a")).select("doc_id", "text_key", "a.*")
     # grams of two documents or more, with the first of them; written, so that a hot gram's rows can be split in the join
     grams = materialize(found.groupBy("gram").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("gram", "lead"), "grams")
-    shared = found.join(grams, "gram").select("doc_id", "text_key", "pos", "c1", "c2", "lead")
+    # the places of one gram go through the join in lists of about LIST_DOCUMENTS documents, and are dealt evenly after it
+    salts = firsts.count() // LIST_DOCUMENTS + 1
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
+    lists = found.groupBy("gram", salt).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "c1", "c2")).alias("rows"))
+    shared = lists.join(grams, "gram").hint("rebalance").select("lead", F.explode("rows").alias("r")).select("r.*", "lead")
     shared = materialize(shared, "shared")
     # contexts of two documents or more; written as well, for the same reason
     contexts = materialize(shared.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("c1", "c2", "first"), "contexts")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    # the places of one context go through the join a block of rows at a time, and are dealt evenly after it
-    block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block")
-    lists = shared.groupBy("c1", "c2", block).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "lead")).alias("rows"))
+    # the same for the places of one context
+    lists = shared.groupBy("c1", "c2", salt).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "lead")).alias("rows"))
     marked = lists.join(contexts, ["c1", "c2"], "left").hint("rebalance").select("first", F.explode("rows").alias("r")).select("r.*", "first")
     marked = marked.select("doc_id", "text_key", F.struct("pos", "lead", copy.alias("copy")).alias("a"))
     places = marked.groupBy("doc_id", "text_key").agg(F.collect_list("a").alias("anchors")).withColumn("whole", F.lit(False))
