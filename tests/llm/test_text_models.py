@@ -67,6 +67,24 @@ def test_seating_keeps_its_counts():
         assert tables[2:] == s.tables[2:].tolist() and s.tables[:2].tolist() == [0, 1]
 
 
+def test_seating_agrees_with_all_partitions():
+    """Mean tables of three customers against the sum over all five partitions."""
+    d, w = 0.75, 1.3
+    weight = {1: w * (1 - d) * (2 - d), 2: 3 * w * w * (1 - d), 3: w**3}
+    expected = sum(t * x for t, x in weight.items()) / sum(weight.values())
+    s = lm.Seating(np.full(20000, 3), np.random.default_rng(5))
+    for _ in range(25):
+        s.sweep(lambda dishes: np.full(len(dishes), w), d)
+    assert abs(s.tables.mean() - expected) < 0.02
+
+
+def test_scores_of_held_out_text_beat_the_base(frame, words):
+    rng = np.random.default_rng(7)
+    lines = [" ".join(words(12, i)) for i in range(20)]
+    got = lm.scores(frame([" ".join(rng.choice(lines, 6)) for _ in range(200)])).where("held_out").collect()
+    assert len(got) > 15 and sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
+
+
 @pytest.fixture
 def labelled(spark, frame, words):
     good = [" ".join(words(60, i)) + "." for i in range(120)]
