@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats, text
-from lodestone.operators import answers, chunker, evaluation, fulltext, health, notes, quotes, retrieval, work
+from lodestone.operators import answers, chunker, evaluation, fulltext, health, ingest, notes, quotes, retrieval, tools, work
 from lodestone.sources import files
 from lodestone.streaming import flows
 
@@ -365,3 +365,65 @@ def test_equal_requests_are_scored_once(spark):
 
     got = {r.i: r.score for r in flows.score_once(df, scorer("x", "y"), ["y", "x"]).collect()}
     assert got == {1: "a2", 2: "a2", 3: "bNone"} and calls.value == 2
+
+
+def test_tool_replies(spark):
+    today = F.lit("2024-01-10").cast("date")
+    tasks = spark.createDataFrame(
+        [(1, 7, "A", "todo", "high", "2024-01-09", 5, None, ""), (2, 7, "B", "done", "none", None, None, 1, "x"), (3, 7, "C", "in_progress", "none", "2024-01-12", None, 1, None), (4, 8, "D", "todo", "low", "2024-01-10", 5, None, None)],
+        "task_id long, workspace_id int, title string, status string, priority string, due_date string, assignee_id int, parent_task_id long, description string",
+    ).withColumn("due_date", F.col("due_date").cast("date"))
+    users = spark.createDataFrame([(5, "Ann", "ann@x"), (6, "", "b@x")], "user_id int, full_name string, email string")
+    t = tools.with_assignee(tasks, users)
+    asked = spark.createDataFrame([(1, 7, 5, "all", "open", 1), (2, 7, 5, "mine", "any", 9), (3, 9, 5, "unassigned", "done", 9)], "request_id int, workspace_id int, user_id int, who string, status string, limit int")
+    got = {r.request_id: r.reply for r in tools.list_tasks(asked, t, today).collect()}
+    a = "- id=1 | A | status=todo | priority=high | due 2024-01-09 (OVERDUE by 1 day) | assignee=Ann <ann@x>"
+    c = "- id=3 | C | status=in_progress | priority=none | due 2024-01-12 (in 2 days) | assignee=unassigned | subtask of 1"
+    assert got[1] == f"2 open task(s) in the workspace, soonest due first:\n{a}\n(1 more not shown)"
+    assert got[2] == f"1 any task(s) assigned to you, soonest due first:\n{a}" and got[3] == "No done tasks unassigned."
+    one_ = spark.createDataFrame([(1, 7, 1), (2, 8, 1), (3, 8, 4)], "request_id int, workspace_id int, task_id long")
+    got = {r.request_id: r.reply for r in tools.get_task(one_, t, today).collect()}
+    b = "- id=2 | B | status=done | priority=none | no due date | assignee=unassigned | subtask of 1"
+    assert got[1] == f"{a}\nDescription: (none)\nSubtasks (1/2 done):\n  {b}\n  {c}" and got[2] == "No task with id 1 in this workspace."
+    assert got[3].endswith("due 2024-01-10 (today) | assignee=Ann <ann@x>\nDescription: (none)")
+    members = users.withColumns({"workspace_id": F.lit(7), "auth_role": F.lit("Member"), "team_role": F.when(F.col("user_id") == 5, " Lead ")})
+    got = {r.request_id: r.reply for r in tools.list_members(asked, members).collect()}
+    assert got[1] == "- Ann <ann@x> Member | team role: Lead (this is the person asking)\n- (no name) <b@x> Member | team role: not set" and got[3] == "No members found."
+
+
+def test_proposals(spark):
+    base = dict(workspace_id=7, user_id=5, turn_id=1, message="Please add a task for Ann", tainted=False, title=" T ", description="", priority="none", due_date=None, assignee_email=None, parent_task_id=None, reasoning="r", quote="add a task")
+    changes = [{}, {"due_date": "soon"}, {"assignee_email": "ANN@x "}, {"assignee_email": "z@x"}, {"parent_task_id": 9}, {"parent_task_id": 1}, {"quote": "a task"}, {"tainted": True, "turn_id": 2}, {}, {}, {}, {"due_date": "soon"}]
+    schema = "request_id int, workspace_id int, user_id int, turn_id int, message string, tainted boolean, title string, description string, priority string, due_date string, assignee_email string, parent_task_id long, reasoning string, quote string"
+    rows = [{"request_id": i, **base, **c} for i, c in enumerate(changes)]
+    r = spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in rows], schema)
+    members = spark.createDataFrame([(7, 5, "ann@x")], "workspace_id int, user_id int, email string")
+    out = tools.propose(r, members, spark.createDataFrame([(7, 1)], "workspace_id int, task_id long"), F.lit("2024-01-01").cast("timestamp"))
+    got = {x.request_id: x.reply for x in out["replies"].collect()}
+    good = {i for i, reply in got.items() if reply.startswith("Proposed task ")}
+    assert good == {0, 2, 5, 8, 9} and out["actions"].count() == out["audit"].count() == 5
+    assert got[1] == "REFUSED: due_date 'soon' is not YYYY-MM-DD." and "z@x is not a member" in got[3] and got[4] == "REFUSED: no parent task 9 in this workspace."
+    assert got[6] == tools.NOT_QUOTED and got[7] == tools.TAINTED and got[10] == got[11] == tools.TOO_MANY
+    assert '"assignee_id":5' in " ".join(x.proposed_payload for x in out["actions"].collect())
+
+
+def test_checked_answer(spark):
+    reply = lambda n: one(spark, tools.checked_answer(F.lit(n), F.lit("<b>"), F.lit(True), F.lit(False), F.lit(None).cast("double"), F.lit(True)))
+    assert reply(2).endswith('<checked_answer answerable="true" grounded="false" confidence="not available" flagged_for_review="true">\n&lt;b&gt;\n</checked_answer>')
+    assert reply(3) == tools.TOO_MANY_ANSWERS
+
+
+def test_ingest_states(spark):
+    body = [("paragraph", "Some words of a text that is long enough to be kept. " * 40, 0, 1)]
+    rows = [(1, 7, "a", body, None, 0), (2, 7, "b", None, "too large", 0), (3, 7, "c", [], None, 2), (4, 7, "d", [], None, 0), (5, 7, "e", body, None, 0), (6, 7, "f", body * 9, None, 0), (7, 7, "g", None, None, None)]
+    docs = spark.createDataFrame(rows, f"doc_id long, workspace_id int, source string, elements {files.ELEMENTS}, problem string, pages_without_text int")
+    failed = spark.createDataFrame([(5, "daily")], "doc_id long, kind string")
+    each = ingest.ingest(docs.where("doc_id = 1"), F.current_timestamp())["documents"].first().chunk_count
+    out = ingest.ingest(docs, F.current_timestamp(), failed, most=each)
+    got = {r.doc_id: r for r in out["documents"].collect()}
+    assert [got[i].parsed_status for i in range(1, 8)] == ["ready"] + ["failed"] * 6
+    assert [got[i].parse_error for i in (2, 3, 4, 5, 7)] == ["too large", ingest.SCANNED, ingest.NO_TEXT, ingest.EMBEDDING["daily"], ingest.UNREADABLE]
+    assert f"the limit is {each}." in got[6].parse_error
+    assert {r.doc_id for r in out["chunks"].collect()} == {1, 5} and got[5].chunk_count == each and got[6].chunk_count == 0
+    assert out["audit"].where("action = 'document.failed'").count() == 6
+    assert {r.doc_id for r in ingest.cleared(docs, failed).collect()} == {1, 2, 3, 4, 6, 7}
