@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import access, answers, evaluation, notes, retrieval, work
+from lodestone.operators import access, answers, evaluation, ingest, notes, retrieval, tools, work
 from lodestone.plans import fixtures as fx
 from lodestone.plans.queries import query
 from lodestone.sources import files
@@ -194,3 +194,77 @@ def note_texts(spark, d):
 def quota_schedule(spark, d):
     e = fx.read(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (F.col("event_id") % 60 + 1).alias("count"), F.col("event_id").alias("batch_id"))
     return flows.quota_schedule(e, 100, 20)
+
+
+_TODAY = "1998-01-01"
+_LINE = f"""'- id=' || task_id || ' | ' || title || ' | status=' || status || ' | priority=' || priority || ' | ' ||
+ case when due_date is null then 'no due date' else 'due ' || strftime(due_date, '%Y-%m-%d') || ' (' || case when due_date < date '{_TODAY}' then 'OVERDUE by ' || (date '{_TODAY}' - due_date) || case when date '{_TODAY}' - due_date = 1 then ' day' else ' days' end
+ when due_date = date '{_TODAY}' then 'today' else 'in ' || (due_date - date '{_TODAY}') || case when due_date - date '{_TODAY}' = 1 then ' day' else ' days' end end || ')' end
+ || ' | assignee=' || coalesce(full_name || ' <' || email || '>', 'unassigned') || case when parent_task_id is not null then ' | subtask of ' || parent_task_id else '' end"""
+_LINES = f"""{fx.TASKS}, lined as (select t.*, {_LINE} as line from (select tasks.*, members.full_name, members.email from tasks left join members on assignee_id = user_id) t)"""
+
+
+def _requests(spark, d):
+    """Every workspace's lists of each kind, asked by user 10."""
+    who, state = F.array(F.lit("all"), F.lit("mine"), F.lit("unassigned")), F.array(F.lit("open"), F.lit("any"), F.lit("done"))
+    w = fx.read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("workspace_id"), F.posexplode(who).alias("i", "who"))
+    w = w.select("*", F.posexplode(state).alias("j", "status"))
+    return w.select((F.col("workspace_id") * 100 + F.col("i") * 10 + F.col("j")).alias("request_id"), "workspace_id", F.lit(10).alias("user_id"), "who", "status", F.lit(25).alias("limit"))
+
+
+@query(f"""with {_LINES}, q as (select r_regionkey * 100 + i * 10 + j as request_id, r_regionkey as workspace_id, ['all', 'mine', 'unassigned'][i + 1] as who, ['open', 'any', 'done'][j + 1] as asked from region, range(3) a(i), range(3) b(j)),
+h as (select request_id, line, row_number() over (partition by request_id order by due_date nulls last, list_position(['urgent', 'high', 'medium', 'low', 'none'], priority), title, task_id) as n from q join lined using (workspace_id)
+ where (who = 'all' or (who = 'mine' and assignee_id = 10) or (who = 'unassigned' and assignee_id is null)) and (asked = 'any' or (asked = 'open' and status <> 'done') or asked = status)),
+g as (select request_id, count(*) as total, string_agg(line, chr(10) order by n) filter (where n <= 25) as lines from h group by 1),
+w as (select q.*, total, lines, case who when 'mine' then 'assigned to you' when 'unassigned' then 'unassigned' else 'in the workspace' end as whose from q left join g using (request_id))
+select request_id, case when total is null then 'No ' || asked || ' tasks ' || whose || '.' else total || ' ' || asked || ' task(s) ' || whose || ', soonest due first:' || chr(10) || lines || case when total > 25 then chr(10) || '(' || (total - 25) || ' more not shown)' else '' end end as reply from w""")
+def tool_task_lists(spark, d):
+    return tools.list_tasks(_requests(spark, d), tools.with_assignee(fx.tasks(spark, d), fx.members(spark, d)), F.lit(_TODAY).cast("date"))
+
+
+@query(f"""with {_LINES}, s as (select parent_task_id as asked, count(*) as n, count(*) filter (where status = 'done') as done, string_agg('  ' || line, chr(10) order by task_id) as lines from lined where parent_task_id is not null group by 1)
+select task_id as request_id, md5(line || chr(10) || 'Description: (none)' || coalesce(chr(10) || 'Subtasks (' || done || '/' || n || ' done):' || chr(10) || lines, '')) as reply from lined left join s on task_id = asked""")
+def tool_task_details(spark, d):
+    """The detail of every task."""
+    t = tools.with_assignee(fx.tasks(spark, d), fx.members(spark, d)).withColumn("description", F.lit(""))
+    asked = t.select(F.col("task_id").alias("request_id"), "workspace_id", "task_id")
+    return tools.get_task(asked, t, F.lit(_TODAY).cast("date")).select("request_id", F.md5("reply").alias("reply"))
+
+
+@query(f"""with {fx.MEMBERS} select workspace_id as request_id, md5(string_agg('- ' || full_name || ' <' || email || '> ' || auth_role || ' | team role: ' || case when user_id % 3 = 0 then 'Engineer' else 'not set' end || case when user_id = 10 then ' (this is the person asking)' else '' end, chr(10) order by user_id)) as reply from members group by 1""")
+def tool_members(spark, d):
+    m = fx.members(spark, d).withColumn("team_role", F.when(F.col("user_id") % 3 == 0, F.lit(" Engineer ")))
+    asked = m.select("workspace_id").distinct().select(F.col("workspace_id").alias("request_id"), "workspace_id", F.lit(10).alias("user_id"))
+    return tools.list_members(asked, m).select("request_id", F.md5("reply").alias("reply"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(f"""with r as (select event_id as request_id, event_id // 8 as turn_id, case when event_id % 6 = 0 then {_quoted(tools.NOT_QUOTED)} end as early,
+ case when event_id % 17 = 0 then 'REFUSED: due_date ''soon'' is not YYYY-MM-DD.' when event_id % 19 = 0 then 'REFUSED: no@where is not a member of this workspace. Use list_members.' when event_id % 23 = 0 then 'REFUSED: no parent task -1 in this workspace.' end as late from events),
+b as (select *, coalesce(sum(case when early is null and late is null then 1 else 0 end) over (partition by turn_id order by request_id rows between unbounded preceding and 1 preceding), 0) as n from r)
+select request_id, coalesce(early, case when n >= 5 then {_quoted(tools.TOO_MANY)} end, late, 'Proposed task ' || sha256('action:' || request_id) || ': ''Check ' || request_id || '''. It is NOT created yet: it waits in the Tasks page for an Admin to approve or reject.') as reply from b""")
+def tool_proposals(spark, d):
+    i = F.col("event_id")
+    flag = lambda n, yes, no=None: F.when(i % n == 0, F.lit(yes)).otherwise(F.lit(no))
+    r = fx.read(spark, d, "events").select(
+        i.alias("request_id"), F.lit(1).alias("workspace_id"), "user_id", F.floor(i / 8).alias("turn_id"), F.lit("Could you add a task for this?").alias("message"), F.lit(False).alias("tainted"),
+        F.concat(F.lit(" Check "), i.cast("string")).alias("title"), F.lit("").alias("description"), F.lit("none").alias("priority"), flag(17, "soon", "2024-01-05").alias("due_date"), flag(19, "no@where").alias("assignee_email"),
+        flag(23, -1).cast("long").alias("parent_task_id"), F.lit("asked for").alias("reasoning"), flag(6, "a task", "add a task").alias("quote"),
+    )
+    return tools.propose(r, fx.members(spark, d), fx.tasks(spark, d), F.lit("2024-01-01").cast("timestamp"))["replies"]
+
+
+@query(f"""select doc_id, case when doc_id % 13 = 0 then 'too large' when blank and doc_id % 2 = 1 then {_quoted(ingest.SCANNED)} when blank then {_quoted(ingest.NO_TEXT)} when doc_id % 17 = 0 then {_quoted(ingest.EMBEDDING["daily"])} end as parse_error,
+ case when doc_id % 13 = 0 or blank or doc_id % 17 = 0 then 'failed' else 'ready' end as parsed_status, doc_id % 13 <> 0 and not blank as chunks from (select doc_id, coalesce(trim(text), '') = '' as blank from documents)""")
+def ingest_states(spark, d):
+    """States of all documents after the ingest job, and whether passages of them are kept."""
+    i = F.col("doc_id")
+    part = F.struct(F.lit("paragraph").alias("kind"), F.col("text"), F.lit(0).alias("level"), F.lit(1).alias("page"))
+    problem = F.when(i % 13 == 0, F.lit("too large")).alias("problem")
+    docs = fx.read(spark, d, "documents").select("doc_id", F.lit(1).alias("workspace_id"), "source", F.array(part).alias("elements"), problem, (i % 2).alias("pages_without_text"))
+    failed = docs.where(i % 17 == 0).select("doc_id", F.lit("daily").alias("kind"))
+    states = ingest.ingest(docs, F.lit("2024-01-01").cast("timestamp"), failed)["documents"]
+    return states.select("doc_id", "parse_error", "parsed_status", (F.col("chunk_count") > 0).alias("chunks"))
