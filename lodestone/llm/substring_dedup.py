@@ -33,8 +33,8 @@ from .common import Words, as_long, doc_columns, gram_hashes, materialize, mix,
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words of a window that may stand before its anchor
 SHARD_WORDS = 60_000
-#: Documents whose places of one gram or context are one list, about.
-LIST_DOCUMENTS = 256
+#: Places of one gram or context in one list, about.
+LIST_PLACES = 256
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -228,9 +228,10 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     found = firsts.select("doc_id", "text_key", F.explode("anchors").alias("a")).select("doc_id", "text_key", "a.*")
     # grams of two documents or more, with the first of them; written, so that a hot gram's rows can be split in the join
     grams = materialize(found.groupBy("gram").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("gram", "lead"), "grams")
-    # the places of one gram go through the join in lists of about LIST_DOCUMENTS documents, and are dealt evenly after it
-    salts = firsts.count() // LIST_DOCUMENTS + 1
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
+    # the places of one gram go through the join in lists of about LIST_PLACES, and are dealt evenly after it;
+    # a gram may have many places in one document, so places are dealt, not documents
+    n_places = firsts.agg(F.sum(F.greatest(F.size("anchors"), F.lit(0)))).first()[0] or 0
+    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(n_places // LIST_PLACES + 1)).alias("salt")
     lists = found.groupBy("gram", salt).agg(F.collect_list(F.struct("doc_id", "text_key", "pos", "c1", "c2")).alias("rows"))
     shared = lists.join(grams, "gram").hint("rebalance").select("lead", F.explode("rows").alias("r")).select("r.*", "lead")
     shared = materialize(shared, "shared")
