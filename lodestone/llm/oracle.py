@@ -48,3 +48,28 @@ items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join hits using (doc_id) left join items using (doc_id)
 """
+
+
+def _whole(scale: int, more: str = "") -> str:
+    """Vectors that take part, as whole numbers held by doubles."""
+    return f"""v as (select vec_id{more}, list_transform(embedding, lambda x: floor({scale} * cast(x as double))) as e from embeddings
+ where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+
+EXACT_SEARCH = f"""
+with {_whole(64)},
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+HARD_NEGATIVES = f"""
+with {_whole(256, ", case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label")},
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+ from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id where a.label is not null and c.label is not null),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score from p join s using (anchor_id)
+ where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score),
+r as (select *, cast(row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as int) as rank from n)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 10
+"""

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat
 from .decontamination import op9_decontamination
+from .exact_search import op11_exact_search
+from .hard_negatives import op12_hard_negatives
 from .language import op7_language
 from .language_model import op4_language_model
 from .media import op6_media
 from .near_dedup import op2_near_dedup
-from .oracle import DECONTAMINATION, NEAR_DEDUP, SUBSTRING_DEDUP
+from .oracle import DECONTAMINATION, EXACT_SEARCH, HARD_NEGATIVES, NEAR_DEDUP, SUBSTRING_DEDUP
 from .packing import op3_packing
 from .quality import op5_quality
 from .substring_dedup import op1_substring_dedup
@@ -29,9 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_exact_search": op11_exact_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_near_dedup": NEAR_DEDUP,
     "op9_decontamination": DECONTAMINATION,
+    "op11_exact_search": EXACT_SEARCH,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "benchmark", "conversations"):
+    for name in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return str(d)
 
