@@ -73,3 +73,40 @@ n as (select anchor_id, positive_id, positive_score, vec_id as negative_id, scor
 r as (select *, cast(row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as int) as rank from n)
 select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 10
 """
+
+
+def _edit(state: str, cost: str, letter: str, turn: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {turn}}}"
+
+
+_OWN, _USER, _ASSISTANT = r"chr(10) || role || ':' || text", r"chr(10) || 'user:' || text", r"chr(10) || 'assistant:' || text"
+_NEW_USER, _NEW_ASSISTANT = r"chr(10) || 'user:'", r"chr(10) || 'assistant:'"
+_NONE = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+CONVERSATION_REPAIR = f"""
+with recursive t as materialized (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as v),
+k as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+m as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+ xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind from k, t),
+w as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+ unnest(range(case when kind = 3 then 2 else 1 end)) as copy from m where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(role || ':' || text), copy) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from w),
+f as (select *, case when body = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(body, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+ left(role, 1) as one, lag(left(role, 1)) over (partition by conv_id order by i) as before from o),
+c as (select distinct conv_id from conversations),
+d(conv_id, i, s0, s1, s2, s3) as (
+ select conv_id, 0::bigint, {{'c': 0, 'a': '', 'r': ''}}, {_NONE}, {_NONE}, {_NONE} from c
+ union all
+ select conv_id, i, list_min([{_edit('s0', '2', 'D', "''")}]),
+  list_min([{_edit('s1', '2', 'D', "''")}, case when ok and one = 's' then {_edit('s0', 'late', 'K', _OWN)} else {_NONE} end]),
+  list_min([{_edit('g2', '2', 'D', "''")}, case when ok and one = 'u' then {_edit('g', 'late', 'K', _OWN)} else {_NONE} end, case when ok then {_edit('g', '1 + late', 'R', _USER)} else {_NONE} end]),
+  list_min([{_edit('g3', '2', 'D', "''")}, case when ok and one = 'a' then {_edit('g2', 'late', 'K', _OWN)} else {_NONE} end, case when ok then {_edit('g2', '1 + late', 'R', _ASSISTANT)} else {_NONE} end])
+ from (select *, list_min([s0, s1, g3]) as g from (select f.conv_id, f.i, one, role, text, fault not in (1, 2) as ok, case when fault = 3 then 5 else 0 end as late, s0, s1,
+   list_min([s2, {_edit('s0', '5', 'I', _NEW_USER)}, {_edit('s1', '5', 'I', _NEW_USER)}, {_edit('s3', '5', 'I', _NEW_USER)}]) as g2,
+   list_min([s3, {_edit('s2', '5', 'I', _NEW_ASSISTANT)}]) as g3 from d join f on f.conv_id is not distinct from d.conv_id and f.i = d.i + 1))),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+ count(*) filter (fault = 3) as truncated, count(*) filter (before is not null and before || one not in ('su', 'ua', 'au')) as illegal from f group by 1),
+e as (select d.conv_id, i, list_min([s0, s3, {_edit('s2', '5', 'I', _NEW_ASSISTANT)}]) as best from d left join n on n.conv_id is not distinct from d.conv_id where i = coalesce(n.n, 0))
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+ best.c::bigint as cost, best.a as audit, sha256(substr(best.r, 2)) as repaired_sha256 from e left join n on n.conv_id is not distinct from e.conv_id
+"""

@@ -14,9 +14,10 @@ from .language import op7_language
 from .language_model import op4_language_model
 from .media import op6_media
 from .near_dedup import op2_near_dedup
-from .oracle import DECONTAMINATION, EXACT_SEARCH, HARD_NEGATIVES, NEAR_DEDUP, SUBSTRING_DEDUP
+from .oracle import CONVERSATION_REPAIR, DECONTAMINATION, EXACT_SEARCH, HARD_NEGATIVES, NEAR_DEDUP, SUBSTRING_DEDUP
 from .packing import op3_packing
 from .quality import op5_quality
+from .repair import op13_conversation_repair
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op10_token_counts
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_exact_search": op11_exact_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
@@ -40,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op9_decontamination": DECONTAMINATION,
     "op11_exact_search": EXACT_SEARCH,
     "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
