@@ -146,7 +146,8 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def format_transcripts(frame: DataFrame, column: str = "transcript") -> DataFrame:
-    """Adds turns and rendered to a frame with a column of transcripts."""
+    """Adds turns and rendered to a frame with a column of transcripts; columns of these names that the frame has are replaced."""
+    frame = frame.drop(*({"turns", "rendered"} - {column}))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in frame.schema.fields)}, turns {_TURNS}, rendered string"
 
     def run(batches):

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import doc_columns, slices, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Training documents of each language (about) and windows taken from one: bounds of the fitting sample of labelled rows only.
-SAMPLE, SAMPLE_WINDOWS = 800, 4
+#: Training documents of each language (about): the bound of the fitting sample of labelled rows. Their whole texts are used.
+SAMPLE = 800
+#: Windows that an epoch draws from a text on average, of all that it has.
+WINDOWS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,17 +48,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> dict:
-    """Filters {width: (width, 256, FILTERS)}, biases and the softmax layer, by Adam on cross-entropy."""
+def fit(x: np.ndarray, y: np.ndarray, classes: int, share: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> dict:
+    """Filters {width: (width, 256, FILTERS)}, biases and the softmax layer, by Adam on cross-entropy.
+
+    share: of each window in its text, so that a text counts alike however long it is: an epoch draws windows by it, WINDOWS of a text
+    on average, and every window of every text may be drawn.
+    """
     rng = np.random.default_rng(seed)
     p = {f"w{w}": rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
     hidden = FILTERS * len(WIDTHS)
     p |= {"c": np.zeros(hidden, np.float32), "v": rng.normal(0, 0.1, (hidden, classes)).astype(np.float32), "b": np.zeros(classes, np.float32)}
     m, s = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    weight = (len(y) / (classes * np.maximum(np.bincount(y, minlength=classes), 1)))[y]
+    texts = np.bincount(y, share, classes)
+    weight = (texts.sum() / (classes * np.maximum(texts, 1e-9)))[y]
     t = 0
     for _ in range(epochs):
-        order = rng.permutation(len(x))
+        order = rng.permutation(np.flatnonzero(rng.random(len(x)) < WINDOWS * share))  # others in each epoch
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
             own, pooled, best = x[rows], [], []
@@ -127,7 +134,8 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """False for rows without doc_id, which may be learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame) -> tuple[list[str], dict | None]:
@@ -145,17 +153,15 @@ def train(docs: DataFrame) -> tuple[list[str], dict | None]:
         for batch in slices(batches):
             data, off, _ = text_bytes(batch.column("text"))
             x, doc = windows(data, off)
-            first = np.searchsorted(doc, doc)
-            nth, many = np.arange(len(doc)) - first, np.bincount(doc)[doc]
-            step = np.maximum(many // SAMPLE_WINDOWS, 1)
-            on = (nth % step == 0) & (nth // step < SAMPLE_WINDOWS)
-            ids = batch.column("doc_id").take(pa.array(doc[on]))
-            yield pa.RecordBatch.from_arrays([ids, batch.column("lang").take(pa.array(doc[on])), pa.array(nth[on]), pa.array([r.tobytes() for r in x[on]], pa.binary())], ["doc_id", "lang", "nth", "bytes"])
-
-    found = picked.mapInArrow(cut, "doc_id long, lang string, nth long, bytes binary").toArrow().sort_by([("doc_id", "ascending"), ("nth", "ascending")])
-    x = np.frombuffer(b"".join(found.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    y = np.array([names.index(v) for v in found.column("lang").to_pylist()], np.int64)
-    return names, fit(x, y, len(names))
+            end = np.searchsorted(doc, np.arange(batch.num_rows), side="right")
+            rows = [r.tobytes() for r in np.split(x, end[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "bytes"])
+
+    found = picked.mapInArrow(cut, "doc_id long, lang string, bytes binary").toArrow().sort_by("doc_id")
+    texts = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW) for b in found.column("bytes").to_pylist()]
+    many = np.array([len(t) for t in texts])
+    y = np.repeat([names.index(v) for v in found.column("lang").to_pylist()], many)
+    return names, fit(np.concatenate(texts), y, len(names), np.repeat(1 / many, many))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], dict | None]) -> DataFrame:

@@ -385,13 +385,14 @@ def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns."""
     gone = _judged(docs).where("n_shingles > 0 and key <> component_id").select(F.col("key").alias("gone"))
-    known = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    # the row stays in one struct, so that its columns' names never clash; repeated rows of one doc_id stay or go together
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    known = docs.where("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("key")).join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
     # without doc_id, rows of one text have one key; texts without words are linked with nothing
     worded = F.coalesce(F.col("text").cast("string").rlike("[^\\t-\\r ]"), F.lit(False))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rest = docs.where("doc_id is null").select(row, id_or_key().alias("key"), F.when(~worded, F.monotonically_increasing_id()).alias("own"))
     rest = rest.join(gone, (F.col("key") == F.col("gone")) & F.col("own").isNull(), "left_anti").groupBy("key", "own").agg(F.first("row").alias("row")).select("row.*")
-    return known.select(*docs.columns).union(rest)
+    return known.union(rest)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is labelled rows whose label is not
-looked at, so that both samples are bounded samples of labelled rows. The class prior is estimated from the
-two: a first scorer is fitted with prior 1/2, and the prior is the least ratio of the shares of unlabelled
-and positive rows above a threshold. A logistic scorer over features of the whole text minimises the
-non-negative unbiased risk
+Trusted positives are labelled rows of quality 1, a bounded sample. The unlabelled set is the text of every document outside the
+held-out fold: its features are written once, and its part of the risk and of the gradient is summed over all of them in Spark. A
+logistic scorer over features of the whole text minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
-by Adam in numpy; every document is scored.
+A first fit in numpy takes labelled rows, with their labels not looked at, for the unlabelled set; STEPS steps over all documents
+follow, scaled by the curvature of that sample. The class prior is the least ratio of the shares of unlabelled and positive
+rows above a threshold, by a scorer fitted with prior 1/2, over all documents too.
 
 Defined results: null and empty texts have the features of the empty text and get its score; without any
 positive in the training fold every score is 0.5 without labels and 0 with negative ones only; a doc_id that
-has both labels is a positive; repeated rows score alike.
+has both labels is a positive; repeated rows score alike; rows without doc_id are unlabelled text.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, doc_columns, slices, table
+from .common import Words, doc_columns, materialize, slices, table
 
 #: Most labelled documents in the training sample of each set, taken in the order of a hash of doc_id.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
+#: Steps over all unlabelled text.
+STEPS = 5
 THRESHOLD = 0.7
 
 # classes of bytes: each ASCII byte alone, all others together
@@ -71,7 +73,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.03, ridge: float = 1e-4) -> dict:
     """Weights that minimise the non-negative risk; where the bracket is negative, its gradient is reversed."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = ((np.clip((x - mean) / scale, -8, 8)).astype(np.float64) for x in (positive, unlabelled))
+    p, u = (standard(x, {"mean": mean, "scale": scale}) for x in (positive, unlabelled))
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
@@ -91,21 +93,78 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return {"mean": mean, "scale": scale, "w": w, "b": b}
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled from the scores of both: the least ratio of their tails over the upper half of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.05, 0.5, 10))
-    ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
-    return float(min(max(min(ratios), 0.01), 0.99))
+def standard(x: np.ndarray, model: dict) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -8, 8).astype(np.float64)
+
+
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior, from the shares of both sets above the same thresholds."""
+    return float(min(max(min(unlabelled / np.maximum(positive, 1e-9)), 0.01), 0.99))
+
+
+class Unlabelled:
+    """Features of every document, written once; sums over all of them go through Spark's aggregates."""
+
+    def __init__(self, docs: DataFrame):
+        def pack(batches):
+            for batch in slices(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([features(batch.column("text")).tobytes()], pa.binary())], ["x"])
+
+        self.rows = materialize(docs.mapInArrow(pack, "x binary"), "quality-features")
+
+    def summed(self, of) -> np.ndarray:
+        """Sum over all documents of the rows that `of` makes from a batch of features; a task sends one row of sums."""
+
+        def run(batches):
+            total = None
+            for batch in batches:
+                for x in batch.column("x"):
+                    part = of(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES)).sum(axis=0)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["k", "v"])
+
+        found = self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
+        return np.asarray(found["v"], np.float64)
+
+
+def refine(model: dict, positive: np.ndarray, sample: np.ndarray, unlabelled: Unlabelled, prior: float, steps: int = STEPS, ridge: float = 1e-3) -> dict:
+    """Steps down the risk over all documents: its gradient, scaled by the curvature of the sample, and of several lengths the one of least risk.
+
+    A second pass over the features weighs the lengths, 0 among them, so a step never raises the risk.
+    """
+    one = lambda x: np.concatenate([standard(x, model), np.ones((len(x), 1))], axis=1)
+    p, u = one(positive), one(sample)
+    w = np.append(model["w"], model["b"])
+    keep = ridge * np.append(np.ones(len(w) - 1), 0)
+    loss = lambda z: np.logaddexp(0, z)  # noqa: E731  of a negative; loss(-z) of a positive
+
+    for _ in range(steps):
+        *total, lost, n = unlabelled.summed(lambda x: np.concatenate([(x := one(x)) * _sigmoid(z := x @ w)[:, None], loss(z)[:, None], np.ones((len(x), 1))], axis=1))  # noqa: B023
+        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+        slope = prior * (p.T @ (sp - 1)) / len(p) + keep * w
+        if lost / n > prior * loss(p @ w).mean():
+            slope = slope + np.array(total) / n - prior * (p.T @ sp) / len(p)
+            bend = (u.T * (su * (1 - su))) @ u / len(u)
+        else:
+            bend = prior * (p.T * (sp * (1 - sp))) @ p / len(p)
+        move = np.linalg.solve(bend + np.diag(keep + 1e-3), slope)
+        tries = [w - t * move for t in (0, 0.03, 0.1, 0.3, 1)]
+        *lost, n = unlabelled.summed(lambda x: np.concatenate([loss(one(x) @ np.stack(tries, 1)), np.ones((len(x), 1))], axis=1))  # noqa: B023
+        risks = [prior * loss(-(p @ v)).mean() + max(0.0, e / n - prior * loss(p @ v).mean()) + (keep * v * v).sum() / 2 for v, e in zip(tries, lost, strict=True)]
+        w = tries[int(np.argmin(risks))]
+    return model | {"w": w[:-1], "b": w[-1]}
 
 
 def apply_model(model: dict, x: np.ndarray) -> np.ndarray:
     if model["w"] is None:
         return np.full(len(x), model["b"])
-    return _sigmoid(np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["w"] + model["b"])
+    return _sigmoid(standard(x, model) @ model["w"] + model["b"])
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """False for rows without doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def _sample(docs: DataFrame, ids: DataFrame, size: int) -> np.ndarray:
@@ -128,10 +187,15 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     positive = _sample(docs, known.where("quality = 1").select("doc_id").distinct(), SAMPLE_POSITIVE)
     if not len(positive):
         return {"w": None, "b": 0.5 if known.isEmpty() else 0.0}
-    unlabelled = _sample(docs, known.select("doc_id").distinct(), SAMPLE_UNLABELLED)
-    first = fit_nnpu(positive, unlabelled, 0.5)
-    prior = estimated_prior(apply_model(first, positive), apply_model(first, unlabelled))
-    return fit_nnpu(positive, unlabelled, prior) | {"prior": prior}
+    sample = _sample(docs, known.select("doc_id").distinct(), SAMPLE_UNLABELLED)
+    unlabelled = Unlabelled(docs.where(~held_out()))
+    first = fit_nnpu(positive, sample, 0.5)
+    own = apply_model(first, positive)
+    cuts = np.quantile(own, np.linspace(0.05, 0.5, 10))
+    above = lambda s: np.concatenate([s[:, None] >= cuts, np.ones((len(s), 1))], axis=1)
+    counts = unlabelled.summed(lambda x: above(apply_model(first, x)))
+    prior = least_ratio(above(own).mean(axis=0)[:-1], counts[:-1] / counts[-1])
+    return refine(fit_nnpu(positive, sample, prior), positive, sample, unlabelled, prior) | {"prior": prior}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

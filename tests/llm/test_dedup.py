@@ -188,3 +188,11 @@ def test_words_as_bytes_split():
     w = Words(pa.array(texts))
     assert w.count().tolist() == [len(t.encode().split()) for t in texts]
     assert [w.data[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)] == [x for t in texts for x in t.encode().split()]
+
+
+def test_keep_one_with_clashing_columns_and_repeated_rows(frame, words):
+    text = " ".join(words(30))
+    docs = frame([(1, text), (1, text), (2, text), (3, None), (None, text)]).selectExpr("*", "7 as gone", "8 as row", "9 as own", "1 as component_id")
+    got = nd.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.gone) for r in got.collect()) == [(1, 7), (1, 7), (3, 7)]

@@ -228,3 +228,9 @@ def test_pipeline_on_small_tables(spark, small):
         assert set(out.columns) == set(docs.columns)
     assert 0 < out.count() < docs.count()
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_transcripts_with_clashing_columns(spark):
+    df = spark.createDataFrame([("User: hi\nAssistant: hello", 1, "x")], "transcript string, turns int, rendered string")
+    got = chat.format_transcripts(df)
+    assert got.columns == ["transcript", "turns", "rendered"] and [t.role for t in got.first().turns] == ["user", "assistant"]

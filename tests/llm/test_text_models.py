@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import language, quality
@@ -103,6 +104,24 @@ def test_quality_on_held_out_rows(labelled):
     assert sum((got[i] >= 0.7) == (i < 120) for i in held) / len(held) > 0.9
 
 
+def test_quality_sums_over_all_unlabelled_text(labelled):
+    docs, labels = labelled
+    own = quality.Unlabelled(quality.doc_columns(docs).where(~quality.held_out()))
+    x = quality.features(pa.array([r.text for r in docs.where(~quality.held_out()).collect()], pa.string()))
+    assert np.allclose(own.summed(lambda x: x), x.sum(axis=0), rtol=1e-5)
+    model = quality.fit_nnpu(x[:80], x, 0.5)
+    risk = lambda m: 0.5 * np.logaddexp(0, -(z := quality.standard(x[:80], m) @ m["w"] + m["b"])).mean() + max(0, np.logaddexp(0, quality.standard(x, m) @ m["w"] + m["b"]).mean() - 0.5 * np.logaddexp(0, z).mean())
+    assert risk(quality.refine(model, x[:80], x, own, 0.5, ridge=0.0)) <= risk(model)
+
+
+def test_rows_without_id_are_not_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "the of and", "en"), (2, "der die das", "de")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for f, n, r in ((quality.op5_quality, 4, 2), (language.op7_language, 3, 1)):
+        assert {x.doc_id: x.held_out for x in f(spark, str(tmp_path)).collect()} == {None: False, 2: fold(2, n) == r}
+
+
 def test_quality_without_labels(labelled):
     docs, labels = labelled
     model = quality.train(docs, labels.where("doc_id < 0"))
