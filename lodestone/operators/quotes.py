@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import lineage
+
 # How punctuation folds, and characters that are formatting only.
 PUNCTUATION = {
     "‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"',
@@ -60,73 +64,104 @@ def folded_text(text: str) -> str:
     return _GAP.sub(lambda m: " " if m.group().strip(FORMATTING) else "", bare).translate(_FOLDED).rstrip(" ")
 
 
+def placed(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Folded places (index of the last character, length) as offsets in the original text."""
+    at = fold(text)[1] if ends else []
+    return [(at[end - size + 1], at[end] + 1) for end, size in ends]
+
+
 def occurrences(text: str, quote: str) -> list[tuple[int, int]]:
     """Every place of the quote, overlapping ones too, as offsets in the original text."""
-    hay, at = fold(text)
-    needle, _ = fold(quote)
-    out, i = [], hay.find(needle) if needle else -1
-    while i >= 0:
-        out.append((at[i], at[i + len(needle) - 1] + 1))
-        i = hay.find(needle, i + 1)
-    return out
+    hay, needle = folded_text(text), folded_text(quote)
+    return placed(text, [(m.start() + len(needle) - 1, len(needle)) for m in re.finditer(f"(?={re.escape(needle)})", hay)] if needle else [])
+
+
+#: Characters of folded quotes in one automaton: bounds what is sent to every task, and its size there.
+BLOCK_CHARS = 4 << 20
+_machines: dict[int, tuple] = {}
+
+
+def automaton(key: int, needles: dict[str, list]):
+    """Automaton over the distinct folded quotes, kept by a worker for as long as it searches the same block."""
+    if key not in _machines:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for needle, ids in needles.items():
+            machine.add_word(needle, (len(needle), ids))
+        machine.make_automaton()
+        _machines.clear()
+        _machines[key] = machine
+    return _machines[key]
 
 
-def find_quotes(documents: DataFrame, quotes: DataFrame, block: int = 500) -> DataFrame:
-    """quote_id, doc_id, char_start, char_end of every occurrence.
+def find_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """quote_id, doc_id, char_start, char_end of every occurrence of every quote, overlapping ones too.
 
-    Quotes are a stated set and go out in blocks of `block`; each document is folded once for each block and
-    searched in its own task, so nothing is shuffled.
+    Quotes are a stated set. All that fit one block of BLOCK_CHARS are sought together, in one pass over each folded document
+    (Aho-Corasick), so a scan serves tens of thousands of them; nothing is shuffled. Several blocks are written one after the other,
+    and what was sent for one is released before the next.
     """
     spark = documents.sparkSession
     schema = f"quote_id {quotes.schema['quote_id'].dataType.simpleString()}, doc_id long, char_start int, char_end int"
-    parts, own = [], []
+    docs = documents.select(F.col("doc_id").cast("long"), "text").where("text is not null")
 
-    def flush(rows: list) -> None:
-        sent = spark.sparkContext.broadcast([(r.quote_id, fold(r.quote)[0]) for r in rows])
+    def scan(needles: dict[str, list]) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(needles)
+        key = uuid.uuid4().int
 
         def run(frames):
+            machine = automaton(key, sent.value)
             for pdf in frames:
                 out = []
                 for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                    if text is None:
-                        continue
-                    hay = folded_text(text)
-                    there = [(q, n) for q, n in sent.value if n and n in hay]
-                    if not there:
-                        continue
-                    hay, at = fold(text)  # offsets only where a quote stands
-                    for quote_id, needle in there:
-                        i = hay.find(needle)
-                        while i >= 0:
-                            out.append((quote_id, doc, at[i], at[i + len(needle) - 1] + 1))
-                            i = hay.find(needle, i + 1)
+                    found = [(end, *value) for end, value in machine.iter(folded_text(text))]
+                    for (_, _, ids), span in zip(found, placed(text, [f[:2] for f in found]), strict=True):
+                        out += [(q, doc, *span) for q in ids]
                 yield pd.DataFrame(out, columns=["quote_id", "doc_id", "char_start", "char_end"])
 
-        parts.append(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema))
+        return docs.mapInPandas(run, schema), sent
 
+    needles, size, parts = {}, 0, []
     for row in quotes.select("quote_id", "quote").where("quote is not null").toLocalIterator():
-        own.append(row)
-        if len(own) == block:
-            flush(own)
-            own = []
-    if own:
-        flush(own)
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        needle = folded_text(row.quote)
+        if needle and needle not in needles and size + len(needle) > BLOCK_CHARS and needles:
+            found, sent = scan(needles)
+            parts.append(lineage.cut(found))
+            sent.destroy()
+            needles, size = {}, 0
+        if needle:
+            size += 0 if needle in needles else len(needle)
+            needles.setdefault(needle, []).append(row.quote_id)
+    if needles:
+        parts.append(scan(needles)[0])
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def resolve(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """quote_id, doc_id, char_start, char_end, chunk_index, spans_boundary: passages that hold a match, else all that it overlaps.
+#: Characters of a bin of the interval join.
+BIN = 4096
+
 
-    An equi-join on the document with the overlap as its condition; containment wins within each match.
+def overlapping(spans: DataFrame, passages: DataFrame, width: int = BIN) -> DataFrame:
+    """Spans (doc_id, char_start, char_end, ...) with each passage (doc_id, chunk_index, c_start, c_end) that they overlap.
+
+    Both are dealt to bins of character ranges and meet by (document, bin), so one very long document is shared by many tasks; a
+    pair that meets in several bins is kept in the first that they share.
     """
-    m, c = matches.alias("m"), chunks.select("doc_id", "chunk_index", F.col("char_start").alias("c_start"), F.col("char_end").alias("c_end")).alias("c")
-    overlap = (F.col("c_start") < F.col("m.char_end")) & (F.col("m.char_start") < F.col("c_end"))
-    both = m.join(c, (F.col("m.doc_id") == F.col("c.doc_id")) & overlap).select("m.*", "chunk_index", ((F.col("c_start") <= F.col("char_start")) & (F.col("char_end") <= F.col("c_end"))).alias("_inside"))
+
+    def binned(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        first = F.floor(F.col(start) / width)
+        return df.withColumn(name, first).withColumn("bin", F.explode(F.sequence(first, F.floor(F.greatest(F.col(start), F.col(end) - 1) / width))))
+
+    both = binned(spans, "char_start", "char_end", "_m").join(binned(passages, "c_start", "c_end", "_c"), ["doc_id", "bin"])
+    meets = (F.col("c_start") < F.col("char_end")) & (F.col("char_start") < F.col("c_end")) & (F.col("bin") == F.greatest("_m", "_c"))
+    return both.where(meets).drop("bin", "_m", "_c")
+
+
+def resolve(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """quote_id, doc_id, char_start, char_end, chunk_index, spans_boundary: passages that hold a match, else all that it overlaps."""
+    c = chunks.select("doc_id", "chunk_index", F.col("char_start").alias("c_start"), F.col("char_end").alias("c_end"))
+    both = overlapping(matches, c).withColumn("_inside", (F.col("c_start") <= F.col("char_start")) & (F.col("char_end") <= F.col("c_end")))
     w = Window.partitionBy("quote_id", "doc_id", "char_start", "char_end")
     return both.withColumn("_any", F.max("_inside").over(w)).where("_inside or not _any").select(*matches.columns, "chunk_index", (~F.col("_any")).alias("spans_boundary"))
 

@@ -83,9 +83,34 @@ def roots_and_levels(tasks: DataFrame) -> DataFrame:
 
 
 def subtree_progress(tasks: DataFrame) -> DataFrame:
-    """ancestor, done and total over all its descendants."""
-    rows = ancestors(tasks).join(tasks.select("task_id", "status"), "task_id")
-    return rows.groupBy(F.col("ancestor_id").alias("task_id")).agg(F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
+    """task_id of each task with tasks below it, done and total over all of them; within a cycle each task is below each.
+
+    Sums reach twice as far with each round: the tasks less than 2^(k+1) below one are those less than 2^k below it, and those less
+    than 2^k below any task exactly 2^k under it. A row a task and log2(depth) rounds, whatever the tree's shape; sums combine
+    before the shuffle, so a parent of very many is no hot key.
+    """
+    known = tasks.select(F.col("task_id").alias("up"), F.lit(True).alias("known"))
+    rows = tasks.select("task_id", F.col("parent_task_id").alias("up"), (F.col("status") == "done").cast("long").alias("own_done")).join(known, "up", "left")
+    own = F.coalesce("own_done", F.lit(0).cast("long"))
+    state = rows.select("task_id", F.when(F.col("known"), F.col("up")).alias("up"), own.alias("own"), own.alias("done"), F.lit(1).cast("long").alias("total"), F.col("task_id").alias("low"))
+    state = lineage.cut(state)
+    rounds = max(state.count(), 2).bit_length()
+    for _ in range(rounds):
+        alive = state.where("up is not null")
+        if alive.isEmpty():
+            break
+        below = alive.groupBy(F.col("up").alias("task_id")).agg(F.sum("done").alias("more_done"), F.sum("total").alias("more"))
+        above = state.select(F.col("task_id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
+        grown = state.join(below, "task_id", "left").join(above, "up", "left")
+        more = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0).cast("long"))).alias(c)
+        state = lineage.cut(grown.select("task_id", F.col("next").alias("up"), "own", more("done", "more_done"), more("total", "more"), F.least("low", "next_low").alias("low")))
+    # who still points upwards after so many steps is on a cycle or below one; what is pointed at is on it, and its least id names it
+    alive = state.where("up is not null")
+    on = alive.select(F.col("up").alias("task_id")).distinct().join(state.select("task_id", F.col("low").alias("ring")), "task_id")
+    rings = alive.join(on.withColumnRenamed("task_id", "up"), "up").groupBy("ring").agg(F.sum("own").alias("ring_done"), F.count("*").alias("ring_total"))
+    out = state.join(on.join(rings, "ring"), "task_id", "left")
+    done, total = F.coalesce("ring_done", F.col("done") - F.col("own")), F.coalesce("ring_total", F.col("total") - 1)
+    return out.select("task_id", done.alias("done"), total.alias("total")).where("total > 0")
 
 
 def child_progress(tasks: DataFrame) -> DataFrame:

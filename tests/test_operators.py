@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -427,3 +428,59 @@ def test_ingest_states(spark):
     assert {r.doc_id for r in out["chunks"].collect()} == {1, 5} and got[5].chunk_count == each and got[6].chunk_count == 0
     assert out["audit"].where("action = 'document.failed'").count() == 6
     assert {r.doc_id for r in ingest.cleared(docs, failed).collect()} == {1, 2, 3, 4, 6, 7}
+
+
+def _closure(parents):
+    """Descendants by id from a dict of parents, within cycles each below each."""
+    below = {}
+    for t in parents:
+        seen, at = set(), parents[t]
+        while at in parents and at not in seen:
+            seen.add(at)
+            below.setdefault(at, set()).add(t)
+            at = parents[at]
+    return below
+
+
+def test_subtree_totals_of_chains_rings_and_wide_trees(spark):
+    import random
+
+    r = random.Random(3)
+    parents = {i: i - 1 for i in range(1, 700)} | {0: None, 5000: 5001, 5001: 5002, 5002: 5000, 5003: 5001, 5004: 5003, 6000: 6000, 7000: 9999}
+    parents |= {i: r.choice([None, 8000, i - 1, r.randrange(8001, i + 1)]) for i in range(8001, 8400)} | {8000: None}
+    status = {t: r.choice(["done", "todo", None]) for t in parents}
+    df = spark.createDataFrame([(t, p, status[t]) for t, p in parents.items()], "task_id long, parent_task_id long, status string")
+    got = {x.task_id: (x.done, x.total) for x in work.subtree_progress(df).collect()}
+    assert got == {t: (sum(status[b] == "done" for b in own), len(own)) for t, own in _closure(parents).items()}
+
+
+def test_many_overlapping_quotes_equal_the_search_for_each(spark, monkeypatch):
+    docs = {1: "The cat sat; the CAT sat on the cat's mat…", 2: "a  b|a b<br>a b", 3: None, 4: "", 5: "ﬁn “fin” FIN"}
+    asked = {"a": "the cat", "b": "cat sat", "c": "THE CAT SAT", "d": "a b a", "e": "b a b", "f": "fin", "g": "", "h": None, "i": "zzz", "j": "the  cat", "k": "mat..."}
+    expected = sorted((q, d, *at) for q, quote in asked.items() if quote for d, t in docs.items() if t for at in quotes.occurrences(t, quote))
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    q = spark.createDataFrame(list(asked.items()), "quote_id string, quote string")
+    assert sorted(map(tuple, quotes.find_quotes(d, q).collect())) == expected and len(expected) > 12
+    monkeypatch.setattr(quotes, "BLOCK_CHARS", 10)  # several automata
+    assert sorted(map(tuple, quotes.find_quotes(d, q).collect())) == expected
+    assert quotes.find_quotes(d, q.where("false")).count() == 0
+
+
+def test_ten_thousand_quotes_take_one_scan(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(50)], "doc_id long, text string")
+    q = spark.range(10_000).selectExpr("id as quote_id", "concat('w', id, ' w', id + 1) as quote")
+    out = quotes.find_quotes(docs, q)
+    assert out._jdf.queryExecution().toString().count("MapInPandas") <= 4 and out.count() == 50 * 39
+
+
+@pytest.mark.parametrize("width", [7, 4096])
+def test_binned_interval_join_equals_brute_force(spark, width):
+    import random
+
+    r = random.Random(1)
+    spans = [(d, a, a + r.randrange(0, 60)) for d in range(3) for a in r.choices(range(300), k=30)]
+    passages = [(d, i, i * 20, i * 20 + 25) for d in range(3) for i in range(16)]
+    m = spark.createDataFrame(spans, "doc_id long, char_start long, char_end long")
+    c = spark.createDataFrame(passages, "doc_id long, chunk_index long, c_start long, c_end long")
+    got = sorted((x.doc_id, x.char_start, x.char_end, x.chunk_index) for x in quotes.overlapping(m, c, width).collect())
+    assert got == sorted((d, a, b, i) for d, a, b in spans for e, i, s, t in passages if d == e and s < b and a < t)
