@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats
-from lodestone.operators import fulltext
+from lodestone.operators import fulltext, inverted_index
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
@@ -135,11 +135,17 @@ def similar_counts(queries: DataFrame, vectors: DataFrame, least: float) -> Data
     return found.groupBy("query_id").agg(F.max(F.nanvl("top", F.lit(None).cast("double"))).alias("top_score"), F.sum("n").alias("n_passages"))
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """The k chunks that match any term of each query best: query_id, chunk_id, score, sparse_rank."""
-    found = fulltext.match_any(queries, postings)
+def sparse_search(queries: DataFrame, postings: DataFrame | inverted_index.InvertedIndex, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The k chunks that match any term of each query best: query_id, chunk_id, score, sparse_rank. postings: a stored index, or rows.
+
+    allowed: a frame of chunk_id, of which alone chunks count.
+    """
+    k = clamp_k(k)
+    if isinstance(postings, inverted_index.InvertedIndex):
+        return inverted_index.search(queries, postings, k, allowed)
+    found = fulltext.match_any(queries, postings if allowed is None else postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= clamp_k(k))
+    return found.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
@@ -248,13 +254,22 @@ def in_scope(chunks: DataFrame, documents: DataFrame, document_ids: DataFrame |
     return found if document_ids is None else found.join(document_ids.select("document_id"), "document_id", "left_semi")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, profile: Profile = LOOKUP, scorer=overlap_score) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, postings: DataFrame | inverted_index.InvertedIndex, profile: Profile = LOOKUP, scorer=overlap_score, documents: DataFrame | None = None, document_ids: DataFrame | None = None
+) -> DataFrame:
     """Passages of each query in final order.
 
-    queries: query_id, query_text, query_vector; chunks: chunk_id, document_id, content, vector.
+    queries: query_id, query_text, query_vector; chunks: chunk_id, document_id, content, vector. documents (document_id,
+    parsed_status): both legs see passages of ready ones only, and with document_ids only of those.
     """
+    allowed = None
+    if documents is not None:
+        chunks = in_scope(chunks, documents, document_ids)
+        allowed = chunks.select("chunk_id")
+    elif document_ids is not None:
+        raise ValueError("document_ids needs documents, which say what is ready")
     dense = dense_search(queries, chunks.select("chunk_id", "vector"), profile.candidates)
-    sparse = sparse_search(queries, postings, profile.candidates)
+    sparse = sparse_search(queries, postings, profile.candidates, allowed)
     fused = fuse(dense, sparse, profile.dense_weight, profile.sparse_weight).where(F.col("fused_rank") <= profile.candidates)
     pool = rerank(fused.join(chunks, "chunk_id").join(queries.select("query_id", "query_text", "query_vector"), "query_id"), scorer)
     pool = pool.where(F.col("rank") <= max(profile.keep, profile.mmr_pool))

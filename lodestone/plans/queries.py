@@ -70,8 +70,21 @@ def dense_search_scoped(spark, d):
 
 
 def _legs(spark, d):
-    q, c = _queries(spark, d), fx.chunks(spark, d)
-    return retrieval.dense_search(q, c.select("chunk_id", "vector"), 20), retrieval.sparse_search(q, _posts(q, c), 20)
+    return _dense_leg(spark, d), _lexical_leg(spark, d)
+
+
+def _dense_leg(spark, d):
+    return retrieval.dense_search(_queries(spark, d), fx.chunks(spark, d).select("chunk_id", "vector"), 20)
+
+
+def _lexical_leg(spark, d):
+    return retrieval.sparse_search(_queries(spark, d), _index(spark, d), 20)
+
+
+def _index(spark, d):
+    from lodestone.plans import index_queries  # which registers its own queries here
+
+    return index_queries.lexemes(spark, d)
 
 
 def _posts(q, c):
@@ -97,7 +110,7 @@ _SPARSE = f"""{_HITS}, sparse as (select * from (select query_id, chunk_id, scor
 
 @query(f"with {_SPARSE} select query_id, chunk_id, score, sparse_rank from sparse", long=("sparse_rank",))
 def lexical_leg(spark, d):
-    return _legs(spark, d)[1]
+    return _lexical_leg(spark, d)
 
 
 @query(f"""with {_DENSE}, {_SPARSE}, fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_id, b.chunk_id) as chunk_id, dense_rank, sparse_rank,
@@ -123,7 +136,7 @@ def hybrid_search_explore(spark, d):
     """All steps: both legs, fusion, rerank, diversity, cap; postings with stems and stop words."""
     c = fx.chunks(spark, d)
     q = _queries(spark, d).drop("scope")
-    out = retrieval.hybrid_search(q, c.drop("label"), _posts(q, c), retrieval.EXPLORE)
+    out = retrieval.hybrid_search(q, c.drop("label"), _index(spark, d), retrieval.EXPLORE)
     return out.select("query_id", "chunk_id", "document_id", "position", F.round("rerank_score", 6).alias("rerank_score"), F.round("fused_score", 9).alias("fused_score"))
 
 
@@ -132,7 +145,7 @@ def retrieval_with_retry(spark, d):
     c = fx.chunks(spark, d)
     half = lambda q: F.array_join(F.slice(F.split(q, " "), 1, 6), " ")
     q = _queries(spark, d).drop("scope")  # the second attempt's words are among the first's
-    out = retrieval.retrieve_with_retry(q, c.drop("label"), _posts(q, c), half)
+    out = retrieval.retrieve_with_retry(q, c.drop("label"), _index(spark, d), half)
     return out.select("query_id", "attempt", "grade", "chunk_id", "position")
 
 
