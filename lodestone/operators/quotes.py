@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import lineage
+from lodestone.operators import lineage, trigrams
 
 # How punctuation folds, and characters that are formatting only.
 PUNCTUATION = {
@@ -180,6 +180,6 @@ def find_document(names: DataFrame, documents: DataFrame) -> DataFrame:
     exact = n.join(d, F.col("name") == F.col("file_name")).groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.lit(1).alias("way"))
     unique = lambda x, way: x.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").select("name", "doc_id", F.lit(way).alias("way"))
     same = unique(n.join(d, F.col("wanted") == F.col("norm")), 2)
-    part = unique(n.join(d, F.contains("norm", "wanted")), 3)  # names asked for are few
+    part = unique(trigrams.containing(n, "wanted", d, "norm"), 3)
     best = exact.unionByName(same).unionByName(part).groupBy("name").agg(F.min_by("doc_id", "way").alias("doc_id"))
     return n.select("name").join(best, "name", "left")
