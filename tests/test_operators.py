@@ -149,10 +149,14 @@ def test_deep_trees_and_cycles(spark):
 
 
 def test_quota_window(spark, tmp_path):
-    sent, wait = flows.quota_wait([], 0.0, 500, 100)
-    assert wait == 0 and flows.quota_wait(sent, 10.0, 1, 100) == (sent, 50.5)
-    sent, wait = flows.quota_wait([(0.0, 40)], 1.0, 40, 100, reserve=20)
-    assert wait == 0 and flows.quota_wait(sent, 2.0, 1, 100, reserve=20)[1] == 58.5
+    sent = flows.Sent()
+    assert sent.send(0.0, 500, 100) == 0.0 and sent.send(10.0, 1, 100) == 60.5
+    sent = flows.Sent([0.0], [0, 40])
+    assert sent.send(1.0, 40, 100, reserve=20) == 1.0 and sent.send(2.0, 1, 100, reserve=20) == 60.5
+    sent = flows.Sent()
+    assert [sent.send(t, n, 100) for t, n in ((0.0, 90), (1.0, 69))] == [0.0, 60.5]
+    sent = flows.Sent()
+    assert [sent.send(t, n, 10) for t, n in ((0.0, 4), (0.4, 4), (0.9, 2), (1.0, 7), (2.0, 30))] == [0.0, 0.4, 0.9, 60.5, 121.0]
     df = spark.createDataFrame([(k, float(t), 40, t) for k in "ab" for t in range(6)], "key string, t double, count long, batch_id long")
     got = [r.sent_at for r in flows.quota_schedule(df, 100).where("key = 'a'").orderBy("t").collect()]
     assert got == [0.0, 1.0, 60.5, 61.5, 121.0, 122.0]
