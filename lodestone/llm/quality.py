@@ -27,6 +27,8 @@ SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 #: Steps over all unlabelled text.
 STEPS = 5
 THRESHOLD = 0.7
+#: Bytes of text whose features are made at once: they take some eighty times as much memory.
+SLICE = 1 << 20
 
 # classes of bytes: each ASCII byte alone, all others together
 _CLASS = np.minimum(np.arange(256), 128)
@@ -107,7 +109,7 @@ class Unlabelled:
 
     def __init__(self, docs: DataFrame):
         def pack(batches):
-            for batch in slices(batches):
+            for batch in slices(batches, SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array([features(batch.column("text")).tobytes()], pa.binary())], ["x"])
 
         self.rows = materialize(docs.mapInArrow(pack, "x binary"), "quality-features")
@@ -173,7 +175,7 @@ def _sample(docs: DataFrame, ids: DataFrame, size: int) -> np.ndarray:
     chosen = docs.join(F.broadcast(picked), "doc_id", "left_semi")  # at most `size` ids
 
     def rows(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32()))], ["x"])
 
@@ -203,7 +205,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(apply_model(sent.value, features(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, score double")
@@ -214,7 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             yield batch.filter(pa.array(apply_model(sent.value, features(batch.column("text"))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
