@@ -162,16 +162,6 @@ def filter_action(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"[^\p{L}\p{N}._-]", "")
 
 
-def due_label(due: Column, today: Column) -> Column:
-    days = F.datediff(due, today)
-    return (
-        F.when(due.isNull(), F.lit("no due date"))
-        .when(days < 0, F.concat(F.lit("OVERDUE by "), (-days).cast("string"), F.lit(" days")))
-        .when(days == 0, F.lit("due today"))
-        .otherwise(F.concat(F.lit("due in "), days.cast("string"), F.lit(" days")))
-    )
-
-
 def human_bytes(c: Column | str) -> Column:
     n = _col(c)
     return (

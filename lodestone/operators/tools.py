@@ -44,16 +44,24 @@ def with_assignee(tasks: DataFrame, users: DataFrame) -> DataFrame:
 def list_tasks(requests: DataFrame, tasks: DataFrame, today: Column) -> DataFrame:
     """request_id, reply. requests: who (all, mine, unassigned), status (open, any or one status), limit (MOST_LISTED at most).
 
-    tasks: as with_assignee gives them. Only the lines shown are gathered; the others are counted.
+    tasks: as with_assignee gives them. Tasks are ranked once for each list they stand in, of which MOST_LISTED places are kept and
+    the rest counted; requests meet these, not the tasks.
     """
-    r = requests.select("request_id", "workspace_id", F.col("user_id").alias("asking"), "who", F.col("status").alias("asked"), "limit")
-    mine = (F.col("who") == "all") | ((F.col("who") == "mine") & (F.col("assignee_id") == F.col("asking"))) | ((F.col("who") == "unassigned") & F.col("assignee_id").isNull())
-    state = (F.col("asked") == "any") | ((F.col("asked") == "open") & F.col("status").isin("todo", "in_progress")) | (F.col("asked") == F.col("status"))
-    hit = r.join(tasks, "workspace_id").where(mine & state)
-    w = Window.partitionBy("request_id").orderBy(F.coalesce(F.date_format("due_date", "yyyy-MM-dd"), F.lit(NO_DUE_DATE)), priority_rank(F.col("priority")), "title", "task_id")
-    first = hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MOST_LISTED).where(F.col("n") <= F.col("limit"))
-    lines = first.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("n", task_line(today).alias("line")))).alias("lines"))
-    total = hit.groupBy("request_id").agg(F.count("*").alias("total"))
+    r = requests.select("request_id", "workspace_id", "who", F.col("status").alias("asked"), "limit", F.when(F.col("who") == "mine", F.col("user_id")).cast("long").alias("person"))
+    # the lists a task stands in: its workspace's and its assignee's (or nobody's), each for any status, for open ones and for its own
+    person = F.col("assignee_id").cast("long")
+    scopes = F.array(F.struct(F.lit("all").alias("who"), F.lit(None).cast("long").alias("person")), F.when(person.isNull(), F.struct(F.lit("unassigned").alias("who"), person.alias("person"))).otherwise(F.struct(F.lit("mine").alias("who"), person.alias("person"))))
+    states = F.array_compact(F.array(F.lit("any"), F.when(F.col("status").isin("todo", "in_progress"), F.lit("open")), F.col("status")))
+    place = ["workspace_id", "who", "person", "asked"]
+    stands = tasks.withColumn("_s", F.explode(scopes)).withColumn("asked", F.explode(F.array_distinct(states))).select("*", "_s.*").drop("_s")
+    wanted = r.select(*place).distinct()
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in place]
+    stands = stands.join(wanted.select(*(F.col(c).alias("_" + c) for c in place)), same, "left_semi")
+    w = Window.partitionBy(*place).orderBy(F.coalesce(F.date_format("due_date", "yyyy-MM-dd"), F.lit(NO_DUE_DATE)), priority_rank(F.col("priority")), "title", "task_id")
+    first = stands.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MOST_LISTED).select(*(F.col(c).alias("_" + c) for c in place), "n", task_line(today).alias("line"))
+    lines = r.join(first, [*same, F.col("n") <= F.col("limit")]).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    many = stands.groupBy(*place).agg(F.count("*").alias("total")).select(*(F.col(c).alias("_" + c) for c in place), "total")
+    total = r.join(many, same).select("request_id", "total")
     who = F.when(F.col("who") == "mine", "assigned to you").when(F.col("who") == "unassigned", "unassigned").otherwise("in the workspace")
     shown = F.least("limit", F.lit(MOST_LISTED))
     more = F.when(F.col("total") > shown, F.concat(F.lit("\n("), (F.col("total") - shown).cast("string"), F.lit(" more not shown)"))).otherwise("")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats, text
-from lodestone.operators import access, answers, chunker, evaluation, fulltext, health, quotes, retrieval, work
+from lodestone.operators import access, answers, chunker, evaluation, fulltext, health, quotes, retrieval, tools, work
 from lodestone.plans import fixtures as fx
 from lodestone.sources import files
 from lodestone.streaming import flows
@@ -540,11 +540,14 @@ def task_list(spark, d):
     return t.select("task_id", "workspace_id", "position", work.is_overdue(F.col("due_date"), F.col("status"), F.lit("1999-01-01").cast("date")).alias("overdue"))
 
 
-@query(f"""with {fx.TASKS} select task_id, case when due_date is null then 'no due date' when due_date < date '1998-01-01' then 'OVERDUE by ' || (date '1998-01-01' - due_date) || ' days' when due_date = date '1998-01-01' then 'due today'
- else 'due in ' || (due_date - date '1998-01-01') || ' days' end as label from tasks where assignee_id is null""")
+_DAYS = "abs(due_date - date '1998-01-01') || case when abs(due_date - date '1998-01-01') = 1 then ' day' else ' days' end"
+
+
+@query(f"""with {fx.TASKS} select task_id, case when due_date is null then 'no due date' else 'due ' || strftime(due_date, '%Y-%m-%d') || ' (' || case when due_date < date '1998-01-01' then 'OVERDUE by ' || {_DAYS}
+ when due_date = date '1998-01-01' then 'today' else 'in ' || {_DAYS} end || ')' end as label from tasks where assignee_id is null""")
 def due_labels(spark, d):
     t = work.scope(fx.tasks(spark, d), "unassigned", "any")
-    return t.select("task_id", text.due_label(F.col("due_date"), F.lit("1998-01-01").cast("date")).alias("label"))
+    return t.select("task_id", tools.due_text(F.col("due_date"), F.lit("1998-01-01").cast("date")).alias("label"))
 
 
 _UP = f"""with recursive {fx.TASKS}, up as (select t.task_id, t.parent_task_id as ancestor_id, 1 as depth from tasks t join tasks p on p.task_id = t.parent_task_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import access, answers, evaluation, ingest, notes, retrieval, tools, work
+from lodestone.operators import access, answers, evaluation, ingest, notes, quotes, retrieval, tools, work
 from lodestone.plans import fixtures as fx
 from lodestone.plans.queries import query
 from lodestone.sources import files
@@ -167,16 +167,15 @@ def report_targets(spark, d):
 
 
 @query("""with q as (select item_id as id, item_id % 5 <> 0 as answerable, 'src' || (item_id % 30) as document, case when item_id % 7 <> 0 then text end as quote from benchmark),
-f as (select distinct item_id as id from benchmark b join documents d on contains(d.text, b.text))
+f as (select distinct item_id as id from benchmark b join documents d on contains(trim(regexp_replace(lower(d.text), '[\\s|]+', ' ', 'g')), trim(regexp_replace(lower(b.text), '[\\s|]+', ' ', 'g'))))
 select id, 'an answerable question has a quote' as rule from q where answerable and quote is null union all select id, 'the document exists' from q where document not in (select source from documents)
 union all select id, 'the quote is found' from q where answerable and quote is not null and id not in (select id from f)""")
 def golden_problems(spark, d):
     i, docs = F.col("item_id"), fx.read(spark, d, "documents")
     b = fx.read(spark, d, "benchmark")
     q = b.select(i.alias("id"), F.lit("fact").alias("kind"), (i % 5 != 0).alias("answerable"), F.concat(F.lit("src"), (i % 30).cast("string")).alias("document"), F.when(i % 7 != 0, F.col("text")).alias("expected_quote"))
-    from lodestone.plans.queries import quote_matches
-
-    return evaluation.golden_problems(q, quote_matches(spark, d), docs.select(F.col("source").alias("file_name")))
+    found = quotes.find_quotes(docs, q.select(F.col("id").alias("quote_id"), F.col("expected_quote").alias("quote")))
+    return evaluation.golden_problems(q, found, docs.select(F.col("source").alias("file_name")))
 
 
 @query("""select conv_id, string_agg(text, chr(10) order by turn) as body from conversations where text <> '' group by 1""")
