@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.english import with_stems
 from lodestone.operators import fulltext, lineage
 
 #: Documents of a block, about; classes of length; blocks of a query that are scored first.
@@ -41,6 +42,17 @@ def by_suffix(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lexeme", fulltext.stem(F.col("word")))
 
 
+def english(rows: DataFrame) -> DataFrame:
+    """The Porter2 stemmer, over the distinct words."""
+    return with_stems(rows)
+
+
+def english_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
+    """query_id, lexeme by the Porter2 stemmer; stop words give none."""
+    each = queries.select("query_id", F.explode(fulltext.words(F.col(text))).alias("word")).where(~F.col("word").isin(fulltext.STOP_WORDS))
+    return with_stems(each).select("query_id", "lexeme").distinct()
+
+
 def block_of(chunks: DataFrame, content: str) -> DataFrame:
     """chunk_id, block: classes of length, each dealt by a hash to as many blocks as its documents need."""
     sized = lineage.cut(chunks.select("chunk_id", F.coalesce(F.length(content), F.lit(0)).alias("size")))

@@ -120,3 +120,39 @@ def test_scope_holds_for_both_legs(spark, tmp_path):
 def test_index_is_built_once_a_session(spark, small):
     assert index_queries.lexemes(spark, small) is index_queries.lexemes(spark, small)
     assert lineage.folder(spark) in index_queries.vectors(spark, small).path
+
+
+PUBLISHED = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist
+consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid
+consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci
+conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc constant constant
+knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel
+knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive
+knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot
+skis ski dying die generate generat generously generous communism communism arsenal arsenal ties tie cries cri gas gas this this gaps gap kiwis kiwi luxuriated luxuri hopping hop hoped hope
+hopefully hope bed bed shed shed shred shred bead bead say say boy boy by by cry cri enjoying enjoy youth youth proceed proceed relational relat analogy analog fulfil fulfil"""
+
+
+def test_published_stems():
+    from lodestone.functions import english
+
+    words = PUBLISHED.split()
+    wrong = {w: (english.stem(w), s) for w, s in zip(words[::2], words[1::2], strict=True) if english.stem(w) != s}
+    assert not wrong
+
+
+def test_english_index_equals_a_scan_by_stems(spark, tmp_path):
+    from lodestone.functions import english
+
+    texts = ["The knights knocked and kept knocking", "consistent consistency", "A consoling console of consoles", None, "knock"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "knocks"), (2, "consistently consoled"), (3, "the")], "query_id long, query_text string")
+    index = inverted_index.build(docs, f"{tmp_path}/p", stemmer=inverted_index.english)
+    got = rows(inverted_index.search(asked, index, 5, terms=inverted_index.english_terms), "query_id", "chunk_id", "score")
+    stems = lambda t: [english.stem(w) for w in t.lower().split() if w not in fulltext.STOP_WORDS]
+    expected = []
+    for q, text in ((1, "knocks"), (2, "consistently consoled"), (3, "the")):
+        for c, t in enumerate(texts):
+            if t and (n := sum(w in set(stems(text)) for w in stems(t))):
+                expected.append((q, c, round(n / (n + 1), 9)))
+    assert got == sorted(expected) and len(got) == 4
