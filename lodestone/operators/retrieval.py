@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats
-from lodestone.operators import fulltext, inverted_index
+from lodestone.operators import fulltext, inverted_index, lineage
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
@@ -55,14 +55,15 @@ def clamp_k(k: int) -> int:
 def _scanned(queries: DataFrame, vectors: DataFrame, columns: list[str], out_schema: str, score) -> DataFrame | None:
     """Rows of score(ids, matrix, scopes, frames) over all vectors, for the queries in blocks of QUERY_BLOCK; null vectors are left out.
 
-    Queries are a stated set; a block's unit vectors go to every task, which scans its own vectors once.
+    Queries are a stated set; a block's unit vectors go to every task, which scans its own vectors once. Of several blocks each is
+    written as it ends, and what was sent for it is released.
     """
     spark = queries.sparkSession
     names = [c for c in ("query_id", "query_vector", "scope") if c in queries.columns]
     rows = queries.select(*names).where(F.col("query_vector").isNotNull())
     found, block = None, []
 
-    def scan(own: list) -> DataFrame:
+    def scan(own: list, last: bool) -> DataFrame:
         matrix = np.array([r.query_vector for r in own], float)
         matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
         sent = spark.sparkContext.broadcast(([r.query_id for r in own], matrix, [r.scope for r in own] if "scope" in names else None))
@@ -77,15 +78,21 @@ def _scanned(queries: DataFrame, vectors: DataFrame, columns: list[str], out_sch
                     sims[:, norm == 0] = -np.inf
                     yield pdf, sims
 
-        return vectors.select(*columns).mapInPandas(lambda frames: score(sent.value[0], sent.value[2], similar(frames)), out_schema)
+        out = vectors.select(*columns).mapInPandas(lambda frames: score(sent.value[0], sent.value[2], similar(frames)), out_schema)
+        if last and found is None:
+            return out
+        out = lineage.cut(out)
+        sent.destroy()
+        return out
 
     for row in rows.toLocalIterator():
-        block.append(row)
         if len(block) == QUERY_BLOCK:
-            found = scan(block) if found is None else found.unionByName(scan(block))
-            block = []
+            part = scan(block, False)
+            found, block = part if found is None else found.unionByName(part), []
+        block.append(row)
     if block:
-        found = scan(block) if found is None else found.unionByName(scan(block))
+        part = scan(block, True)
+        found = part if found is None else found.unionByName(part)
     return found
 
 
@@ -301,7 +308,7 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
 
 def retrieve_with_retry(queries: DataFrame, chunks: DataFrame, postings: DataFrame, rewrite: Callable[[Column], Column], profile: Profile = LOOKUP) -> DataFrame:
     """First attempt for all queries, a second with rewritten text for those not good; the better one's passages."""
-    first = hybrid_search(queries, chunks, postings, profile).withColumn("attempt", F.lit(1))
+    first = lineage.cut(hybrid_search(queries, chunks, postings, profile).withColumn("attempt", F.lit(1)))  # read three times
     poor = assess(first, profile).where("grade <> 'good'").select("query_id")
     again = queries.join(poor, "query_id", "left_semi").withColumn("query_text", rewrite(F.col("query_text")))
     second = hybrid_search(again, chunks, postings, profile).withColumn("attempt", F.lit(2))

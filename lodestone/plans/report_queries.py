@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import reporting
+from lodestone.functions import text
+from lodestone.operators import answers, evaluation, reporting, retrieval, work
 from lodestone.plans import fixtures as fx
 from lodestone.plans import queries as q
 from lodestone.plans.queries import query
@@ -46,3 +47,54 @@ def review_feed(spark, d):
     actions = t.select(i.alias("action_id"), F.col("workspace_id").cast("long").alias("workspace_id"), F.when(i % 2 == 0, "approved").otherwise("rejected").alias("status"), F.to_json(F.struct("title")).alias("proposed_payload"), F.timestamp_seconds(F.lit(1704067200) + i % 2000000).cast(reviews.schema["created_at"].dataType).alias("decided_at"), (i % 40).alias("decided_by"))
     out = reporting.review_feed(reviews, asked, actions, fx.members(spark, d))
     return out.select("workspace_id", "place", "kind", "target_id", "decision", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "summary", F.coalesce("by", F.lit("-")).alias("by"))
+
+
+_SHOWN = "documents where doc_id % 3 <> 2"
+_FOUND = r"list_filter({}, lambda f: regexp_matches(lower(text), '(^|[^0-9a-z])(' || f || ')($|[^0-9a-z])'))"
+_FACTS = "case when doc_id % 2 = 0 then ['the', 'der|und', 'zzzz'] else ['and', 'the'] end"
+
+
+def _shown(spark, d):
+    """Documents as answers with the facts they should hold, gate questions or not."""
+    i = F.col("doc_id")
+    facts = F.when(i % 2 == 0, F.array(F.lit("the"), F.lit("der|und"), F.lit("zzzz"))).otherwise(F.array(F.lit("and"), F.lit("the")))
+    return fx.read(spark, d, "documents").select(i.alias("id"), (i % 3 != 2).alias("gate"), F.lit(True).alias("answerable"), F.col("text").alias("shown"), facts.alias("facts"))
+
+
+@query(f"""with f as (select {_FACTS} as facts, text from {_SHOWN}), c as (select len(facts) as n, len({_FOUND.format('facts')}) as present from f)
+select {q.wilson_sql('count(*) filter (where present = n)', 'count(*)', 'fully_covered')}, count(*) as questions_with_facts, round_even(avg(round_even(present::double / n, 4)), 4) as mean_coverage from c""")
+def key_facts(spark, d):
+    return evaluation.key_facts(_shown(spark, d))
+
+
+@query(f"""with f as (select doc_id as id, {_FACTS} as facts, text from {_SHOWN}), c as (select id, list_filter(facts, lambda x: not list_contains({_FOUND.format('facts')}, x)) as missing from f)
+select id, array_to_string(missing, ';') as missing from c where len(missing) > 0""")
+def incomplete_facts(spark, d):
+    return evaluation.incomplete_facts(_shown(spark, d)).select("id", F.array_join("missing", ";").alias("missing"))
+
+
+@query(f"""with {q._DENSE}, {q._SPARSE}, f as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_id, b.chunk_id) as chunk_id, dense_rank, sparse_rank, coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.2::double / (60 + sparse_rank), 0) as s
+ from dense a full outer join sparse b on a.query_id = b.query_id and a.chunk_id = b.chunk_id), r as (select *, row_number() over (partition by query_id order by round(s, 12) desc, dense_rank nulls last, sparse_rank nulls last, chunk_id) as n from f)
+select query_id, count(*) as candidates, count(dense_rank) as dense, count(sparse_rank) as sparse, string_agg(chunk_id::varchar, ',' order by n) as ids from r group by 1""")
+def candidate_log(spark, d):
+    """The fused candidates as JSON, read back: how many, of which leg, in which order."""
+    dense, sparse = q._legs(spark, d)
+    log = retrieval.candidate_log(retrieval.fuse(dense, sparse, 1.0, 1.2), dense, sparse)
+    c = log.select("query_id", F.from_json("candidates", "array<struct<chunk_id:long,dense_rank:long,sparse_rank:long>>").alias("c"))
+    count = lambda f: F.size(F.filter("c", lambda x: x[f].isNotNull())).cast("long")
+    return c.select("query_id", F.size("c").cast("long").alias("candidates"), count("dense_rank").alias("dense"), count("sparse_rank").alias("sparse"), F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))
+
+
+@query("""select o_orderkey as sprint_id, 'dates in order' as rule from orders where cast(o_orderdate as date) + cast(o_orderkey % 5 - 2 as int) < cast(o_orderdate as date)""")
+def sprint_violations(spark, d):
+    start = F.to_date("o_orderdate")
+    s = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("sprint_id"), start.alias("starts_on"), F.date_add(start, (F.col("o_orderkey") % 5 - 2).cast("int")).alias("ends_on"))
+    return work.sprint_violations(s).select("sprint_id", "rule")
+
+
+@query(r"""select doc_id, md5('<question>' || chr(10) || replace(replace(left(text, 300), '<', '&lt;'), '>', '&gt;') || chr(10) || '</question>') as part, doc_id % 3 = 0 as is_object from documents""")
+def question_parts(spark, d):
+    """Questions as data that can't close their label, and which replies are JSON objects."""
+    i = F.col("doc_id")
+    reply = F.when(i % 3 == 0, F.to_json(F.struct("doc_id"))).when(i % 3 == 1, F.concat(F.lit("["), i.cast("string"), F.lit("]"))).otherwise("text")
+    return fx.read(spark, d, "documents").select("doc_id", F.md5(answers.question_part(F.left("text", F.lit(300)))).alias("part"), text.is_json_object(reply).alias("is_object"))
