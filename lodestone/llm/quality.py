@@ -27,8 +27,8 @@ SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 #: Steps over all unlabelled text.
 STEPS = 5
 THRESHOLD = 0.7
-#: Bytes of text whose features are made at once: they take some eighty times as much memory.
-SLICE = 1 << 20
+#: Bytes of text whose features are made at once: the work takes some eighty times as much memory.
+SLICE = 1 << 18
 
 # classes of bytes: each ASCII byte alone, all others together
 _CLASS = np.minimum(np.arange(256), 128)

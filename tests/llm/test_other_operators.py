@@ -234,3 +234,56 @@ def test_transcripts_with_clashing_columns(spark):
     df = spark.createDataFrame([("User: hi\nAssistant: hello", 1, "x")], "transcript string, turns int, rendered string")
     got = chat.format_transcripts(df)
     assert got.columns == ["transcript", "turns", "rendered"] and [t.role for t in got.first().turns] == ["user", "assistant"]
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(7)
+    lines = ["User: hi there?", "", "lower case", "Assistant: Yes", "System: be kind", "A: ok?", "text"]
+    for _ in range(12):
+        own = [lines[i] for i in rng.integers(0, len(lines), 5)]
+        emit, _ = chat.observe(own)
+        total = lambda p, emit=emit: chat.START[p[0]] + sum(emit[i, s] for i, s in enumerate(p)) + sum(chat.STEP[a, b] for a, b in itertools.pairwise(p))
+        best = max(total(p) for p in itertools.product(range(len(chat.STATES)), repeat=5))
+        assert total(chat.viterbi(emit)) == best
+
+
+def test_difference_hash_against_loops():
+    from fractions import Fraction
+
+    def mean(image, top, bottom, left, right):
+        out = Fraction(0)
+        for y in range(image.shape[0]):
+            for x in range(image.shape[1]):
+                h, w = min(bottom, y + 1) - max(top, y), min(right, x + 1) - max(left, x)
+                if h > 0 and w > 0:
+                    out += h * w * int(image[y, x])
+        return out / ((bottom - top) * (right - left))
+
+    rng = np.random.default_rng(8)
+    for shape in ((1, 64), (3, 64), (8, 9), (13, 20)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        h, w = Fraction(shape[0], 8), Fraction(shape[1], 9)
+        small = [[mean(image, i * h, (i + 1) * h, j * w, (j + 1) * w) for j in range(9)] for i in range(8)]
+        assert np.allclose(media.area_resize(image, 8, 9), np.array(small, float))
+        bits = [small[i][j + 1] > small[i][j] for i in range(8) for j in range(8)]
+        got = np.unpackbits(np.frombuffer(bytes.fromhex(media.difference_hash(image)), np.uint8))
+        clear = [abs(small[i][j + 1] - small[i][j]) > Fraction(1, 100) for i in range(8) for j in range(8)]
+        assert [b for b, c in zip(got.tolist(), clear, strict=True) if c] == [int(b) for b, c in zip(bits, clear, strict=True) if c]
+
+
+def test_network_scores_against_loops():
+    from lodestone.llm import language
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    p = {f"w{w}": rng.normal(0, 0.3, (w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS}
+    hidden = language.FILTERS * len(language.WIDTHS)
+    p |= {"c": rng.normal(0, 0.3, hidden).astype(np.float32), "v": rng.normal(0, 0.3, (hidden, 3)).astype(np.float32), "b": rng.normal(0, 0.3, 3).astype(np.float32)}
+    expected = []
+    for row in x:
+        pooled = [max(sum(float(p[f"w{w}"][j, row[i + j], f]) for j in range(w)) for i in range(language.WINDOW - w + 1)) for w in language.WIDTHS for f in range(language.FILTERS)]
+        z = np.maximum(np.array(pooled) + p["c"], 0) @ p["v"] + p["b"]
+        expected.append(z - np.log(np.exp(z).sum()))
+    assert np.allclose(language.Network(p).log_probs(x), expected, atol=1e-4)
