@@ -72,7 +72,7 @@ def folder(spark, tmp_path):
     passage, item = text(60), text(20)
     docs = [(i, text(r.randrange(30, 160))) for i in range(60)]
     docs += [(100 + i, docs[i][1]) for i in range(8)] + [(110 + i, docs[i][1].replace(" w1", " W1", 1) + " more") for i in range(8)]
-    docs += [(200 + i, f"{text(80)} {passage} {text(40)}") for i in range(6)] + [(300 + i, f"{text(60)} {item} tail {text(10)}") for i in range(4)]
+    docs += [(200 + i, f"{text(80)} {passage} {text(40)}") for i in range(6)] + [(300 + i, f"{text(60)} {item} {text(40)}") for i in range(14)]
     docs += [(400 + i, " ".join(f"{word()}$$$" for _ in range(60))) for i in range(30)]  # what is labelled bad
     docs += [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "x " * 9000)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
