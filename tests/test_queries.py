@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.plans import golden_queries, index_queries, layout_queries, more_queries, queries, report_queries, run_queries, table_queries, workspace_queries  # noqa: F401
+from lodestone.plans import document_queries, golden_queries, index_queries, layout_queries, more_queries, queries, report_queries, run_queries, table_queries, workspace_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
