@@ -72,7 +72,7 @@ def test_learned_roles_of_turns_without_markers(spark):
     held = blocks.where(chat.held_out()).collect()
     right = lambda m: np.mean([",".join(r for r, _ in chat.parse(x.transcript, m)) == x.true_roles for x in held])
     assert len(held) > 10 and right(model) == 1.0 > right(chat.PRIOR) + 0.2
-    assert 0.4 < model.mark[chat.STATES.index(("assistant", True)), 3] < 0.6
+    assert 0.3 < model.mark[chat.STATES.index(("assistant", True)), 3] < 0.5  # one in two, drawn to the prior's 0.12 by its counts
 
 
 def test_the_model_goes_by_training_text_alone(spark):
