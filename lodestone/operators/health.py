@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats
+from lodestone.operators.ranks import ranked
 
 
 def in_window(created_at: Column, today: str, days: int) -> Column:
@@ -79,7 +80,7 @@ def frequency(rows: DataFrame, value: Column, label: str | None = None, order: s
     """value, n, and position by falling count; ties by first occurrence. A missing value counts as `label`."""
     v = value if label is None else F.when(value.isNull() | (value == ""), F.lit(label)).otherwise(value)
     counts = rows.select(v.alias("value"), F.col(order).alias("_o")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min("_o").alias("_first"))
-    return counts.select("value", "n", F.row_number().over(Window.orderBy(F.desc("n"), "_first", "value")).alias("position"))
+    return ranked(counts, [], [F.desc("n"), F.asc("_first"), F.asc("value")], "position").select("value", "n", "position")
 
 
 def flag_reasons(answers: DataFrame, reasons: str = "flag_reasons", order: str = "created_at") -> DataFrame:

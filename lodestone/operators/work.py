@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import access, lineage
+from lodestone.operators.ranks import ranked
 
 # Urgency first.
 PRIORITY_ORDER = ("urgent", "high", "medium", "low", "none")
@@ -36,10 +37,14 @@ def sprint_scope(tasks: DataFrame, sprint: str) -> DataFrame:
     return tasks.where(F.col("sprint_id").isNull() if sprint == "backlog" else F.col("sprint_id") == sprint)
 
 
+def task_order() -> list[Column]:
+    """Due date (none last), priority, title, id."""
+    return [F.asc_nulls_last("due_date"), priority_rank(F.col("priority")).asc(), F.asc("title"), F.asc("task_id")]
+
+
 def ordered(tasks: DataFrame) -> DataFrame:
-    """Adds `position`: due date (none last), priority, title, id; in each workspace."""
-    w = Window.partitionBy("workspace_id").orderBy(F.asc_nulls_last("due_date"), priority_rank(F.col("priority")), "title", "task_id")
-    return tasks.withColumn("position", F.row_number().over(w))
+    """Adds `position` in task_order, in each workspace; a workspace of any size is shared by tasks."""
+    return ranked(tasks, ["workspace_id"], task_order(), "position")
 
 
 def ancestors(tasks: DataFrame) -> DataFrame:
@@ -293,10 +298,12 @@ def counts(tasks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def listing(tasks: DataFrame, limit: int, by: str = "workspace_id") -> DataFrame:
-    """Each group's first `limit` ordered tasks, with how many are not shown."""
-    w = Window.partitionBy(by)
-    numbered = ordered(tasks).withColumn("total", F.count("*").over(w))
-    return numbered.where(F.col("position") <= limit).withColumn("more", F.greatest(F.col("total") - limit, F.lit(0))).drop("total")
+    """Each group's first `limit` tasks in task_order, with how many are not shown."""
+    # each task keeps `limit` rows of a group before the shuffle
+    w = Window.partitionBy(by).orderBy(*task_order())
+    first = tasks.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    total = tasks.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("total"))
+    return first.join(total, F.col(by).eqNullSafe(F.col("_by"))).withColumn("more", F.greatest(F.col("total") - limit, F.lit(0))).drop("total", "_by")
 
 
 def searchable(documents: DataFrame) -> DataFrame:

@@ -42,11 +42,13 @@ def file_problem(doc_type: str | None, data: bytes) -> str | None:
     if doc_type == "pdf":
         return None if b"%PDF-" in data[:1024] else "not a PDF file"
     if doc_type == "docx":
+        if not data.startswith(b"PK\x03\x04"):
+            return "not a DOCX file"
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 entries = z.infolist()
         except (zipfile.BadZipFile, ValueError):
-            return "not a DOCX file"
+            return "damaged DOCX file"
         if "word/document.xml" not in {e.filename for e in entries}:
             return "not a DOCX file"
         if len(entries) > MAX_ZIP_ENTRIES or sum(e.file_size for e in entries) > MAX_UNPACKED:
