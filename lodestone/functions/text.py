@@ -257,6 +257,32 @@ def fold_facts(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else fold_fact(x))
 
 
+class _Lowered(dict):
+    """Each character in lower case, one for one."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code).lower()[0]
+        return out
+
+
+LOWERED = _Lowered()
+
+
+def lower_fact(x: str) -> str:
+    """Lower case, character for character, as SQL folds: no sharp s becomes ss."""
+    return x.translate(LOWERED)
+
+
+def facts_in_lower(text: Column, facts: Column) -> Column:
+    """facts_found by lower case alone, as expressions: for each fact whether one of its alternatives stands in the text; null without facts."""
+    lower = lambda c: F.lower(F.translate(c, "\u0130", "i"))  # noqa: E731  the one letter whose lower case is two characters
+    quoted = lambda a: F.concat(F.lit("\\Q"), F.replace(lower(a), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    either = lambda f: F.array_join(F.transform(F.filter(F.split(f, r"\|"), lambda a: a != ""), quoted), "|")
+    hay = lower(F.coalesce(text, F.lit("")))
+    found = lambda f: F.when(F.coalesce(F.replace(f, F.lit("|")), F.lit("")) == "", F.lit(False)).otherwise(F.regexp_like(hay, F.concat(F.lit("(?:^|[^0-9a-z])(?:"), either(f), F.lit(")(?![0-9a-z])"))))
+    return F.transform(facts, found)
+
+
 _fact_patterns: dict[str, list[re.Pattern]] = {}
 
 

@@ -104,24 +104,24 @@ def by_kind(records: DataFrame) -> DataFrame:
     return records.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce("retrieved", F.lit(False))).alias("retrieved"), F.count_if(cited_right()).alias("cited"), F.count_if(F.coalesce("grounded", F.lit(False))).alias("grounded"))
 
 
-def fact_coverage(answer: Column, facts: Column) -> Column:
-    """struct<facts, present, missing, coverage>: facts found as whole tokens."""
-    seen = F.arrays_zip(facts.alias("fact"), facts_found(answer, facts).alias("found"))
+def fact_coverage(answer: Column, facts: Column, finder=facts_found) -> Column:
+    """struct<facts, present, missing, coverage>: facts found as whole tokens, both folded by the finder's rules."""
+    seen = F.arrays_zip(facts.alias("fact"), finder(answer, facts).alias("found"))
     missing = F.transform(F.filter(seen, lambda x: ~x["found"]), lambda x: x["fact"])
     present = F.size(facts) - F.size(missing)
     return F.struct(F.size(facts).alias("facts"), present.alias("present"), missing.alias("missing"), stats.rate(present, F.size(facts)).alias("coverage"))
 
 
-def key_facts(records: DataFrame) -> DataFrame:
+def key_facts(records: DataFrame, finder=facts_found) -> DataFrame:
     """Over gate questions with facts (columns shown, facts): questions, how many are fully covered, and the mean coverage."""
-    own = records.where(is_gate() & (F.size("facts") > 0)).select(fact_coverage(F.col("shown"), F.col("facts")).alias("c"))
+    own = records.where(is_gate() & (F.size("facts") > 0)).select(fact_coverage(F.col("shown"), F.col("facts"), finder).alias("c"))
     full = F.count_if(F.col("c.present") == F.col("c.facts"))
     return own.agg(F.count("*").alias("questions_with_facts"), *rated("fully_covered", full, F.count("*")), F.bround(F.avg("c.coverage"), 4).alias("mean_coverage"))
 
 
-def incomplete_facts(records: DataFrame) -> DataFrame:
+def incomplete_facts(records: DataFrame, finder=facts_found) -> DataFrame:
     """id and missing facts of gate questions that lack one."""
-    own = records.where(is_gate() & (F.size("facts") > 0)).select("id", fact_coverage(F.col("shown"), F.col("facts"))["missing"].alias("missing"))
+    own = records.where(is_gate() & (F.size("facts") > 0)).select("id", fact_coverage(F.col("shown"), F.col("facts"), finder)["missing"].alias("missing"))
     return own.where(F.size("missing") > 0)
 
 

@@ -66,3 +66,29 @@ def test_quotes_far_into_a_text_and_repeated(spark, tmp_path):
         k = range(a // 500, (b - 1) // 500 + 1)
         expected += [(i, a, j, len(k) > 1) for j in k]
     assert found == sorted(expected)
+
+
+def test_sharp_s_folds_as_in_sql(spark, tmp_path):
+    """A text that holds ss for a quote's sharp s, or words that begin after one: the full fold differs from the SQL's lower()."""
+    t = "der Stra\u00dfe entlang"
+    texts = ["DER STRASSE ENTLANG", "der Stra\u00dfe | entlang", "the, gro\u00dfund so", "gro\u00dfthe and", "\u0130der und", None, "zzzz", "der strasse entlang und the"]
+    docs = spark.createDataFrame([(i, x, "de", "s", len(x or "")) for i, x in enumerate(texts * 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t if i % 2 else "so und so") for i in range(12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for n in ("documents", "benchmark"):
+        con.execute(f"create view {n} as select * from '{tmp_path}/{n}.parquet/*.parquet'")
+    for name in ("golden_passages", "golden_status", "golden_fact_problems", "incomplete_facts", "key_facts", "fact_presence"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert rows(got) == rows(con.execute(queries.ORACLE[name]).df()), name
+
+
+def test_facts_in_lower_case_take_alternatives_literally(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text
+
+    facts = ["1\\E2", "a.c", "x|B", "|", "", "5", None]
+    df = spark.createDataFrame([("1\\E2 b", facts), ("abc 15", facts), (None, facts)], "t string, f array<string>")
+    got = [r[0] for r in df.select(text.facts_in_lower(F.col("t"), F.col("f"))).collect()]
+    assert got == [[True, False, True, False, False, False, False], [False] * 7, [False] * 7]
