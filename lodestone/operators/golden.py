@@ -8,6 +8,7 @@ doc_id, chunk_index, char_start, char_end. All quotes of all questions are sough
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,12 @@ def named_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return names.join(known.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"), "left").drop("_name")
 
 
-def located(questions: DataFrame, documents: DataFrame, chunks: DataFrame, named: DataFrame) -> DataFrame:
+def located(questions: DataFrame, documents: DataFrame, chunks: DataFrame, named: DataFrame, folding: quotes.Folding = quotes.FULL) -> DataFrame:
     """id, role, nth, doc_id, chunk_index, spans_boundary: passages of each quote, in the named documents for expected and required ones, in any ready one for the others."""
     asked = asked_quotes(questions)
     ready = documents.where("parsed_status = 'ready'")
     distinct = asked.select("quote").distinct().select(F.sha2("quote", 256).alias("quote_id"), "quote")
-    held = quotes.resolve(quotes.find_quotes(ready.select("doc_id", "text"), distinct), chunks.join(ready.select("doc_id"), "doc_id", "left_semi"))
+    held = quotes.resolve(quotes.find_quotes(ready.select("doc_id", "text"), distinct, folding), chunks.join(ready.select("doc_id"), "doc_id", "left_semi"))
     # a passage that holds one match whole counts as such, whatever other matches cross it
     places = lineage.cut(held.groupBy("quote_id", "doc_id", "chunk_index").agg(F.bool_and("spans_boundary").alias("spans_boundary")))
     rows = asked.withColumn("quote_id", F.sha2("quote", 256)).join(places, "quote_id").drop("quote", "quote_id")
@@ -55,7 +56,7 @@ def located(questions: DataFrame, documents: DataFrame, chunks: DataFrame, named
     return rows.where(everywhere | F.col("inside")).drop("limited", "inside")
 
 
-def resolve(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve(questions: DataFrame, documents: DataFrame, chunks: DataFrame, folding: quotes.Folding = quotes.FULL) -> tuple[DataFrame, DataFrame]:
     """Passages and status of the questions.
 
     passages: id, grp (0: the expected quote or an alternative, 1, 2, ...: each further required quote; null: a distractor that no
@@ -63,7 +64,7 @@ def resolve(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> tu
     alternatives and distractors were not found and how many passages hold only a part of a quote.
     """
     named = lineage.cut(named_documents(questions, documents))
-    places = lineage.cut(located(questions, documents, chunks, named))
+    places = lineage.cut(located(questions, documents, chunks, named, folding))
     spot = ["id", "doc_id", "chunk_index"]
     group = F.when(F.col("role") == "required", F.col("nth") + 1).otherwise(0)
     groups = places.where("role <> 'distractor'").select("id", group.alias("grp"), "doc_id", "chunk_index").distinct()
@@ -96,7 +97,7 @@ def resolve(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> tu
     return passages.select("id", "grp", "doc_id", "chunk_index"), status
 
 
-def find_facts(documents: DataFrame, facts: DataFrame) -> DataFrame:
+def find_facts(documents: DataFrame, facts: DataFrame, fold: Callable[[str], str] = fold_fact) -> DataFrame:
     """fact, doc_id of each document (doc_id, text) that has one of the fact's alternatives (apart by |) as a whole run of letters and digits.
 
     One automaton over all folded alternatives and one pass over each document; facts are a stated set, sent in blocks.
@@ -113,7 +114,7 @@ def find_facts(documents: DataFrame, facts: DataFrame) -> DataFrame:
             for pdf in frames:
                 out = set()
                 for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                    hay = fold_fact(text)
+                    hay = fold(text)
                     for end, (size, own) in machine.iter(hay):
                         if (end == size - 1 or edge(hay[end - size])) and (end + 1 == len(hay) or edge(hay[end + 1])):
                             out |= {(f, doc) for f in own}
@@ -123,7 +124,7 @@ def find_facts(documents: DataFrame, facts: DataFrame) -> DataFrame:
 
     needles, size, parts = {}, 0, []
     for row in facts.select("fact").where("fact is not null").distinct().toLocalIterator():
-        for n in {fold_fact(a) for a in row.fact.split("|")} - {""}:
+        for n in {fold(a) for a in row.fact.split("|")} - {""}:
             needles.setdefault(n, []).append(row.fact)
             size += len(n)
         if size > quotes.BLOCK_CHARS:
@@ -135,14 +136,14 @@ def find_facts(documents: DataFrame, facts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def fact_problems(questions: DataFrame, documents: DataFrame) -> DataFrame:
+def fact_problems(questions: DataFrame, documents: DataFrame, fold: Callable[[str], str] = fold_fact) -> DataFrame:
     """id, rule, fact: a fact that must be included but stands in no document the question names (any ready one, if it names none)
     and isn't recorded as lost in extraction; or one that must not be included but does stand there."""
     named = named_documents(questions, documents).where("doc_id is not null").select("id", "doc_id").distinct()
     q = questions.where("answerable")
     rule = lambda column, name: q.select("id", F.lit(name).alias("rule"), F.explode(F.array_distinct(F.col(column))).alias("fact"))
     asked = rule("must_include", "must_include").unionByName(rule("must_not_include", "must_not_include"))
-    held = lineage.cut(find_facts(documents, asked))
+    held = lineage.cut(find_facts(documents, asked, fold))
     near = asked.join(named, "id").join(held, ["fact", "doc_id"], "left_semi").select("id", "rule", "fact")
     anywhere = held.join(documents.where("parsed_status = 'ready'").select("doc_id"), "doc_id", "left_semi").select("fact").distinct()
     free = asked.join(named.select("id").distinct(), "id", "left_anti").join(anywhere, "fact", "left_semi").select("id", "rule", "fact")

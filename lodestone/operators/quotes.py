@@ -6,11 +6,13 @@ import functools
 import re
 import unicodedata
 import uuid
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import LOWERED
 from lodestone.operators import lineage, trigrams
 
 # How punctuation folds, and characters that are formatting only.
@@ -22,20 +24,42 @@ FORMATTING = "​‌‍⁠﻿"
 _GAP = re.compile(r"(?:<br\s*/?>|[\s|" + FORMATTING + r"])+", re.IGNORECASE)
 
 
-def fold(text: str) -> tuple[str, list[int]]:
+class _Folded(dict):
+    """Each character's folded form, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = PUNCTUATION.get(c) or unicodedata.normalize("NFKC", c).casefold()
+        return out
+
+
+@dataclass(frozen=True)
+class Folding:
+    """How texts fold: what counts as a gap, which of its characters are formatting only, and each other character's form."""
+
+    gap: re.Pattern
+    formatting: str
+    characters: dict
+
+
+FULL = Folding(_GAP, FORMATTING, _Folded())
+#: Lower case and gaps of ASCII white space and |, character for character, as SQL folds: no sharp s becomes ss.
+PLAIN = Folding(re.compile(r"[\t\n\f\r |]+"), "", LOWERED)
+
+
+def fold(text: str, folding: Folding = FULL) -> tuple[str, list[int]]:
     """Folded text and, for each of its characters, the offset in the original. Gaps are one space, none at the ends."""
     out, at, i = [], [], 0
     while i < len(text):
-        gap = _GAP.match(text, i)
+        gap = folding.gap.match(text, i)
         if gap:
-            visible = gap.group().strip(FORMATTING)
+            visible = gap.group().strip(folding.formatting) if folding.formatting else gap.group()
             if visible and out and out[-1] != " ":
                 out.append(" ")
                 at.append(gap.start() + gap.group().index(visible[0]))
             i = gap.end()
             continue
-        c = text[i]
-        for piece in PUNCTUATION.get(c) or unicodedata.normalize("NFKC", c).casefold():
+        for piece in folding.characters[ord(text[i])]:
             out.append(piece)
             at.append(i)
         i += 1
@@ -45,28 +69,17 @@ def fold(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-class _Folded(dict):
-    """Each character's folded form, filled as characters are met."""
-
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        self[code] = out = PUNCTUATION.get(c) or unicodedata.normalize("NFKC", c).casefold()
-        return out
-
-
-_FOLDED = _Folded()
-
-
-def folded_text(text: str) -> str:
+def folded_text(text: str, folding: Folding = FULL) -> str:
     """The same folded text as fold() gives, without offsets: a few passes in C."""
-    gap = _GAP.match(text)
+    gap = folding.gap.match(text)
     bare = text[gap.end() :] if gap else text
-    return _GAP.sub(lambda m: " " if m.group().strip(FORMATTING) else "", bare).translate(_FOLDED).rstrip(" ")
+    space = (lambda m: " " if m.group().strip(folding.formatting) else "") if folding.formatting else " "
+    return folding.gap.sub(space, bare).translate(folding.characters).rstrip(" ")
 
 
-def placed(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def placed(text: str, ends: list[tuple[int, int]], folding: Folding = FULL) -> list[tuple[int, int]]:
     """Folded places (index of the last character, length) as offsets in the original text."""
-    at = fold(text)[1] if ends else []
+    at = fold(text, folding)[1] if ends else []
     return [(at[end - size + 1], at[end] + 1) for end, size in ends]
 
 
@@ -95,7 +108,7 @@ def automaton(key: int, needles: dict[str, list]):
     return _machines[key]
 
 
-def find_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+def find_quotes(documents: DataFrame, quotes: DataFrame, folding: Folding = FULL) -> DataFrame:
     """quote_id, doc_id, char_start, char_end of every occurrence of every quote, overlapping ones too.
 
     Quotes are a stated set. All that fit one block of BLOCK_CHARS are sought together, in one pass over each folded document
@@ -115,8 +128,8 @@ def find_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
             for pdf in frames:
                 out = []
                 for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                    found = [(end, *value) for end, value in machine.iter(folded_text(text))]
-                    for (_, _, ids), span in zip(found, placed(text, [f[:2] for f in found]), strict=True):
+                    found = [(end, *value) for end, value in machine.iter(folded_text(text, folding))]
+                    for (_, _, ids), span in zip(found, placed(text, [f[:2] for f in found], folding), strict=True):
                         out += [(q, doc, *span) for q in ids]
                 yield pd.DataFrame(out, columns=["quote_id", "doc_id", "char_start", "char_end"])
 
@@ -124,7 +137,7 @@ def find_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
 
     needles, size, parts = {}, 0, []
     for row in quotes.select("quote_id", "quote").where("quote is not null").toLocalIterator():
-        needle = folded_text(row.quote)
+        needle = folded_text(row.quote, folding)
         if needle and needle not in needles and size + len(needle) > BLOCK_CHARS and needles:
             found, sent = scan(needles)
             parts.append(lineage.cut(found))
