@@ -278,9 +278,9 @@ def facts_in_lower(text: Column, facts: Column) -> Column:
     lower = lambda c: F.lower(F.translate(c, "\u0130", "i"))  # noqa: E731  the one letter whose lower case is two characters
     quoted = lambda a: F.concat(F.lit("\\Q"), F.replace(lower(a), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     either = lambda f: F.array_join(F.transform(F.filter(F.split(f, r"\|"), lambda a: a != ""), quoted), "|")
-    hay = lower(F.coalesce(text, F.lit("")))
-    found = lambda f: F.when(F.coalesce(F.replace(f, F.lit("|")), F.lit("")) == "", F.lit(False)).otherwise(F.regexp_like(hay, F.concat(F.lit("(?:^|[^0-9a-z])(?:"), either(f), F.lit(")(?![0-9a-z])"))))
-    return F.transform(facts, found)
+    found = lambda hay, f: F.when(F.coalesce(F.replace(f, F.lit("|")), F.lit("")) == "", F.lit(False)).otherwise(F.regexp_like(hay, F.concat(F.lit("(?:^|[^0-9a-z])(?:"), either(f), F.lit(")(?![0-9a-z])"))))
+    # an array of one, so that a text is lowered once and not for each fact
+    return F.transform(F.array(lower(F.coalesce(text, F.lit("")))), lambda hay: F.transform(facts, lambda f: found(hay, f)))[0]
 
 
 _fact_patterns: dict[str, list[re.Pattern]] = {}
