@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lodestone.operators import lineage
 
 
+def apart(key: Column, by: Column) -> Column:
+    """A key of a left join as text, where nulls (which match nothing) get a text of their own each, from `by`: else all of them go to one task."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), by.cast("string")))
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the place from 1 of each row in its group (all rows, if by is empty), as row_number gives it for a total order.
 

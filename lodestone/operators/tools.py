@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators.ranks import apart
 from lodestone.operators.work import NO_DUE_DATE, priority_rank
 
 # Limits of one message and of one listing, and the replies.
@@ -38,7 +39,8 @@ def task_line(today: Column) -> Column:
 
 def with_assignee(tasks: DataFrame, users: DataFrame) -> DataFrame:
     """tasks with full_name and email of the assignee. users: one row for each user_id."""
-    return tasks.join(users.select(F.col("user_id").alias("assignee_id"), "full_name", "email"), "assignee_id", "left")
+    people = users.select(F.col("user_id").cast("string").alias("_user"), "full_name", "email")
+    return tasks.join(people, apart(F.col("assignee_id"), F.col("task_id")) == F.col("_user"), "left").drop("_user")
 
 
 def list_tasks(requests: DataFrame, tasks: DataFrame, today: Column) -> DataFrame:
@@ -115,9 +117,11 @@ def propose(requests: DataFrame, members: DataFrame, tasks: DataFrame, now: Colu
     assignee_email, reasoning, quote. The proposals of one turn count in order of request_id.
     """
     r = requests.withColumn("mail", F.lower(F.trim("assignee_email")))
-    people = members.groupBy("workspace_id", F.lower("email").alias("mail")).agg(F.min("user_id").alias("assignee_id"))
-    parents = tasks.select("workspace_id", F.col("task_id").alias("parent_task_id"), F.lit(True).alias("has_parent"))
-    r = r.join(people, ["workspace_id", "mail"], "left").join(parents, ["workspace_id", "parent_task_id"], "left")
+    people = members.groupBy("workspace_id", F.lower("email").alias("mail")).agg(F.min("user_id").alias("assignee_id")).withColumnRenamed("mail", "_mail")
+    parents = tasks.select("workspace_id", F.col("task_id").cast("string").alias("_task"), F.lit(True).alias("has_parent"))
+    # most requests name nobody and no parent: these are spread
+    r = r.withColumns({"_mail": apart(F.col("mail"), F.col("request_id")), "_task": apart(F.col("parent_task_id"), F.col("request_id"))})
+    r = r.join(people, ["workspace_id", "_mail"], "left").join(parents, ["workspace_id", "_task"], "left").drop("_mail", "_task")
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     day = F.when(F.col("due_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("due_date", "yyyy-MM-dd"))
     early = F.when(F.coalesce(F.col("tainted"), F.lit(False)), F.lit(TAINTED)).when(~F.coalesce(text.quoted_words(F.col("message"), F.col("quote")), F.lit(False)), F.lit(NOT_QUOTED))

@@ -1,6 +1,7 @@
 """Known answers, edge cases and brute-force comparisons of the workspace operators."""
 
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -488,3 +489,33 @@ def test_binned_interval_join_equals_brute_force(spark, width):
     c = spark.createDataFrame(passages, "doc_id long, chunk_index long, c_start long, c_end long")
     got = sorted((x.doc_id, x.char_start, x.char_end, x.chunk_index) for x in quotes.overlapping(m, c, width).collect())
     assert got == sorted((d, a, b, i) for d, a, b in spans for e, i, s, t in passages if d == e and s < b and a < t)
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """Tasks without a parent or an assignee, proposals without either: left joins must not send all of them to one task."""
+    from lodestone.operators import tools
+
+    n = 4000
+    tasks = spark.range(n).select(F.col("id").alias("task_id"), F.lit(1).alias("workspace_id"), F.lit(None).cast("long").alias("parent_task_id"), F.lit("done").alias("status"), F.lit(None).cast("long").alias("assignee_id"))
+    users = spark.range(n).select(F.col("id").alias("user_id"), F.lit("x").alias("full_name"), F.lit("m").alias("email"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        for out in (work._pointers(tasks), tools.with_assignee(tasks, users)):
+            most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+            assert most[1] == n and most[0] < n / 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_marks_and_cycles_equal_the_closure(spark):
+    r = random.Random(11)
+    for shape in range(3):
+        rows = [(i, r.choice([None, i, *range(max(0, i - 6), i + (5 if shape else 0)), 900]), r.random() < 0.1) for i in range(120)]
+        tasks = spark.createDataFrame(rows, "task_id long, parent_task_id long, hit boolean")
+        closed = {(x.task_id, x.ancestor_id) for x in work.ancestors(tasks).collect()}
+        kept = {i for i, _, h in rows if h} | {a for t, a in closed if rows[t][2]}
+        assert {x.task_id for x in work.filter_keeping_ancestors(tasks, F.col("hit")).collect()} == kept
+        assert {x.task_id for x in work.on_cycles(tasks).collect()} == {t for t, a in closed if t == a}
