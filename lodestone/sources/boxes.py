@@ -1,7 +1,7 @@
 """Page layout from boxes: blocks that tables mask, and tables made of the boxes inside a region.
 
 Boxes are rows (doc_id, page, ..., x0, y0, x1, y1). All work is on pages dealt by key; a page with very many boxes is shared by its
-grid cells.
+grid cells. There are as many regions as pages, so none are broadcast, however small Spark guesses them from few columns: joins merge.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def shared_area(boxes: DataFrame, regions: DataFrame, side: float = CELL) -> Dat
     Both are dealt to grid cells and meet by (page, cell); a pair that meets in several is kept in the first that they share.
     """
     r = _cells(regions.select("doc_id", "page", "region_id", *(F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1"))), side).toDF("doc_id", "page", "region_id", "rx0", "ry0", "rx1", "ry1", "_gx", "_gy")
-    both = _cells(boxes, side).join(r, ["doc_id", "page", "_gx", "_gy"])
+    both = _cells(boxes, side).join(r.hint("merge"), ["doc_id", "page", "_gx", "_gy"])
     first = (F.col("_gx") == F.floor(F.greatest("x0", "rx0") / side)) & (F.col("_gy") == F.floor(F.greatest("y0", "ry0") / side))
     width, height = F.least("x1", "rx1") - F.greatest("x0", "rx0"), F.least("y1", "ry1") - F.greatest("y0", "ry0")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
@@ -38,7 +38,7 @@ def shared_area(boxes: DataFrame, regions: DataFrame, side: float = CELL) -> Dat
 def unmasked(blocks: DataFrame, tables: DataFrame, key: str = "block_id", side: float = CELL) -> DataFrame:
     """Blocks of which no table covers half or more."""
     hidden = shared_area(blocks, tables, side).where(F.col("share") >= COVERED).select("doc_id", "page", key).distinct()
-    return blocks.join(hidden, ["doc_id", "page", key], "left_anti")
+    return blocks.join(hidden.hint("merge"), ["doc_id", "page", key], "left_anti")
 
 
 def _lanes(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
@@ -83,7 +83,7 @@ def accepted(tables: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFra
     regions: region_id, ruled and the box; pages: doc_id, page, page_area.
     """
     box = regions.select("doc_id", "page", "region_id", "ruled", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("_area"))
-    rows = tables.join(box, ["doc_id", "page", "region_id"]).join(pages.select("doc_id", "page", "page_area"), ["doc_id", "page"])
+    rows = tables.join(box.hint("merge"), ["doc_id", "page", "region_id"]).join(pages.select("doc_id", "page", "page_area").hint("merge"), ["doc_id", "page"])
     plausible: Column = (F.col("rows") >= BORDERLESS_ROWS) & (F.col("columns") >= BORDERLESS_COLUMNS) & (F.col("filled") >= F.col("rows") * F.col("columns") * BORDERLESS_FILLED) & (F.col("chars") / F.col("filled") <= BORDERLESS_CHARS)
     fits = (F.col("rows") >= LEAST_ROWS) & (F.col("_area") / F.col("page_area") <= WHOLE_PAGE)
     return rows.where(fits & (F.col("ruled") | plausible)).select(*tables.columns)

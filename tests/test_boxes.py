@@ -44,3 +44,11 @@ def test_table_of_words(spark):
     assert keep(region, pages.selectExpr("doc_id", "page", "14000D as page_area")) == 0  # all of the page
     assert keep(region.selectExpr("doc_id", "page", "region_id", "false as ruled", "x0", "y0", "x1", "y1"), pages) == 1
     assert keep(region.selectExpr("doc_id", "page", "region_id", "false as ruled", "x0", "y0", "x1", "32D as y1"), pages) == 0  # two rows and no ruling
+
+
+def test_regions_are_not_broadcast(spark, small):
+    """There is a region a page: Spark would guess these small by their few columns and gather them in the driver."""
+    from lodestone.plans import layout_queries, queries  # noqa: F401  registers them
+
+    for name in ("box_tables", "unmasked_blocks"):
+        assert "Broadcast" not in queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString(), name
