@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators import lineage
 from lodestone.operators.chunker import ELEMENTS
 
 # Limits of an upload.
@@ -218,6 +219,7 @@ def parse_docx(files: DataFrame) -> DataFrame:
 
 def parse_html(pages: DataFrame) -> DataFrame:
     """elements of pages in `html`."""
+    lineage.small_batches(pages.sparkSession)
 
     @F.pandas_udf(ELEMENTS)
     def parse(html: pd.Series) -> pd.Series:

@@ -519,3 +519,15 @@ def test_marks_and_cycles_equal_the_closure(spark):
         kept = {i for i, _, h in rows if h} | {a for t, a in closed if rows[t][2]}
         assert {x.task_id for x in work.filter_keeping_ancestors(tasks, F.col("hit")).collect()} == kept
         assert {x.task_id for x in work.on_cycles(tasks).collect()} == {t for t, a in closed if t == a}
+
+
+def test_long_texts_come_to_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for call in (lambda: files.parse_html(spark.createDataFrame([("<p>a</p>",)], "html string")), lambda: chunker.chunk_documents(spark.createDataFrame([], f"doc_id long, source string, elements {chunker.ELEMENTS if isinstance(chunker.ELEMENTS, str) else chunker.ELEMENTS.simpleString()}"))):
+            spark.conf.set(key, 10_000)
+            call()
+            assert int(spark.conf.get(key)) <= 1_000
+    finally:
+        spark.conf.set(key, old)
